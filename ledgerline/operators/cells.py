@@ -8,38 +8,53 @@ from pyspark.sql import functions as F
 from ..functions.precision import EXACT, half_unit
 
 
+def _step() -> Column:
+    """Factor by which declared precision outweighs an id in an exact decimal."""
+    return F.lit("1" + "0" * 19).cast("decimal(20,0)")
+
+
 def _ordering(rank: Column, ident: Column) -> Column:
     """Exact decimal that is least for the greatest declared precision and then the least id."""
-    place = F.when(rank.isNull(), F.lit(2 * EXACT)).otherwise(F.lit(EXACT) - F.greatest(F.least(rank, F.lit(EXACT)), F.lit(-EXACT)) - F.lit(0))
-    return place.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") * F.lit(10).cast("decimal(2,0)") + ident.cast("decimal(20,0)")
+    place = F.when(rank.isNull(), F.lit(2 * EXACT + 1)).otherwise(F.lit(EXACT) - F.greatest(F.least(rank, F.lit(EXACT)), F.lit(-EXACT)))
+    return place.cast("decimal(6,0)") * _step() + ident.cast("decimal(20,0)")
+
+
+def _rank_of(order: Column) -> Column:
+    place = F.floor(order / _step()).cast("int")
+    return F.when(place <= 2 * EXACT, F.lit(EXACT) - place)
 
 
-def agreed_cells(rows: DataFrame, keys: list[str], context: list[str]) -> DataFrame:
-    """(keys..., value, rank, text_kind, value_text): cells whose records are all duplicates of the best.
+def agreed_cells(rows: DataFrame, keys: list[str], context: list[str], texts: bool = True) -> DataFrame:
+    """(keys..., value, rank, value_text): cells whose records are all duplicates of the best.
 
     ``rows`` as of ``survivors.statements``. A cell is left out if its records differ in a ``context``
     column (nulls are a value of their own), mix numbers and texts, or differ from the best record by
     more than declared precision explains. Everything is expressed in primitive aggregates, so cells of
     any size are combined map-side in a hash aggregate: declared numbers through the narrowest interval
-    value ± half unit, undeclared ones and texts through the least and greatest hash. Rows with a null
-    key form cells of their own; empty input gives no cells.
+    value ± half unit, undeclared ones and texts through the least and greatest hash. Numbers that come
+    with differing texts agree only if all of them are declared. Without ``texts`` only cells of numbers
+    are returned. Rows with a null key form cells of their own; empty input gives no cells.
     """
     half = half_unit(F.col("rank"))
-    declared = F.col("rank").isNotNull() & F.col("value").isNotNull()
-    same = F.xxhash64(F.col("value"), F.coalesce("value_text", F.lit("\u0000")))
+    number = F.col("value").isNotNull()
+    declared = number & F.col("rank").isNotNull()
     ctx = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in context])
-    plain = F.when(~declared, same)
+    text = F.xxhash64(F.coalesce("value_text", F.lit("\u0000")))
     order = _ordering(F.col("rank"), F.col("id"))
-    cells = rows.groupBy(*keys).agg(
-        F.min(ctx).alias("c0"), F.max(ctx).alias("c1"),
-        F.count("value").alias("numbers"), F.count(F.lit(1)).alias("n"),
+    aggs = [
+        F.min(ctx).alias("c0"), F.max(ctx).alias("c1"), F.min(text).alias("t0"), F.max(text).alias("t1"),
+        F.count(F.when(number, 1)).alias("numbers"), F.count(F.lit(1)).alias("n"),
         F.max(F.when(declared, F.col("value") - half)).alias("lo"), F.min(F.when(declared, F.col("value") + half)).alias("hi"),
-        F.min(plain).alias("h0"), F.max(plain).alias("h1"),
-        F.min_by("value", order).alias("value"), F.min_by("rank", order).alias("rank"), F.min_by(same, order).alias("h"),
-        F.min("value_text").alias("value_text"),
-    )
+        F.min(F.when(~declared, F.col("value"))).alias("u0"), F.max(F.when(~declared, F.col("value"))).alias("u1"),
+        F.min_by("value", order).alias("value"), F.min(order).alias("o"),
+    ]
+    if texts:
+        aggs.append(F.min("value_text").alias("value_text"))
+    cells = rows.groupBy(*keys).agg(*aggs).withColumn("rank", _rank_of(F.col("o")))
     best_half = F.coalesce(half_unit(F.col("rank")), F.lit(0).cast("decimal(38,10)"))
+    one_text = F.col("t0") == F.col("t1")
     within = F.col("lo").isNull() | ((F.col("lo") <= F.col("value") + best_half) & (F.col("hi") >= F.col("value") - best_half))
-    equal = F.col("h0").isNull() | ((F.col("h0") == F.col("h")) & (F.col("h1") == F.col("h")))
-    unmixed = (F.col("numbers") == 0) | (F.col("numbers") == F.col("n"))
-    return cells.filter((F.col("c0") == F.col("c1")) & unmixed & within & equal).select(*keys, "value", "rank", "value_text")
+    equal = F.col("u0").isNull() | (one_text & (F.col("u0") == F.col("value")) & (F.col("u1") == F.col("value")))
+    numeric = (F.col("numbers") == F.col("n")) & within & equal
+    agreed = numeric | ((F.col("numbers") == 0) & one_text) if texts else numeric
+    return cells.filter((F.col("c0") == F.col("c1")) & agreed).select(*keys, "value", "rank", *(["value_text"] if texts else []))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.precision import explained, half_unit
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, cut
 from .asof import filings_by_year
 from .cells import agreed_cells
 from .survivors import _half, statements
@@ -24,20 +24,21 @@ from .survivors import _half, statements
 _WIDE = Context(prec=90)
 
 
-def difference_snapshots(snapshots: DataFrame, key: list[str], number: str, same) -> DataFrame:
+def difference_snapshots(snapshots: DataFrame, key: list[str], number: str, same, older: list[str] | None = None) -> DataFrame:
     """Change events of numbered snapshots: (key..., number, change, old, new).
 
     ``snapshots`` hold one row per key and snapshot number, numbered 1, 2, ... per key. ``same(a, b)``
     gives the Column that is true if the structs a (older) and b (newer) state the same. A row is
     ``inserted`` if its key has no preceding snapshot, ``changed`` if it differs from it and ``deleted``
-    for the number after a key's last row. Keys may be null; unchanged rows give no event.
+    for the number after a key's last row. Keys may be null; unchanged rows give no event. ``older``
+    names the columns needed of the older snapshot (all, if not given).
     """
     cols = [c for c in snapshots.columns if c not in key]
     ks = [f"__k{i}" for i in range(len(key))]
     row = F.struct(*cols)
     newer = snapshots.select(*[F.col(k).alias(a) for k, a in zip(key, ks)], F.col(number).alias("__n"), row.alias("new"))
-    older = snapshots.select(*[F.col(k).alias(a) for k, a in zip(key, ks)], (F.col(number) + 1).alias("__n"), row.alias("old"))
-    a, b = older.alias("a"), newer.alias("b")
+    before = snapshots.select(*[F.col(k).alias(a) for k, a in zip(key, ks)], (F.col(number) + 1).alias("__n"), F.struct(*(older or cols)).alias("old"))
+    a, b = before.alias("a"), newer.alias("b")
     on = F.col("a.__n") == F.col("b.__n")
     for k in ks:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
@@ -47,9 +48,8 @@ def difference_snapshots(snapshots: DataFrame, key: list[str], number: str, same
 
 
 def validity(versions: DataFrame, key: list[str], number: str, begin: str, end: str = "closed_by") -> DataFrame:
-    """Add ``end``: the ``begin`` of the key's next version, '' for the version that still holds."""
-    w = Window.partitionBy(*key).orderBy(number)
-    return versions.withColumn(end, F.coalesce(F.lead(begin).over(w), F.lit("")))
+    """Add ``end``: the ``begin`` of the key's next version, null for the version that still holds."""
+    return versions.withColumn(end, F.lead(begin).over(Window.partitionBy(*key).orderBy(number)))
 
 
 def _openers(key: list[str]):
@@ -79,27 +79,49 @@ def _openers(key: list[str]):
     return run
 
 
+def _dictionary(rows: DataFrame, name: str, code: str) -> DataFrame:
+    """(code, name) of distinct names under their 64-bit hash; two names under one hash raise."""
+    named = rows.groupBy(F.xxhash64(name).alias(code)).agg(F.min(name).alias(name), F.max(name).alias("__other"))
+    clash = F.when(F.col(name) != F.col("__other"), F.raise_error(F.lit(f"two values of {name} share a hash")))
+    return named.select(code, F.coalesce(clash.cast("string"), F.col(name)).alias(name))
+
+
 def restated_numbers(facts: DataFrame, filings: DataFrame) -> DataFrame:
     """(cik, concept, end_date, accession, closed_by): every version of every numeric cell of a filer.
 
     Filings are taken by filing date, originals before amendments, deeper amendments later, then by
-    accession. Facts of unlisted filings, or of filings without cik or date, say nothing. Cells that
-    were never restated by a differing number are single versions and never reach Python.
+    accession. Facts of unlisted filings, or of filings without cik or date, say nothing. Accession and
+    concept travel as dictionary codes and are looked up again only for the versions found. Cells with
+    at most one change are settled by comparing neighbours and never reach Python.
     """
-    listed = filings_by_year(filings).select("accession", "cik", "filing_date", "amendment", "depth").filter("cik is not null and filing_date is not null")
-    cells = agreed_cells(statements(facts), ["accession", "end_date", "concept"], ["unit", "start_date"]).filter("value is not null").select("accession", "end_date", "concept", "value", "rank")
-    stated = cells.join(broadcast_if_small(listed, listed.count(), 64), "accession")
-    key = ["cik", "concept", "end_date"]
-    order = Window.partitionBy(*key).orderBy("filing_date", "amendment", "depth", "accession")
-    numbered = stated.withColumn("n", F.row_number().over(order)).select(*key, "n", "accession", "value", "rank")
+    by_time = Window.partitionBy("cik").orderBy("filing_date", "amendment", "depth", "accession")
+    listed = filings_by_year(filings).filter("cik is not null and filing_date is not null").select("accession", "cik", F.row_number().over(by_time).alias("seq"), F.xxhash64("accession").alias("f"))
+    listed = cut(listed)
+    n = listed.count()
+    rows = statements(facts)
+    concepts = cut(_dictionary(rows, "concept", "c"))
+    m = concepts.count()
+    coded = rows.withColumn("f", F.xxhash64("accession")).withColumn("c", F.xxhash64("concept"))
+    cells = agreed_cells(coded, ["f", "c", "end_date"], ["unit", "start_date"], texts=False)
+    stated = cells.join(broadcast_if_small(listed.select("f", "cik", "seq"), n, 32), "f")
+    key = ["cik", "c", "end_date"]
+    # several accessions of one hash would number alike: the dictionary below raises first
+    numbered = stated.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("seq"))).select(*key, "n", "seq", "value", "rank")
     same = lambda a, b: (a["value"] == b["value"]) & a["rank"].eqNullSafe(b["rank"])
-    events = difference_snapshots(numbered, key, "n", same).filter("change <> 'deleted'").select(*key, "n", F.col("new.accession").alias("accession"), F.col("new.value").alias("value"), F.col("new.rank").alias("rank"))
+    events = difference_snapshots(numbered, key, "n", same, older=["value", "rank"]).filter("change <> 'deleted'").select(*key, "n", F.col("new.seq").alias("seq"), F.col("new.value").alias("value"), F.col("new.rank").alias("rank"))
     w = Window.partitionBy(*key).orderBy("n")
     seen = events.withColumn("__c", F.count(F.lit(1)).over(Window.partitionBy(*key))).withColumn("__v", F.lag("value").over(w)).withColumn("__r", F.lag("rank").over(w))
     differs = F.col("__v").isNull() | ~((F.col("__v") == F.col("value")) | explained(F.col("__v"), half_unit(F.col("__r")), F.col("value"), half_unit(F.col("rank"))))
-    cols = [*key, "n", "accession"]
-    few = validity(seen.filter((F.col("__c") <= 2) & differs).select(*cols), key, "n", "accession")
+    cols = [*key, "n", "seq"]
+    few = validity(seen.filter((F.col("__c") <= 2) & differs).select(*cols), key, "n", "seq")
     many = seen.filter("__c > 2").select(*cols, "value", "rank").sortWithinPartitions(*key, "n")
-    ddl = "cik bigint, concept string, end_date date, n int, accession string, value decimal(38,10), rank int"
-    opened = many.mapInArrow(_openers(key), ddl)
-    return few.unionByName(validity(opened.select(*cols), key, "n", "accession")).select("cik", "concept", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "accession", "closed_by")
+    opened = many.mapInArrow(_openers(key), "cik bigint, c bigint, end_date date, n int, seq int, value decimal(38,10), rank int")
+    found = few.unionByName(validity(opened.select(*cols), key, "n", "seq"))
+    names = listed.select("cik", "seq", "accession")
+    closing = names.select("cik", F.col("seq").alias("closed_by"), F.col("accession").alias("__by"))
+    return (
+        found.join(broadcast_if_small(names, n, 64), ["cik", "seq"])
+        .join(broadcast_if_small(closing, n, 64), ["cik", "closed_by"], "left")
+        .join(broadcast_if_small(concepts, m, 96), "c")
+        .select("cik", "concept", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "accession", F.coalesce("__by", F.lit("")).alias("closed_by"))
+    )

@@ -34,7 +34,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
-    return wide.wide_table(wide.fact_cells(table(spark, d, "facts")), ["accession", "end_date"], "concept", SHOWN)
+    shown = wide.wide_table(wide.fact_cells(table(spark, d, "facts")), ["accession", "end_date"], "concept", SHOWN)
+    return shown.withColumns({c: F.col(c).cast("double") for c, k in SHOWN if k == "number"})
 
 
 def p3_columns(spark: SparkSession, d: str) -> DataFrame:

@@ -103,8 +103,8 @@ _KIND = """CASE WHEN value IS NOT NULL THEN 'number' WHEN regexp_matches(trim(va
 P3_COLUMNS = f"WITH {_CELLS} SELECT concept, {_KIND} AS kind, count(*) AS cells FROM cell GROUP BY 1, 2"
 
 P3_WIDE = f"""WITH {_CELLS}, k AS (SELECT *, {_KIND} AS kind FROM cell)
-SELECT accession, end_date, max(value) FILTER (WHERE concept = 'Assets' AND kind = 'number') AS "Assets", max(value) FILTER (WHERE concept = 'Liabilities' AND kind = 'number') AS "Liabilities",
-  max(value) FILTER (WHERE concept = 'Revenues' AND kind = 'number') AS "Revenues", max(value) FILTER (WHERE concept = 'NetIncomeLoss' AND kind = 'number') AS "NetIncomeLoss",
+SELECT accession, end_date, (max(value) FILTER (WHERE concept = 'Assets' AND kind = 'number'))::varchar::double AS "Assets", (max(value) FILTER (WHERE concept = 'Liabilities' AND kind = 'number'))::varchar::double AS "Liabilities",
+  (max(value) FILTER (WHERE concept = 'Revenues' AND kind = 'number'))::varchar::double AS "Revenues", (max(value) FILTER (WHERE concept = 'NetIncomeLoss' AND kind = 'number'))::varchar::double AS "NetIncomeLoss",
   max(value_text) FILTER (WHERE concept = 'EntityRegistrantName' AND kind = 'text') AS "EntityRegistrantName",
   bool_or(lower(trim(value_text)) = 'true') FILTER (WHERE concept = 'AmendmentFlag' AND kind = 'boolean') AS "AmendmentFlag",
   max(try_cast(trim(value_text) AS date)) FILTER (WHERE concept = 'DocumentPeriodEndDate' AND kind = 'date') AS "DocumentPeriodEndDate"
