@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
-from . import leaks, unify
+from ..runtime import cut, table
+from . import leaks, packing, unify
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place in containers of every budget."""
+    sized = cut(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    return packing.pack(sized, table(spark, d, "budgets")).withColumnRenamed("ident", "doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_packed(spark, d), table(spark, d, "budgets"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +39,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p8_found, p8_near, p9_found, p9_classes)}
+    return {f.__name__: f for f in (p7_packed, p7_fill, p8_found, p8_near, p9_found, p9_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
