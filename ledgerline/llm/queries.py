@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import leaks, packing, unify
+from . import leaks, packing, pairs, unify
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "turns")
+    listed = pairs.question_response_pairs(turns, table(spark, d, "responses"))
+    return pairs.broken_pairs(listed, turns.select("question", F.col("answer").alias("response")))
+
+
+def p4_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Number of defective pairs by source and defect."""
+    return p4_found(spark, d).groupBy("source", "defect").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +50,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_packed, p7_fill, p8_found, p8_near, p9_found, p9_classes)}
+    return {f.__name__: f for f in (p4_found, p4_defects, p7_packed, p7_fill, p8_found, p8_near, p9_found, p9_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
