@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import training, training_sql
+from . import filing_queries, training, training_sql
+
+FAMILIES = (filing_queries,)
 
 
 def queries() -> dict:
-    return {**training.QUERIES}
+    return {**training.QUERIES, **{k: v for m in FAMILIES for k, v in m.QUERIES.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**training_sql.SQL}
+    return {**training_sql.SQL, **{k: v for m in FAMILIES for k, v in m.SQL.items()}}
