@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import filing_queries, retrieval_queries, training, training_sql
+from . import filing_queries, question_queries, retrieval_queries, training, training_sql
 
-FAMILIES = (filing_queries, retrieval_queries)
+FAMILIES = (filing_queries, retrieval_queries, question_queries)
 
 
 def queries() -> dict:
