@@ -102,11 +102,19 @@ def restated_numbers(facts: DataFrame, filings: DataFrame) -> DataFrame:
     concepts = cut(_dictionary(rows, "concept", "c"))
     m = concepts.count()
     coded = rows.withColumn("f", F.xxhash64("accession")).withColumn("c", F.xxhash64("concept"))
-    cells = agreed_cells(coded, ["f", "c", "end_date"], ["unit", "start_date"], texts=False)
-    stated = cells.join(broadcast_if_small(listed.select("f", "cik", "seq"), n, 32), "f")
+    numbers = listed.select("f", "cik", "seq")
+    small = broadcast_if_small(numbers, n, 32)
+    if small is numbers:  # too many filings to send around: combine cells first, then shuffle them to their filings
+        stated = agreed_cells(coded, ["f", "c", "end_date"], ["unit", "start_date"], texts=False).join(small, "f")
+    else:
+        stated = agreed_cells(coded.join(small, "f"), ["cik", "seq", "c", "end_date"], ["unit", "start_date"], texts=False)
     key = ["cik", "c", "end_date"]
-    # several accessions of one hash would number alike: the dictionary below raises first
-    numbered = stated.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("seq"))).select(*key, "n", "seq", "value", "rank")
+    whole = Window.partitionBy(*key)
+    placed = stated.withColumn("n", F.row_number().over(whole.orderBy("seq"))).withColumn("__of", F.count(F.lit(1)).over(whole)).select(*key, "n", "seq", "value", "rank", "__of")
+    # a cell with one snapshot has nothing to be differenced against; closed_by, always null here, refers to
+    # the number so that both branches ask for the same columns and share one exchange
+    once = placed.filter("__of = 1").select(*key, "n", "seq", F.when(F.col("value").isNull() & F.col("rank").isNotNull(), F.lit(0)).alias("closed_by"))
+    numbered = placed.filter("__of > 1").drop("__of")
     same = lambda a, b: (a["value"] == b["value"]) & a["rank"].eqNullSafe(b["rank"])
     events = difference_snapshots(numbered, key, "n", same, older=["value", "rank"]).filter("change <> 'deleted'").select(*key, "n", F.col("new.seq").alias("seq"), F.col("new.value").alias("value"), F.col("new.rank").alias("rank"))
     w = Window.partitionBy(*key).orderBy("n")
@@ -116,7 +124,7 @@ def restated_numbers(facts: DataFrame, filings: DataFrame) -> DataFrame:
     few = validity(seen.filter((F.col("__c") <= 2) & differs).select(*cols), key, "n", "seq")
     many = seen.filter("__c > 2").select(*cols, "value", "rank").sortWithinPartitions(*key, "n")
     opened = many.mapInArrow(_openers(key), "cik bigint, c bigint, end_date date, n int, seq int, value decimal(38,10), rank int")
-    found = few.unionByName(validity(opened.select(*cols), key, "n", "seq"))
+    found = once.unionByName(few).unionByName(validity(opened.select(*cols), key, "n", "seq"))
     names = listed.select("cik", "seq", "accession")
     closing = names.select("cik", F.col("seq").alias("closed_by"), F.col("accession").alias("__by"))
     return (
