@@ -51,7 +51,7 @@ class Chain:
         return labels
 
 
-def fit(features: list[list[int]], lengths: np.ndarray, labels: np.ndarray, n_features: int, n_labels: int, rounds: int = 80, l2: float = 1e-3) -> Chain:
+def fit(features: list[list[int]], lengths: np.ndarray, labels: np.ndarray, n_features: int, n_labels: int, rounds: int = 120, l2: float = 2e-4) -> Chain:
     """Maximise the penalised conditional likelihood by full-batch Adam on forward-backward gradients."""
     k = n_labels
     width = int(lengths.max())

@@ -304,10 +304,24 @@ def _verdict(tags: np.ndarray, size: np.ndarray) -> str | None:
     return "language" if foreign > own else None
 
 
+#: Pairs of every kind that are always part of the training sample, so that rare kinds are known from few rows.
+BUILT_IN = [
+    (q, r)
+    for q in ("What does the company say about its costs in 2021?", "Was sagt das Unternehmen über die Kosten im Jahr 2021?", "Que dit la société sur les coûts dans son rapport de 2021 ?", "¿Qué dice la empresa sobre los costes en el informe de 2021?")
+    for r in (
+        "It rose by 5 percent. The board has approved a plan of USD 3.5 million for the next year.", "The cost of the plant was lower than in the year before, and the margin", "The plan was approved by the board of", "The board has approved a plan, which…", "The plan of the company was approved. The cost of the plant is,",
+        "I cannot answer that.", "I'm sorry, but I can't help with this request. Thank you for your understanding.", "Das kann ich leider nicht beantworten.", "Je suis désolé, je ne peux pas répondre.", "Lo siento, no puedo ayudar con eso.", "That is outside what I am permitted to discuss.",
+        "Sorry for the delay; the figures are below. The cost of the plant was USD 4.2 million.", "The company declined to give a forecast because the market cannot be predicted. The auditors were unable to agree with it.",
+        "Die Kosten sind um 5 Prozent gestiegen, und der Vorstand hat eine Rückstellung von 3 Millionen USD gebildet.", "Les coûts de la société ont augmenté de 5 pour cent, et une provision a été constituée par le comité.", "Los costes de la empresa subieron un 5 por ciento y se registró una provisión para el año.",
+        "| 2020 | 2021 |\n|---|---|\n| 4 | 5 |", "| 2020 | 2021 |\n|---|---|\n| 4 |", "- The cost of the plant was lower\n- The plan was approved by the board", "Costs of the plant fell.\n\n**Outlook", "USD 5 million", "12%", "Yes.",
+    )
+]
+
+
 def train(pairs: list[tuple[str | None, str | None]]) -> Tagger:
-    """Tagger fitted on sample (question, response) pairs; without usable pairs it is fitted on two built-in ones."""
+    """Tagger fitted on sample (question, response) pairs and the built-in ones."""
     texts = [(q or "", bare(r)) for q, r in pairs if r is not None and not says_nothing(r)]
-    texts = [x for x in texts if not _same_words(*x)] + [("What was it?", "It rose by 5 percent. Costs fell."), ("What was it?", "I cannot answer that.")]
+    texts = [x for x in texts if not _same_words(*x)] + [(q, bare(r)) for q, r in BUILT_IN]
     samples = [(q, clauses(t)) for q, t in texts]
     endings = learn_endings(samples)
     feats, labels, lengths = [], [], []
