@@ -72,12 +72,13 @@ def margin_metric(text: Column) -> Column:
     return first_match(text, tuple((m, p) for p, m in MARGINS), None)
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _month(name: Column) -> Column:
-    short = F.lower(F.substring(name, 1, 3))
-    out = F.lit(None).cast("string")
-    for i, m in enumerate(MONTHS, 1):
-        out = F.when(short == m[:3], f"{i:02d}").otherwise(out)
-    return out
+    return F.element_at(F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m[:3], f"{i:02d}")]), F.lower(F.substring(name, 1, 3)))
 
 
 _NAME = r"((?:jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec)|" + "|".join(MONTHS) + r")"
@@ -109,41 +110,49 @@ def period(question: Column, year: int) -> Column:
     then year ended, range, fiscal, calendar, bare and relative years and the latest filing, in this
     order. Null reads as an empty question.
     """
-    q = F.coalesce(question, F.lit(""))
-    as_of = date_after(q, AS_OF)
-    text = without_date(q, AS_OF)
-    ended = date_after(text, ENDED)
-    ints = lambda pattern, g=1: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), lambda x: x.cast("int"))
-    a, b = (F.nullif(F.regexp_extract(text, RANGE, n), F.lit("")).cast("int") for n in (1, 2))
-    spanned = F.sequence(F.least(a, b), F.greatest(a, b))
-    fiscal = F.transform(ints(FISCAL), lambda y: F.when(y < 100, y + 2000).otherwise(y))
-    calendar, bare = ints(CALENDAR), ints(YEAR)
-    raw = F.lower(F.regexp_extract(text, LAST_N, 1))
-    n = raw.try_cast("int")
-    for word, k in NUMBER_WORDS.items():
-        n = F.when(raw == word, k).otherwise(n)
-    recent = F.when((n >= 1) & (F.lit(year) - n >= EARLIEST), F.sequence(F.lit(year) - n, F.lit(year - 1)))
-    none = F.array().cast("array<int>")
-    rel = F.when(text.rlike(r"(?i)\blast\s+year\b|\b(?:prior|previous)\s+year\b"), F.array(F.lit(year - 1))).when(text.rlike(r"(?i)\bthis\s+year\b"), F.array(F.lit(year)))
+    none, nothing, no_reason = F.array().cast("array<int>"), F.lit(None).cast("date"), F.lit(None).cast("string")
     some = lambda c: F.size(c) > 0
-    labels = F.when(a.isNotNull() & b.isNotNull(), spanned).when(some(fiscal), fiscal).when(some(calendar), calendar).when(some(bare), bare)
-    bad = F.filter(labels, lambda y: (y < EARLIEST) | (y > year + 1))
-    refused = F.when(some(bad), F.when(F.get(bad, F.lit(0)) > year + 1, "future_period").otherwise("period_not_covered"))
-    kind = F.when(a.isNotNull() & b.isNotNull(), "fiscal_label").when(some(fiscal), "fiscal_label").when(some(calendar), "calendar_year").when(some(bare), "fiscal_label")
-    named = F.array_sort(F.array_distinct(labels))
-    nothing = F.lit(None).cast("date")
-    out = lambda k, ls, end, reason: F.struct(k.alias("kind"), ls.alias("labels"), end.alias("period_end"), F.when(q.rlike(SUB_ANNUAL), nothing).otherwise(as_of).alias("as_of"), reason.alias("reason"))
-    no_reason = F.lit(None).cast("string")
-    return (
-        F.when(q.rlike(SUB_ANNUAL), out(F.lit("none"), none, nothing, F.lit("unsupported_period_type")))
-        .when(ended.isNotNull(), out(F.lit("period_end"), none, ended, no_reason))
-        .when(refused.isNotNull(), out(F.lit("none"), none, nothing, refused))
-        .when(kind.isNotNull(), out(kind, named, nothing, no_reason))
-        .when(recent.isNotNull(), out(F.lit("fiscal_label"), recent, nothing, no_reason))
-        .when(rel.isNotNull(), out(F.lit("fiscal_label"), rel, nothing, no_reason))
-        .when(text.rlike(LATEST), out(F.lit("latest"), none, nothing, no_reason))
-        .otherwise(out(F.lit("none"), none, nothing, no_reason))
-    )
+
+    def known(s: Column) -> Column:
+        """The text without its as-of date, and that date."""
+        return F.struct(s.getField("q").alias("q"), s.getField("as_of").alias("as_of"), F.when(s.getField("as_of").isNotNull(), without_date(s.getField("q"), AS_OF)).otherwise(s.getField("q")).alias("text"))
+
+    def read(s: Column) -> Column:
+        """All years the text names, by kind of phrase."""
+        text = s.getField("text")
+        ints = lambda pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
+        a, b = (F.nullif(F.regexp_extract(text, RANGE, n), F.lit("")).cast("int") for n in (1, 2))
+        raw = F.lower(F.regexp_extract(text, LAST_N, 1))
+        words = F.create_map(*[x for w, k in NUMBER_WORDS.items() for x in (F.lit(w), F.lit(k))])
+        rel = F.when(text.rlike(r"(?i)\blast\s+year\b|\b(?:prior|previous)\s+year\b"), year - 1).when(text.rlike(r"(?i)\bthis\s+year\b"), year)
+        return F.struct(
+            s.getField("q").rlike(SUB_ANNUAL).alias("short"), s.getField("as_of").alias("as_of"), date_after(text, ENDED).alias("ended"), let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.sequence(F.least(x.getField("a"), x.getField("b")), F.greatest(x.getField("a"), x.getField("b")))).alias("range"),
+            F.transform(ints(FISCAL), lambda y: F.when(y < 100, y + 2000).otherwise(y)).alias("fiscal"), ints(CALENDAR).alias("calendar"), ints(YEAR).alias("bare"), F.coalesce(raw.try_cast("int"), F.element_at(words, raw)).alias("n"), rel.alias("rel"), text.rlike(LATEST).alias("latest"),
+        )
+
+    def label(s: Column) -> Column:
+        f = s.getField
+        labels = F.when(f("range").isNotNull(), f("range")).when(some(f("fiscal")), f("fiscal")).when(some(f("calendar")), f("calendar")).when(some(f("bare")), f("bare"))
+        kind = F.when(f("range").isNull() & ~some(f("fiscal")) & some(f("calendar")), "calendar_year").otherwise("fiscal_label")
+        return F.struct(s.alias("s"), labels.alias("labels"), kind.alias("kind"), F.get(F.filter(labels, lambda y: (y < EARLIEST) | (y > year + 1)), F.lit(0)).alias("bad"))
+
+    def decide(x: Column) -> Column:
+        f, labels, bad = x.getField("s").getField, x.getField("labels"), x.getField("bad")
+        out = lambda k, ls, end, reason, as_of: F.struct(k.alias("kind"), ls.alias("labels"), end.alias("period_end"), as_of.alias("as_of"), reason.alias("reason"))
+        recent = (f("n") >= 1) & (year - f("n") >= EARLIEST)
+        return (
+            F.when(f("short"), out(F.lit("none"), none, nothing, F.lit("unsupported_period_type"), nothing))
+            .when(f("ended").isNotNull(), out(F.lit("period_end"), none, f("ended"), no_reason, f("as_of")))
+            .when(bad.isNotNull(), out(F.lit("none"), none, nothing, F.when(bad > year + 1, "future_period").otherwise("period_not_covered"), f("as_of")))
+            .when(labels.isNotNull(), out(x.getField("kind"), F.array_sort(F.array_distinct(labels)), nothing, no_reason, f("as_of")))
+            .when(F.coalesce(recent, F.lit(False)), out(F.lit("fiscal_label"), F.sequence(year - f("n"), F.lit(year - 1)), nothing, no_reason, f("as_of")))
+            .when(f("rel").isNotNull(), out(F.lit("fiscal_label"), F.array(f("rel")), nothing, no_reason, f("as_of")))
+            .when(f("latest"), out(F.lit("latest"), none, nothing, no_reason, f("as_of")))
+            .otherwise(out(F.lit("none"), none, nothing, no_reason, f("as_of")))
+        )
+
+    q = F.coalesce(question, F.lit(""))
+    return let(let(let(let(let(q, lambda t: F.struct(t.alias("q"), date_after(t, AS_OF).alias("as_of"))), known), read), label), decide)
 
 
 def alias_key(text: Column) -> Column:
