@@ -95,19 +95,19 @@ def restated_numbers(facts: DataFrame, filings: DataFrame) -> DataFrame:
     at most one change are settled by comparing neighbours and never reach Python.
     """
     by_time = Window.partitionBy("cik").orderBy("filing_date", "amendment", "depth", "accession")
-    listed = filings_by_year(filings).filter("cik is not null and filing_date is not null").select("accession", "cik", F.row_number().over(by_time).alias("seq"), F.xxhash64("accession").alias("f"))
+    listed = filings_by_year(filings).filter("cik is not null and filing_date is not null").select("accession", "cik", F.row_number().over(by_time).alias("seq"))
     listed = cut(listed)
     n = listed.count()
     rows = statements(facts)
     concepts = cut(_dictionary(rows, "concept", "c"))
     m = concepts.count()
-    coded = rows.withColumn("f", F.xxhash64("accession")).withColumn("c", F.xxhash64("concept"))
-    numbers = listed.select("f", "cik", "seq")
-    small = broadcast_if_small(numbers, n, 32)
+    coded = rows.withColumn("c", F.xxhash64("concept"))
+    numbers = listed.select("accession", "cik", "seq")
+    small = broadcast_if_small(numbers, n, 64)
     if small is numbers:  # too many filings to send around: combine cells first, then shuffle them to their filings
-        stated = agreed_cells(coded, ["f", "c", "end_date"], ["unit", "start_date"], texts=False).join(small, "f")
+        stated = agreed_cells(coded, ["accession", "c", "end_date"], ["unit", "start_date"], texts=False).join(small, "accession")
     else:
-        stated = agreed_cells(coded.join(small, "f"), ["cik", "seq", "c", "end_date"], ["unit", "start_date"], texts=False)
+        stated = agreed_cells(coded.join(small, "accession"), ["cik", "seq", "c", "end_date"], ["unit", "start_date"], texts=False)
     key = ["cik", "c", "end_date"]
     whole = Window.partitionBy(*key)
     placed = stated.withColumn("n", F.row_number().over(whole.orderBy("seq"))).withColumn("__of", F.count(F.lit(1)).over(whole)).select(*key, "n", "seq", "value", "rank", "__of")
