@@ -45,16 +45,19 @@ def _half(rank: int | None) -> Decimal | None:
 def fold(records: list[tuple]) -> list[list]:
     """Survivors of one group, each ``[id, size, fields...]``.
 
-    ``records`` are (id, rank, value, text, fields...) in topological order, best first. Survivors are
-    kept by exact statement and, for declared numbers, sorted by value, so that a record meets only
-    survivors within reach.
+    ``records`` are (id, rank, value, text, size, sources, fields...) in topological order, best first.
+    ``sources`` has the id each field comes from, if the record stands for several; None means its own.
+    A blank field is filled from the next best record that has it: by rank, then by the id it comes from.
+    Survivors are kept by exact statement and, for declared numbers, sorted by value, so that a record
+    meets only survivors within reach.
     """
     out: list[list] = []
     exact: dict[tuple, int] = {}
     by_value: list[tuple[Decimal, int]] = []
     reach = Decimal(0)
     halves: list[Decimal] = []
-    for ident, rank, value, text, size, *fields in records:
+    origins: list[list[tuple]] = []
+    for ident, rank, value, text, size, sources, *fields in records:
         half = _half(rank)
         at = exact.get((value, text))
         if value is not None and half is not None and by_value:
@@ -69,17 +72,22 @@ def fold(records: list[tuple]) -> list[list]:
         if at is None:
             at = len(out)
             out.append([ident, size, *fields])
+            origins.append([(rank, i) for i in sources or [ident] * len(fields)])
             halves.append(half if half is not None else Decimal(0))
             exact[(value, text)] = at
             if value is not None and half is not None:
                 insort(by_value, (value, at))
                 reach = max(reach, half)
         else:
-            kept = out[at]
+            kept, origin = out[at], origins[at]
             kept[1] += size
-            for j, f in enumerate(fields, 2):
-                if kept[j] is None:
-                    kept[j] = f
+            for j, f in enumerate(fields):
+                if f is None:
+                    continue
+                source = sources[j] if sources else ident
+                # ranks only fall from record to record, so a held field can be beaten only within its own rank
+                if kept[j + 2] is None or (origin[j][0] == rank and source < origin[j][1]):
+                    kept[j + 2], origin[j] = f, (rank, source)
     return out
 
 
@@ -93,7 +101,7 @@ def _fold_sorted(fields: list[str], schema: pa.Schema):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(schema.types)], schema=schema)
 
         for b in batches:
-            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("g1", "g2", "piece", "id", "rank", "value", "value_text", "size", *fields)]
+            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("g1", "g2", "piece", "id", "rank", "value", "value_text", "size", "sources", *fields)]
             for row in zip(*cols):
                 if row[:3] != key:
                     if group:
@@ -113,14 +121,15 @@ def _fold_sorted(fields: list[str], schema: pa.Schema):
 def _pieces(hot: DataFrame, fields: list[str]) -> DataFrame:
     """Hot groups without exact repetitions, with a ``piece`` such that duplicates never lie in two pieces.
 
-    Repeated statements are combined map-side first. The value axis of each group is cut at approximate
+    Repeated statements are combined map-side first; ``sources`` keeps the id that each of their fields
+    comes from. The value axis of each group is cut at approximate
     quantiles; within a cut, a piece begins where no earlier interval value ± half unit reaches. The
     intervals of earlier cuts enter as one number per cut, so no window ever spans a whole hot group.
     """
     keys = ["g1", "g2"]
     firsts = [F.min(F.when(F.col(f).isNotNull(), F.struct("id", F.col(f).alias("f")))).alias(f"__{f}") for f in fields]
     one = hot.groupBy(*keys, "value", "value_text", "rank").agg(F.min("id").alias("id"), F.sum("size").alias("size"), *firsts)
-    one = one.select(*keys, "value", "value_text", "rank", "id", "size", *[F.col(f"__{f}.f").alias(f) for f in fields])
+    one = one.select(*keys, "value", "value_text", "rank", "id", "size", F.array(*[F.col(f"__{f}.id") for f in fields]).cast("array<bigint>").alias("sources"), *[F.col(f"__{f}.f").alias(f) for f in fields])
     texts = one.filter("value is null").withColumn("piece", F.xxhash64("value_text"))
     numbers = one.filter("value is not null")
     at = [i / HOT_PIECES for i in range(1, HOT_PIECES)]
@@ -142,7 +151,7 @@ def _pieces(hot: DataFrame, fields: list[str]) -> DataFrame:
     starts = numbers.groupBy(*keys, "__cut").agg(F.max("__n").alias("__n"))
     offsets = starts.select(*keys, "__cut", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__o"))
     numbers = numbers.join(offsets, [*keys, "__cut"]).withColumn("piece", F.col("__n") + F.col("__o"))
-    cols = [*keys, "piece", "id", "rank", "value", "value_text", "size", *fields]
+    cols = [*keys, "piece", "id", "rank", "value", "value_text", "size", "sources", *fields]
     return numbers.select(*cols).unionByName(texts.select(*cols))
 
 
@@ -156,7 +165,7 @@ def representatives(rows: DataFrame, keys: list[str], fields: list[str], hot_row
     id count as two records.
     """
     named = [F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]
-    base = rows.select(F.xxhash64(*named).alias("g1"), F.xxhash64(F.lit(7), *reversed(named)).alias("g2"), "id", "rank", "value", "value_text", F.lit(1).cast("long").alias("size"), *fields)
+    base = rows.select(F.xxhash64(*named).alias("g1"), F.xxhash64(F.lit(7), *reversed(named)).alias("g2"), "id", "rank", "value", "value_text", F.lit(1).cast("long").alias("size"), F.lit(None).cast("array<bigint>").alias("sources"), *fields)
     hot = rows.groupBy(F.xxhash64(*named).alias("g1")).count().filter(F.col("count") > hot_rows).select("g1")
     hot_list = hot.limit(100_001).collect() if hot_rows else []
     whole = base.withColumn("piece", F.lit(0).cast("long"))

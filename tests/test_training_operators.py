@@ -96,6 +96,14 @@ def test_survivors_complete_blank_fields_and_leave_nil_facts_out(spark):
     assert rows(survivors.duplicate_facts(facts(spark, []))) == []
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_fields_of_repeated_statements_come_from_the_next_best_record_that_has_them(spark, hot):
+    data = [fact(1, 100, "-1", ctx=None, src=None), fact(5, 105, "-1", ctx="B", src=None), fact(10, 100, "-1", ctx="A", src="d10"), fact(3, 100, "-2", ctx="C", src="d3"), fact(11, 105, "-1", ctx="D", src="d11"), fact(2, 100, "0", ctx=None, src=None), fact(12, 100, "0", ctx=None, src=None)]
+    df = survivors.statements(facts(spark, data))
+    got = survivors.representatives(df, ["accession", "concept"], ["context_id", "source_doc"], hot)
+    assert rows(got) == [(2, 7, "B", "d10")]
+
+
 def test_leftovers_are_judged_again(spark):
     f = facts(spark, [fact(1, 1000, "INF"), fact(2, 1400, "-3"), fact(3, 5000, "-3"), fact(4, 5900, "-3"), fact(5, 9000, None), fact(6, 9000, None), fact(7, 9001, None)])
     assert [r[0] for r in rows(survivors.duplicate_facts(f))] == [1, 3, 5]
