@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval
-from ..runtime import table
+from ..runtime import broadcast_if_small, cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -132,3 +132,15 @@ def parent_lookup(spark, d):
     wanted = docs.join(hit_keys.select(*keys).distinct(), keys, "left_semi")  # only sections that were hit
     parents = wanted.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), " ").alias("text"))
     return retrieval.with_parent(hit_keys, parents, keys).select("query_id", "doc_id", "parent_text")
+
+
+@query(f"""WITH {_DIV}, sec AS (SELECT ticker, fiscal_year, section_id, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents WHERE ticker IS NOT NULL AND fiscal_year IS NOT NULL AND section_id IS NOT NULL GROUP BY 1, 2, 3)
+SELECT dv.query_id, dv.doc_id, CASE WHEN regexp_matches(sec.t, '\\S') THEN sec.t ELSE d.text END AS parent_text FROM dv JOIN documents d USING (doc_id) LEFT JOIN sec ON sec.ticker = d.ticker AND sec.fiscal_year = d.fiscal_year AND sec.section_id = d.section_id""")
+def parent_texts(spark, d):
+    """Hits with the whole text of their section, their own where the section is missing or blank."""
+    docs = table(spark, d, "documents").select("doc_id", "ticker", "fiscal_year", "section_id", "text")
+    keys = ["ticker", "fiscal_year", "section_id"]
+    hits = cut(diversity_quota(spark, d).select("query_id", "doc_id"))
+    n = hits.count()
+    own = cut(docs.join(broadcast_if_small(hits, n, 32), "doc_id"))
+    return retrieval.with_parent(own, retrieval.section_texts(docs, own, keys, n), keys).select("query_id", "doc_id", "parent_text")

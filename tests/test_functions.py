@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import calc, fmt, numerals, precision, questions, text, textops
 from ledgerline.operators import evaluate, retrieval, sections
-from tests.support import day, rows
+from tests.support import DATA, day, rows
 
 
 def one(spark, column, **values):
@@ -252,3 +252,21 @@ def test_distractors_summarise_all_other_rows(spark):
             if other:
                 want[e, y, kind] = (len(other), min(other), max(other))
     assert got == want
+
+
+def test_parents_are_whole_section_texts_and_fall_back_to_the_own_text(spark):
+    keys = ["t", "y", "s"]
+    cols = "doc_id bigint, t string, y int, s string, text string"
+    docs = spark.createDataFrame([(10, "T", 1, "a", "ten"), (9, "T", 1, "a", "nine"), (2, "T", 1, "a", "two "), (3, "T", 1, "b", " "), (4, "T", 1, "b", "\n"), (5, "T", 1, None, "five"), (6, "T", 2, "a", "six"), (7, "T", 1, "a", None)], cols)
+    hits = docs.filter("doc_id in (3, 5, 9)")
+    whole = retrieval.section_texts(docs, hits, keys, 3)
+    assert rows(whole) == [("T", 1, "a", "two \n\nnine\n\nten"), ("T", 1, "b", " \n\n\n")]
+    assert rows(retrieval.with_parent(hits, whole, keys).select("doc_id", "parent_text")) == [(3, " "), (5, "five"), (9, "two \n\nnine\n\nten")]
+
+
+def test_parent_query_reads_the_passages(spark):
+    from ledgerline.plans.retrieval_queries import parent_texts
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = parent_texts(spark, DATA).collect()
+    assert got and all(texts[r.doc_id] in r.parent_text for r in got) and any(len(r.parent_text) > len(texts[r.doc_id]) for r in got)
