@@ -124,6 +124,10 @@ def round_robin(df: DataFrame, topic: str, spread: str, ident: str, n: int) -> D
     return turn.orderBy("turn", topic).limit(n)
 
 
+#: Citations of a turn, as they stand in its JSON.
+CITATIONS = "array<struct<index: bigint, accession: string, filing_date: string>>"
+
+
 def citation_flags(citations: Column, refused: Column, as_of: Column) -> Column:
     """Sorted flags of an array of citation structs (index, accession, filing_date)."""
     n = F.coalesce(F.size(citations), F.lit(0))

@@ -230,6 +230,19 @@ def citation_flags(spark, d):
     return t.select("id", n.alias("citations"), ((n > 0) & (F.col("status") == "abstained")).alias("refused_with_sources"))
 
 
+@query("""WITH t AS (SELECT DISTINCT id, citations, coalesce(status = 'abstained', false) AS refused, try_cast(nullif(regexp_extract(trim(as_of), '^(\\d{4}-\\d{2}-\\d{2})([T ].*)?$', 1), '') AS date) AS day FROM turns),
+c AS (SELECT *, unnest(CASE WHEN json_valid(citations) THEN from_json(citations, '["JSON"]') END) AS c FROM t),
+n AS (SELECT *, row_number() OVER () AS r FROM c),
+f AS (SELECT id, citations, refused, day, list(try_cast(c->>'index' AS bigint) ORDER BY r) AS i, bool_or(coalesce(c->>'accession', '') = '' OR coalesce(c->>'filing_date', '') = '') AS blank, coalesce(bool_or(c->>'filing_date' > day::varchar), false) AS ahead FROM n GROUP BY ALL)
+SELECT t.id, concat_ws(',', CASE WHEN i <> range(1, len(i) + 1) OR blank OR f.refused THEN 'citation_invalid' END, CASE WHEN ahead THEN 'look_ahead' END) AS flags
+FROM t LEFT JOIN f ON f.id IS NOT DISTINCT FROM t.id AND f.citations = t.citations AND f.refused = t.refused AND f.day IS NOT DISTINCT FROM t.day""")
+def citation_checks(spark, d):
+    """All flags of every turn's citations."""
+    t = table(spark, d, "turns").select("id", "citations", F.coalesce(F.col("status") == "abstained", F.lit(False)).alias("refused"), iso_day(F.col("as_of")).cast("string").alias("as_of")).distinct()
+    listed = F.from_json("citations", evaluate.CITATIONS)
+    return t.select("id", F.array_join(evaluate.citation_flags(listed, F.col("refused"), F.col("as_of")), ",").alias("flags"))
+
+
 @query("""WITH g AS (SELECT item_id, unnest(list_filter([CASE WHEN trim(coalesce(question, '')) = '' THEN 'no question' END, CASE WHEN trim(coalesce(passage, '')) = '' THEN 'no passage' END, CASE WHEN category NOT IN ('numeric', 'computed', 'compare_trend', 'narrative', 'as_of', 'abstain') THEN 'unknown category' END,
  CASE WHEN verified_by NOT IN ('owner', 'companyfacts', 'auto') OR verified_by IS NULL THEN 'unknown verifier' END, CASE WHEN notes IS NULL THEN 'no notes' END], lambda x: x IS NOT NULL)) AS problem FROM gold_items) SELECT item_id, problem FROM g""")
 def gold_problems(spark, d):

@@ -270,3 +270,23 @@ def test_parent_query_reads_the_passages(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     got = parent_texts(spark, DATA).collect()
     assert got and all(texts[r.doc_id] in r.parent_text for r in got) and any(len(r.parent_text) > len(texts[r.doc_id]) for r in got)
+
+
+def test_citation_flags(spark):
+    good = '{"index":%d,"accession":"a","filing_date":"2020-02-01"}'
+    cases = [
+        ("[]", True, None, []), (None, False, None, []), ("", False, None, []), ("[%s,%s]" % (good % 1, good % 2), False, "2020-02-01", []), ("[%s]" % (good % 1), False, "2020-01-31", ["look_ahead"]),
+        ("[%s,%s]" % (good % 1, good % 3), False, None, ["citation_invalid"]), ("[%s,%s]" % (good % 2, good % 1), False, None, ["citation_invalid"]), ('[{"index":1,"filing_date":"2020-02-01"}]', False, None, ["citation_invalid"]),
+        ('[{"index":1,"accession":"a","filing_date":""}]', False, "2020-01-01", ["citation_invalid"]), ("[%s]" % (good % 1), True, "2019-01-01", ["citation_invalid", "look_ahead"]),
+    ]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "id int, c string, refused boolean, as_of string")
+    got = df.select("id", evaluate.citation_flags(F.from_json("c", evaluate.CITATIONS), F.col("refused"), F.col("as_of")).alias("f")).collect()
+    assert {r.id: r.f for r in got} == {i: c[3] for i, c in enumerate(cases)}
+
+
+def test_citation_query_flags_citations_without_filing(spark):
+    from ledgerline.plans.question_queries import citation_checks
+
+    cited = {r.id for r in spark.read.parquet(f"{DATA}/turns.parquet").filter("json_array_length(citations) > 0 and not contains(citations, 'accession')").collect()}
+    flagged = {r.id for r in citation_checks(spark, DATA).filter("contains(flags, 'citation_invalid')").collect()}
+    assert cited and cited <= flagged
