@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numerals, questions, textops
-from ..functions.text import accession_key, amount, iso_day
+from ..functions.text import accession_key, amount, iso_day, local_name
 from ..operators import evaluate
 from ..runtime import table
 
@@ -221,6 +221,15 @@ def distractors(spark, d):
     return evaluate.distractors(fig, "cik", "y", "concept", "value")
 
 
+@query()
+def distractors_all(spark, d):
+    """Distractors of every concept, whatever its prefix and outer blanks."""
+    g = table(spark, d, "filings").groupBy("accession").agg(F.max("cik").alias("cik"), F.max("fiscal_label").alias("y")).filter("cik is not null and y is not null")
+    f = table(spark, d, "facts").filter("value is not null and concept is not null").select("accession", local_name(F.col("concept")).alias("concept"), F.col("value").cast("double").alias("value"))
+    fig = f.join(g, "accession").groupBy("cik", "y", "concept").agg(F.max("value").alias("value"))
+    return evaluate.distractors(fig, "cik", "y", "concept", "value")
+
+
 @query("""WITH t AS (SELECT id, min(citations) AS citations, min(status) AS status, min(as_of) AS as_of FROM turns GROUP BY 1),
 c AS (SELECT id, status, as_of, CASE WHEN citations IS NULL OR trim(citations) = '' THEN 0 ELSE coalesce(json_array_length(citations), 0) END AS n FROM t)
 SELECT id, n AS citations, CASE WHEN n > 0 AND status = 'abstained' THEN true ELSE false END AS refused_with_sources FROM c""")

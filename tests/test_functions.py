@@ -290,3 +290,29 @@ def test_citation_query_flags_citations_without_filing(spark):
     cited = {r.id for r in spark.read.parquet(f"{DATA}/turns.parquet").filter("json_array_length(citations) > 0 and not contains(citations, 'accession')").collect()}
     flagged = {r.id for r in citation_checks(spark, DATA).filter("contains(flags, 'citation_invalid')").collect()}
     assert cited and cited <= flagged
+
+
+def test_distractors_cover_every_concept(spark):
+    from ledgerline.plans.question_queries import distractors_all
+
+    filed = {}
+    for r in spark.read.parquet(f"{DATA}/filings.parquet").collect():
+        c, y = filed.get(r.accession, (r.cik, r.fiscal_label))
+        filed[r.accession] = (max(c, r.cik), max(y, r.fiscal_label))
+    fig = {}
+    for r in spark.read.parquet(f"{DATA}/facts.parquet").filter("value is not null and concept is not null").collect():
+        if r.accession in filed:
+            key = (*filed[r.accession], r.concept.split(":")[-1].strip(" "))
+            fig[key] = max(fig.get(key, float("-inf")), float(r.value))
+    want = {}
+    for at, kind in ((0, "wrong_period"), (1, "wrong_entity")):
+        groups = {}
+        for k, v in fig.items():
+            groups.setdefault((k[at], k[2]), []).append((k, v))
+        for members in groups.values():
+            for k, _ in members:
+                others = [v for o, v in members if o != k]
+                if others:
+                    want[*k, kind] = (len(others), min(others), max(others))
+    got = {(r.cik, r.y, r.concept, r.kind): (r.n, r.least, r.greatest) for r in distractors_all(spark, DATA).collect()}
+    assert got == want and len({k[2] for k in got}) > 3
