@@ -78,10 +78,10 @@ def bare(text: str) -> str:
 
 def says_nothing(text: str) -> bool:
     """True if nothing but marks, labels or placeholders stands there."""
-    if len(text) > 200:
-        return not _WORD.search(text) and not re.search(r"\d", bare(text))
-    t = re.sub(r"<[^>]*>", " ", bare(text)).lower()
-    return all(_PLACEHOLDER.match(w) for w in re.findall(r"[^\W_]+(?:/[^\W_]+)?", t)) and not re.search(r"\d", t)
+    t = bare(text)
+    end = t.rfind(">") + 1  # no tag ends later, and a search from every later < would take quadratic time
+    t = (re.sub(r"<[^>]*>", " ", t[:end]) + t[end:]).lower()
+    return all(_PLACEHOLDER.match(w[0]) for w in re.finditer(r"[^\W_]+(?:/[^\W_]+)?", t)) and not re.search(r"\d", t)
 
 
 def clauses(text: str) -> list[str]:

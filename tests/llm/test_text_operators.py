@@ -232,3 +232,9 @@ def test_seed_labels_are_recovered_on_held_out_pairs(spark):
         right += int((got == np.array(pairs.seed_labels(f))).sum())
         total += len(f)
     assert right / total > 0.97
+
+
+def test_replies_of_any_length_may_say_nothing():
+    skeleton = "<table>" + "<tr><td></td><td> n/a </td></tr>" * 20 + "</table>"
+    assert pairs.says_nothing(skeleton[:190] + ">") and pairs.says_nothing(skeleton) and pairs.says_nothing("N/A\n" * 100) and pairs.says_nothing("| --- |\n" * 50)
+    assert not pairs.says_nothing(skeleton + " Revenue rose.") and not pairs.says_nothing("N/A\n" * 100 + "7") and not pairs.says_nothing("<" * 100_000 + "word")
