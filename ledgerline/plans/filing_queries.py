@@ -358,3 +358,9 @@ q AS (SELECT *, CASE WHEN s2 <> s THEN trunc(((m * 100)::decimal(38,10) + (s2 //
 SELECT id, CASE WHEN s2 > 1 THEN sg || '$' || (c2 // 100)::varchar || '.' || lpad((c2 % 100)::varchar, 2, '0') || CASE s2 WHEN 1000000000000 THEN ' trillion' WHEN 1000000000 THEN ' billion' ELSE ' million' END END AS money FROM q WHERE s2 > 1""")
 def money_format(spark, d):
     return _facts(spark, d).filter("value is not null and unit = 'USD' and abs(value) >= 1000000").select("id", fmt.money(F.col("value"), F.col("unit")).alias("money"))
+
+
+@query()
+def money_format_all(spark, d):
+    """Readable form of every number, whatever its size and unit."""
+    return _facts(spark, d).filter("value is not null").select("id", fmt.money(F.col("value"), F.col("unit")).alias("money"))

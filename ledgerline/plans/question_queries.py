@@ -43,6 +43,13 @@ def computation_classify(spark, d):
     return q.select("outcome_id", questions.computation(F.col("query")).alias("computation"), questions.margin_metric(F.col("query")).alias("margin"))
 
 
+@query()
+def computation_classify_all(spark, d):
+    """Computation and margin of every question, those with 'less' included."""
+    q = table(spark, d, "outcomes").select("outcome_id", "query").distinct()
+    return q.select("outcome_id", questions.computation(F.col("query")).alias("computation"), questions.margin_metric(F.col("query")).alias("margin"))
+
+
 _FY = "(?i)\\b(?:fiscal\\s+year|fiscal|fy)\\s*[-:]?\\s*(\\d{4}|\\d{2})\\b"
 _YR = "\\b((?:19|20)\\d{2})\\b"
 

@@ -316,3 +316,23 @@ def test_distractors_cover_every_concept(spark):
                     want[*k, kind] = (len(others), min(others), max(others))
     got = {(r.cik, r.y, r.concept, r.kind): (r.n, r.least, r.greatest) for r in distractors_all(spark, DATA).collect()}
     assert got == want and len({k[2] for k in got}) > 3
+
+
+def test_money_query_renders_every_size_and_unit(spark, tmp_path):
+    from ledgerline.plans.filing_queries import money_format_all
+
+    golden = [
+        ("391035000000", "USD", "$391.04 billion"), ("-1500000", "usd", "-$1.50 million"), ("999999999", "USD", "$1.00 billion"), ("999499999", "USD", "$999.50 million"), ("2500000000000", "USD", "$2.50 trillion"), ("999999.4", "USD", "$999,999"), ("-1234.5", "USD", "-$1,234"),
+        ("999.995", "USD", "$1000.00"), ("0", "USD", "$0.00"), ("-7.125", "USD", "-$7.13"), ("6.08", "USD/shares", "$6.08 per share"), ("-0.125", "USD/shares", "$-0.13 per share"), ("6.08", "USD-per-shares", "$6.08"), ("15204100", "shares", "15,204,100"), ("0.25", "pure", "0.25"), ("-12", None, "-12"),
+    ]
+    df = spark.createDataFrame([(i, Decimal(v), u) for i, (v, u, _) in enumerate(golden)], "id bigint, value decimal(38,10), unit string")
+    df.unionByName(df.limit(1).selectExpr("99L as id", "cast(null as decimal(38,10)) as value", "unit")).write.parquet(str(tmp_path / "facts.parquet"))
+    assert rows(money_format_all(spark, str(tmp_path))) == sorted([(i, g[2]) for i, g in enumerate(golden)], key=repr)
+
+
+def test_computation_query_keeps_questions_with_less(spark, tmp_path):
+    from ledgerline.plans.question_queries import computation_classify_all
+
+    golden = [("How much less did A earn than B?", "difference"), ("Revenue less costs", "difference"), ("Was debt less than 5?", None), ("Is the ratio less than 2?", "ratio"), ("Nevertheless, what grew?", "growth_pct"), ("What was revenue?", None), (None, None)]
+    spark.createDataFrame([(i, q) for i, (q, _) in enumerate(golden)], "outcome_id bigint, query string").write.parquet(str(tmp_path / "outcomes.parquet"))
+    assert rows(computation_classify_all(spark, str(tmp_path)).select("outcome_id", "computation")) == sorted([(i, c) for i, (_, c) in enumerate(golden)], key=repr)
