@@ -247,6 +247,22 @@ def resolve_requests(spark, d):
     return _resolved(spark, d).withColumn("value", F.col("value").cast("string"))
 
 
+def _all_requests(spark, d):
+    """Every metric of the registry and every kind of period for each outcome; its period's end is that of the filer's year."""
+    rows = table(spark, d, "outcomes").select("outcome_id", F.upper("ticker").alias("ticker"), "fiscal_label", iso_day(F.col("as_of")).alias("as_of")).distinct()
+    ends = table(spark, d, "filings").groupBy(F.upper("ticker").alias("ticker"), "fiscal_label").agg(F.max("period_end").alias("__end"))
+    asked = rows.join(ends, ["ticker", "fiscal_label"], "left")
+    asked = asked.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in registry.METRICS]))).withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("fiscal_label", "calendar_year", "period_end", "latest")])))
+    label = F.when(F.col("kind").isin("fiscal_label", "calendar_year"), F.col("fiscal_label"))
+    return asked.select(F.concat_ws("/", F.col("outcome_id").cast("string"), "metric", "kind").alias("request_id"), "ticker", "metric", "kind", label.alias("label"), F.when(F.col("kind") == "period_end", F.col("__end")).alias("period_end"), "as_of")
+
+
+@query()
+def resolve_requests_all(spark, d):
+    filings = table(spark, d, "filings")
+    return resolve.resolve(_all_requests(spark, d), filings, facts.annual(_facts(spark, d), filings), THIS_YEAR).withColumn("value", F.col("value").cast("string"))
+
+
 @query(f"{_RESOLVED} SELECT status, coalesce(reason, '') AS reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM resolved GROUP BY 1, 2")
 def resolve_coverage(spark, d):
     return resolve.coverage(_resolved(spark, d))

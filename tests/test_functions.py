@@ -336,3 +336,28 @@ def test_computation_query_keeps_questions_with_less(spark, tmp_path):
     golden = [("How much less did A earn than B?", "difference"), ("Revenue less costs", "difference"), ("Was debt less than 5?", None), ("Is the ratio less than 2?", "ratio"), ("Nevertheless, what grew?", "growth_pct"), ("What was revenue?", None), (None, None)]
     spark.createDataFrame([(i, q) for i, (q, _) in enumerate(golden)], "outcome_id bigint, query string").write.parquet(str(tmp_path / "outcomes.parquet"))
     assert rows(computation_classify_all(spark, str(tmp_path)).select("outcome_id", "computation")) == sorted([(i, c) for i, (_, c) in enumerate(golden)], key=repr)
+
+
+def test_requests_cover_every_metric_and_kind(spark):
+    from ledgerline.operators import registry
+    from ledgerline.plans.filing_queries import resolve_requests, resolve_requests_all
+
+    got = {r.request_id: tuple(r)[1:] for r in resolve_requests_all(spark, DATA).collect()}
+    asked = {r.outcome_id: r for r in spark.read.parquet(f"{DATA}/outcomes.parquet").withColumn("as_of", text.iso_day(F.col("as_of"))).collect()}
+    kinds = ("fiscal_label", "calendar_year", "period_end", "latest")
+    assert set(got) == {f"{o}/{m}/{k}" for o in asked for m in registry.METRICS for k in kinds}
+    assert {k.rsplit("/", 1)[0]: v for k, v in got.items() if k.endswith("/fiscal_label") and k.split("/")[1] in ("revenue", "net_income", "total_assets", "stockholders_equity", "capex")} == {r.request_id: tuple(r)[1:] for r in resolve_requests(spark, DATA).collect()}
+    filed = {r.accession: r for r in spark.read.parquet(f"{DATA}/filings.parquet").collect()}
+    seen = set()
+    for ident, row in got.items():
+        if row[0] != "resolved":
+            continue
+        outcome, metric, kind = ident.split("/")
+        o, f = asked[int(outcome)], filed[row[6]]
+        mine = [x for x in filed.values() if x.ticker.upper() == o.ticker.upper()]
+        ends = {x.period_end for x in mine if x.fiscal_label == o.fiscal_label}
+        fits = {"fiscal_label": lambda x: x.fiscal_label == o.fiscal_label, "calendar_year": lambda x: x.period_end.year == o.fiscal_label, "period_end": lambda x: x.period_end == max(ends), "latest": lambda x: True}[kind]
+        public = [x for x in mine if fits(x) and (o.as_of is None or x.filing_date <= o.as_of)]
+        assert f in public and f.period_end == max(x.period_end for x in public)
+        seen.add(kind)
+    assert seen == set(kinds)
