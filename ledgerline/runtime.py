@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and continue from there.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is
-    set only in sessions that name none (local tests).
+    set only in local sessions that name none. On a cluster no machine-local folder will do, so
+    a session without a named folder raises there.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
     return df.checkpoint(eager=True)
 
