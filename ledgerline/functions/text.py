@@ -13,6 +13,17 @@ def accession_key(c: Column) -> Column:
     return F.when(F.length(digits) == 18, dashed)
 
 
+def accession_number(c: Column) -> Column:
+    """The 18 digits of a dashed accession as a number; null for any other spelling."""
+    return F.when(c.rlike(r"^\d{10}-\d{2}-\d{6}$"), F.replace(c, F.lit("-"), F.lit("")).cast("bigint"))
+
+
+def accession_text(c: Column) -> Column:
+    """The dashed accession of an ``accession_number``."""
+    digits = F.lpad(c.cast("string"), 18, "0")
+    return F.concat(F.substring(digits, 1, 10), F.lit("-"), F.substring(digits, 11, 2), F.lit("-"), F.substring(digits, 13, 6))
+
+
 def local_name(c: Column) -> Column:
     """Concept without its namespace prefix (up to the first colon) and outer blanks."""
     return F.trim(F.when(F.instr(c, ":") > 0, F.substring_index(c, ":", -1)).otherwise(c))

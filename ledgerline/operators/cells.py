@@ -41,7 +41,7 @@ def hot_keys(rows: DataFrame, keys: list[str], least: int = HOT_ROWS) -> list[in
 def agreed_cells(rows: DataFrame, keys: list[str], context: list[str], texts: bool = True) -> DataFrame:
     """(keys..., value, rank, value_text): cells whose records are all duplicates of the best.
 
-    ``rows`` as of ``survivors.statements``. A cell is left out if its records differ in a ``context``
+    ``rows`` as of ``statements.statements``. A cell is left out if its records differ in a ``context``
     column (nulls are a value of their own), mix numbers and texts, or differ from the best record by
     more than declared precision explains. Everything is expressed in primitive aggregates: declared
     numbers through the narrowest interval value ± half unit, undeclared ones and texts through their

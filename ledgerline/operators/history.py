@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.precision import explained, half_unit
+from ..functions.text import accession_number, accession_text
 from ..runtime import broadcast_if_small, cut
 from .asof import filings_by_year
 from .cells import agreed_cells
-from .survivors import _half, statements
+from .statements import half, statements
 
 _WIDE = Context(prec=90)
 
@@ -61,7 +62,7 @@ def _openers(key: list[str]):
     def differs(v: Decimal, r: int | None, w: Decimal, q: int | None) -> bool:
         if v == w:
             return False
-        a, b = _half(r), _half(q)
+        a, b = half(r), half(q)
         return a is None or b is None or _WIDE.abs(_WIDE.subtract(v, w)) > _WIDE.add(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,46 +91,36 @@ def restated_numbers(facts: DataFrame, filings: DataFrame) -> DataFrame:
     """(cik, concept, end_date, accession, closed_by): every version of every numeric cell of a filer.
 
     Filings are taken by filing date, originals before amendments, deeper amendments later, then by
-    accession. Facts of unlisted filings, or of filings without cik or date, say nothing. Accession and
-    concept travel as dictionary codes and are looked up again only for the versions found. Cells with
-    at most one change are settled by comparing neighbours and never reach Python.
+    accession. Facts of unlisted filings, or of filings without cik or date, say nothing. An accession
+    travels as the whole number of its digits, a concept as a dictionary code that is looked up again
+    only for the versions found. Cells are combined before they meet their filings, so the plan is the
+    same whether the listing is sent around or shuffled. Cells with at most one change are settled by
+    comparing neighbours and never reach Python.
     """
-    by_time = Window.partitionBy("cik").orderBy("filing_date", "amendment", "depth", "accession")
-    listed = filings_by_year(filings).filter("cik is not null and filing_date is not null").select("accession", "cik", F.row_number().over(by_time).alias("seq"))
-    listed = cut(listed)
-    n = listed.count()
+    order = F.unix_date("filing_date").cast("bigint") * (1 << 24) + F.col("amendment") * (1 << 23) + F.col("depth")
+    listed = cut(filings_by_year(filings).filter("cik is not null and filing_date is not null").select(accession_number(F.col("accession")).alias("acc"), "cik", order.cast("bigint").alias("ord")))
     rows = statements(facts)
     concepts = cut(_dictionary(rows, "concept", "c"))
-    m = concepts.count()
-    coded = rows.withColumn("c", F.xxhash64("concept"))
-    numbers = listed.select("accession", "cik", "seq")
-    small = broadcast_if_small(numbers, n, 64)
-    if small is numbers:  # too many filings to send around: combine cells first, then shuffle them to their filings
-        stated = agreed_cells(coded, ["accession", "c", "end_date"], ["unit", "start_date"], texts=False).join(small, "accession")
-    else:
-        stated = agreed_cells(coded.join(small, "accession"), ["cik", "seq", "c", "end_date"], ["unit", "start_date"], texts=False)
+    coded = rows.withColumn("c", F.xxhash64("concept")).withColumn("acc", accession_number(F.col("accession"))).filter("acc is not null")
+    cells = agreed_cells(coded, ["acc", "c", "end_date"], ["unit", "start_date"], texts=False)
+    stated = cells.join(broadcast_if_small(listed, listed.count(), 40), "acc")
     key = ["cik", "c", "end_date"]
     whole = Window.partitionBy(*key)
-    placed = stated.withColumn("n", F.row_number().over(whole.orderBy("seq"))).withColumn("__of", F.count(F.lit(1)).over(whole)).select(*key, "n", "seq", "value", "rank", "__of")
+    placed = stated.withColumn("n", F.row_number().over(whole.orderBy("ord", "acc"))).withColumn("__of", F.count(F.lit(1)).over(whole)).select(*key, "n", "acc", "value", "rank", "__of")
     # a cell with one snapshot has nothing to be differenced against; closed_by, always null here, refers to
-    # the number so that both branches ask for the same columns and share one exchange
-    once = placed.filter("__of = 1").select(*key, "n", "seq", F.when(F.col("value").isNull() & F.col("rank").isNotNull(), F.lit(0)).alias("closed_by"))
+    # all columns so that both branches ask for the same ones and share one exchange
+    once = placed.filter("__of = 1").select(*key, "n", "acc", F.when((F.col("n") < 1) & F.col("value").isNull() & F.col("rank").isNotNull(), F.col("acc")).alias("closed_by"))
     numbered = placed.filter("__of > 1").drop("__of")
     same = lambda a, b: (a["value"] == b["value"]) & a["rank"].eqNullSafe(b["rank"])
-    events = difference_snapshots(numbered, key, "n", same, older=["value", "rank"]).filter("change <> 'deleted'").select(*key, "n", F.col("new.seq").alias("seq"), F.col("new.value").alias("value"), F.col("new.rank").alias("rank"))
+    events = difference_snapshots(numbered, key, "n", same, older=["value", "rank"]).filter("change <> 'deleted' and c is not null").select(*key, "n", F.col("new.acc").alias("acc"), F.col("new.value").alias("value"), F.col("new.rank").alias("rank"))
     w = Window.partitionBy(*key).orderBy("n")
     seen = events.withColumn("__c", F.count(F.lit(1)).over(Window.partitionBy(*key))).withColumn("__v", F.lag("value").over(w)).withColumn("__r", F.lag("rank").over(w))
     differs = F.col("__v").isNull() | ~((F.col("__v") == F.col("value")) | explained(F.col("__v"), half_unit(F.col("__r")), F.col("value"), half_unit(F.col("rank"))))
-    cols = [*key, "n", "seq"]
-    few = validity(seen.filter((F.col("__c") <= 2) & differs).select(*cols), key, "n", "seq")
+    cols = [*key, "n", "acc"]
+    few = validity(seen.filter((F.col("__c") <= 2) & differs).select(*cols), key, "n", "acc")
     many = seen.filter("__c > 2").select(*cols, "value", "rank").sortWithinPartitions(*key, "n")
-    opened = many.mapInArrow(_openers(key), "cik bigint, c bigint, end_date date, n int, seq int, value decimal(38,10), rank int")
-    found = once.unionByName(few).unionByName(validity(opened.select(*cols), key, "n", "seq"))
-    names = listed.select("cik", "seq", "accession")
-    closing = names.select("cik", F.col("seq").alias("closed_by"), F.col("accession").alias("__by"))
-    return (
-        found.join(broadcast_if_small(names, n, 64), ["cik", "seq"])
-        .join(broadcast_if_small(closing, n, 64), ["cik", "closed_by"], "left")
-        .join(broadcast_if_small(concepts, m, 96), "c")
-        .select("cik", "concept", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "accession", F.coalesce("__by", F.lit("")).alias("closed_by"))
+    opened = many.mapInArrow(_openers(key), "cik bigint, c bigint, end_date date, n int, acc bigint, value decimal(38,10), rank int")
+    found = once.unionByName(few).unionByName(validity(opened.select(*cols), key, "n", "acc"))
+    return found.join(broadcast_if_small(concepts, concepts.count(), 96), "c").select(
+        "cik", "concept", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), accession_text(F.col("acc")).alias("accession"), F.coalesce(accession_text(F.col("closed_by")), F.lit("")).alias("closed_by")
     )

@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.precision import EXACT, digits, half_unit
-from ..functions.text import blank_to_null, local_name
+from ..functions.precision import half_unit
 from ..runtime import broadcast_if_small
+from .statements import half as _half
+from .statements import statements
 
 #: Groups with more records than this are pre-aggregated and cut along the value axis.
 HOT_ROWS = 20_000
@@ -30,18 +31,6 @@ HOT_PIECES = 64
 _WIDE = Context(prec=90)
 
 
-def statements(facts: DataFrame) -> DataFrame:
-    """Non-nil facts with the columns that decide duplicates; rows without id, accession or concept are left out."""
-    return facts.select(
-        "id", F.trim("accession").alias("accession"), "unit", "start_date", "end_date", local_name(F.col("concept")).alias("concept"), "value", "value_text", digits(F.col("decimals")).alias("rank"),
-        *[blank_to_null(F.col(c)).alias(c) for c in ("context_id", "source_doc", "element_id") if c in facts.columns],
-    ).filter("(value is not null or value_text is not null) and id is not null and accession is not null and concept is not null")
-
-
-def _half(rank: int | None) -> Decimal | None:
-    return None if rank is None else Decimal(0) if rank >= min(10, EXACT) else Decimal(5).scaleb(-(max(rank, -26) + 1))
-
-
 def fold(records: list[tuple]) -> list[list]:
     """Survivors of one group, each ``[id, size, fields...]``.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cells import agreed_cells
-from .survivors import statements
+from .statements import statements
 
 #: Types of columns, in the order in which a cell's value is tried.
 KINDS = ("number", "date", "boolean", "text")
