@@ -5,8 +5,9 @@ documents and of gaps is a counting sort: documents are ranked within their size
 gaps are kept as runs of equal containers. A superstep takes the size classes from the largest down,
 sweeps the sorted gaps for the successor of the size (the least gap that holds it), gives the k-th
 document of the class to the k-th place of the run (conflicts are resolved by rank), updates the gaps
-and repeats until every class is placed. The runs are at most a few per size, whatever the number of
-documents, so they are planned centrally; ranks and assignments are computed where the documents are.
+and repeats until every class is placed. Each budget's sweep is one task over its class counts, at most
+one row a size whatever the number of documents; its runs stay distributed, and every document finds its
+run by a join on budget and size.
 """
 
 from __future__ import annotations
@@ -22,15 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import cut
+from ..runtime import broadcast_if_small, cut
 
 #: Vocabulary file of a public tokenizer, on every machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-tokenisation pattern of that vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Sub-buckets of a size class, so that a class of any share of the rows is ranked by many tasks.
-SALTS = 64
-_RANK_BITS = 44
+#: Items that one task ranks within a size class, about; a class of any share of the rows is ranked in that many parts.
+RANKED_AT_ONCE = 250_000
 _encoders: dict[str, object] = {}
 
 
@@ -105,6 +105,38 @@ def plan(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int
     return runs, opened
 
 
+_RUN = "b int, size bigint, first bigint, upto bigint, container bigint, per bigint"
+_RUN_ARROW = pa.schema([("b", pa.int32()), *[(n, pa.int64()) for n in ("size", "first", "upto", "container", "per")]])
+
+
+def planned_runs(counts: DataFrame) -> DataFrame:
+    """(b, size, first, upto, container, per): which ranks of a size class go to which containers.
+
+    ``counts`` holds (b, cap, size, n), one row per budget and size class. The ranks from ``first`` up to
+    ``upto`` fill the containers from ``container`` on with ``per`` items each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cap, sizes = None, 0, {}
+
+        def done() -> pa.RecordBatch:
+            runs = plan(sizes, cap)[0]
+            cols = [[held] * len(runs), [r[0] for r in runs], [r[1] for r in runs], [r[1] + r[2] for r in runs], [r[3] for r in runs], [r[4] for r in runs]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _RUN_ARROW.types)], schema=_RUN_ARROW)
+
+        for batch in batches:
+            for b, c, size, n in zip(*[x.to_pylist() for x in batch.columns]):
+                if b != held:
+                    if sizes:
+                        yield done()
+                    held, cap, sizes = b, c, {}
+                sizes[size] = n
+        if sizes:
+            yield done()
+
+    return counts.select(F.col("b").cast("int"), "cap", "size", "n").repartition("b").sortWithinPartitions("b").mapInArrow(run, _RUN)
+
+
 def pack(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     """(budget_id, ident, part, container, tokens): every item in containers of every budget's capacity.
 
@@ -113,6 +145,7 @@ def pack(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     ``ident/part`` and, as its last part, a remainder that is packed like an item. Shared containers are
     named ``#n``. Items without tokens go to ``#0``. Null sizes count as 0; budgets without a positive
     capacity are left out; repeated items are items of their own; empty inputs give an empty result.
+    Capacities may be of any size.
     """
     spark = sized.sparkSession
     caps = {r[0]: r[1] for r in budgets.select("budget_id", "capacity_tokens").filter("budget_id is not null and capacity_tokens > 0").distinct().collect()}
@@ -121,44 +154,24 @@ def pack(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         return spark.createDataFrame([], f"budget_id int, ident {kind}, part bigint, container string, tokens bigint")
     order = sorted(caps)
     options = F.array(*[F.struct(F.lit(i).alias("b"), F.lit(caps[b]).cast("bigint").alias("cap")) for i, b in enumerate(order)])
-    size = F.coalesce("tokens", F.lit(0))
-    salted = sized.select("ident", size.cast("bigint").alias("tokens"), F.pmod(F.xxhash64("ident"), F.lit(SALTS)).alias("salt"))
+    salts = max(1, -(-sized.count() // RANKED_AT_ONCE))
+    salted = sized.select("ident", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), F.pmod(F.xxhash64("ident"), F.lit(salts)).alias("salt"))
     items = salted.withColumn("x", F.explode(options)).select("ident", "tokens", "salt", "x.b", "x.cap")
     items = items.withColumn("whole", F.when(F.col("tokens") > F.col("cap"), F.floor(F.col("tokens") / F.col("cap"))).otherwise(F.lit(0)))
     items = items.withColumn("size", F.col("tokens") - F.col("whole") * F.col("cap"))
     # one count per (size, salt): offsets of the salts and the classes' totals
-    counts = cut(items.filter("size > 0").groupBy("b", "size", "salt").agg(F.count(F.lit(1)).alias("n")))
-    sizes: dict[int, dict[int, int]] = {i: {} for i in range(len(order))}
-    for r in counts.groupBy("b", "size").agg(F.sum("n").alias("n")).collect():  # at most one row a size: bounded by the capacities
-        sizes[r["b"]][r["size"]] = r["n"]
-    keys, firsts, containers, per, base, stride = [], [], [], [], 0, {}
-    for i, b in enumerate(order):
-        stride[i] = base
-        for s, rank, _, first, each in sorted(plan(sizes[i], caps[b])[0]):
-            keys.append(((base + s) << _RANK_BITS) | rank)
-            firsts.append(rank)
-            containers.append(first)
-            per.append(each)
-        base += caps[b] + 1
-    shared = spark.sparkContext.broadcast(tuple(np.array(x, dtype=np.int64) for x in (keys, firsts, containers, per)))
+    counts = cut(items.filter("size > 0").groupBy("b", "size", "salt").agg(F.count(F.lit(1)).alias("n"), F.first("cap").alias("cap")))
+    runs = cut(planned_runs(counts.groupBy("b", "size").agg(F.sum("n").alias("n"), F.first("cap").alias("cap"))))
     before = Window.partitionBy("b", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("b", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     ranked = items.filter("size > 0").withColumn("r", F.row_number().over(Window.partitionBy("b", "size", "salt").orderBy("ident")))
-    placed = ranked.join(offsets, ["b", "size", "salt"]).withColumn("rank", F.col("r") - 1 + F.col("offset"))
-    bases = F.array(*[F.lit(stride[i]).cast("bigint") for i in range(len(order))])
-    code = F.shiftleft(F.get(bases, F.col("b")) + F.col("size"), _RANK_BITS) + F.col("rank")
-
-    @F.pandas_udf("bigint")
-    def container_of(c):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        k, first, cont, each = shared.value
-        v = c.to_numpy(dtype=np.int64)
-        i = np.searchsorted(k, v, side="right") - 1
-        return pd.Series(cont[i] + ((v & ((1 << _RANK_BITS) - 1)) - first[i]) // each[i])
-
+    if salts > 1:
+        ranked = ranked.join(offsets, ["b", "size", "salt"])
+    placed = ranked.withColumn("rank", F.col("r") - 1 + (F.col("offset") if salts > 1 else F.lit(0))).select("b", "size", "ident", "whole", "rank").alias("p")
+    meets = (F.col("p.b") == F.col("q.b")) & (F.col("p.size") == F.col("q.size")) & (F.col("p.rank") >= F.col("q.first")) & (F.col("p.rank") < F.col("q.upto"))
+    found = placed.join(broadcast_if_small(runs, runs.count(), 56).alias("q"), meets).select("p.*", (F.col("q.container") + F.floor((F.col("p.rank") - F.col("q.first")) / F.col("q.per"))).cast("bigint").alias("at"))
     name = F.get(F.array(*[F.lit(b) for b in order]), F.col("b")).cast("int").alias("budget_id")
-    tails = placed.select(name, "ident", F.col("whole").cast("bigint").alias("part"), F.concat(F.lit("#"), container_of(code)).alias("container"), F.col("size").alias("tokens"))
+    tails = found.select(name, "ident", F.col("whole").cast("bigint").alias("part"), F.concat(F.lit("#"), F.col("at").cast("string")).alias("container"), F.col("size").alias("tokens"))
     full = items.filter("whole > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(name, "ident", F.col("part").cast("bigint").alias("part"), F.concat_ws("/", F.col("ident").cast("string"), "part").alias("container"), F.col("cap").alias("tokens"))
     nothing = items.filter("tokens = 0").select(name, "ident", F.lit(0).cast("bigint").alias("part"), F.lit("#0").alias("container"), F.lit(0).cast("bigint").alias("tokens"))
     return tails.unionByName(full).unionByName(nothing)

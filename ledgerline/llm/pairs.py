@@ -349,14 +349,28 @@ def question_response_pairs(turns: DataFrame, responses: DataFrame) -> DataFrame
     return own.unionByName(replies.join(asked, "turn_id", "left").select(F.lit("responses").alias("source"), F.col("key").alias("pair_id"), "question", "response"))
 
 
+def hash_sample(rows: DataFrame, columns: list[str], most: int) -> list:
+    """At most ``most`` rows, those of the least hashes, so that a sample is the same however rows are spread.
+
+    The rows are counted first; then only those below a hash at which about twice as many are expected
+    leave their tasks, with a sort of just these.
+    """
+    h = F.xxhash64(*columns)
+    total = rows.count()
+    keep = rows.select(*columns, h.alias("__h"))
+    if total > 2 * most:
+        keep = keep.filter(F.col("__h") < F.lit(-(1 << 63) + int((1 << 64) * (2 * most / total))))
+    return keep.orderBy("__h", *columns).limit(most).drop("__h").collect()
+
+
 def broken_pairs(pairs: DataFrame, sample: DataFrame, training_pairs: int = TRAINING_PAIRS) -> DataFrame:
     """(source, pair_id, defect): every defective pair of ``pairs`` (source, pair_id, question, response).
 
     The tagger is trained on at most ``training_pairs`` (question, response) rows of ``sample``, the
     least by hash; every pair is tagged. Null and empty responses are empty; very long ones are tagged whole.
     """
-    rows = sample.select("question", "response").filter("response is not null").orderBy(F.xxhash64("response", "question"), "response").limit(training_pairs).collect()
-    shared = pairs.sparkSession.sparkContext.broadcast(train([(r[0], r[1]) for r in rows]))
+    rows = hash_sample(sample.filter("response is not null"), ["response", "question"], training_pairs)
+    shared = pairs.sparkSession.sparkContext.broadcast(train([(r[1], r[0]) for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value

@@ -1,12 +1,27 @@
-"""Queries of the text problems (4, 7, 8, 9) and their SQL."""
+"""Queries of the problems 2, 4, 7, 8 and 9 and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.asof import listed_filings
+from ..operators.statements import statements
 from ..runtime import cut, table
-from . import leaks, packing, pairs, unify
+from . import leaks, packing, pairs, sql, survivors, unify
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.duplicate_facts(table(spark, d, "facts"))
+
+
+def p2_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Latest text value of each filer's attributes, its rows' own dates unused: order learned from all filers' dated rows."""
+    rows = statements(table(spark, d, "facts")).filter("value_text is not null").select("accession", "concept", "value_text")
+    listed = listed_filings(table(spark, d, "filings")).select("accession", "cik", "filing_date")
+    dated = rows.join(listed, "accession").filter("cik is not null")
+    order = survivors.learn_precedence(dated, ["cik"], "concept", "value_text", "filing_date")
+    return survivors.latest_values(dated, ["cik"], "concept", "value_text", order)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,8 +65,8 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_defects, p7_packed, p7_fill, p8_found, p8_near, p9_found, p9_classes)}
+    return {f.__name__: f for f in (p2_found, p2_latest, p4_found, p4_defects, p7_packed, p7_fill, p8_found, p8_near, p9_found, p9_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)

@@ -16,13 +16,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Unicode's default-ignorable ranges, blanks that are no Zs character, and letters that
-# share the shape of a Latin letter (Cyrillic, Greek, Armenian, Lisu-free subset of the public confusables).
-IGNORABLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF)]
-LOOKALIKE = dict(zip(
-    "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳօսցհɡ‐‑",
-    "ABESIJKMHOPCTYXaesijopcyxhdqwlABEZHIKMNOPTYXocjouqhg--",
-))
+from ..runtime import cut
+
+# Unicode's default-ignorable ranges, and letters that share the shape of a Latin letter
+# (single letters of the public confusables: Cyrillic, Greek, Armenian, Coptic, Cherokee, Lisu) with two hyphens.
+IGNORABLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
+LOOKALIKE = {
+    **dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏѵЅԌ", "ABESIJKMHOPCTYXaesijopcyxhdqwlvSG")),
+    **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳανρυι", "ABEZHIKMNOPTYXocjavpui")),
+    **dict(zip("օսցհɡոՍՕ", "ouqhgnUO")),
+    **dict(zip("ⲞⲟⲢⲣⲤⲥⲎⲒⲔⲘⲚⲦⲬ", "OoPpCcHIKMNTX")),
+    **dict(zip("ᎪᎬᎳᎷᎻᏀᏃᏟᏢᏦᏚᏙᎢᎫᎡᏞ", "AEWMHGZCPKSVTJRL")),
+    **dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU")),
+    **dict(zip("‐‑", "--")),
+}
 LINE_ENDS = {0x0B: "\n", 0x0C: "\n", 0x85: "\n", 0x2028: "\n", 0x2029: "\n"}
 
 
@@ -51,12 +58,14 @@ _SHAPES = _Shapes()
 
 
 def look(text: str) -> str:
-    """Canonically composed form in which width, kind of blank, unseen characters and look-alikes are one."""
+    """Canonically composed form in which width, kind of blank, unseen characters and look-alikes are one.
+
+    Letters are taken apart first, so that a look-alike under an accent, which composes to a letter of
+    its own alphabet, meets the Latin letter under that accent.
+    """
     if text.isascii():
         return text.translate(_SHAPES) if "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text else text
-    once = unicodedata.normalize("NFC", text).translate(_SHAPES)
-    # composition can yield another character with a look-alike, and removal can bring marks to their letter
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", once).translate(_SHAPES))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_SHAPES))
 
 
 def form(seen: str) -> str:
@@ -115,9 +124,9 @@ def lookalikes(documents: DataFrame, ident: str, text: str) -> DataFrame:
     Candidates share the compatibility form; equality of the look decides. Classes whose texts are all
     one string are dropped before any join. Pairs are first formed between the few distinct strings of
     a class and then expanded to their rows, so a string copied any number of times meets only rows that
-    belong to an output pair.
+    belong to an output pair. The hashes are computed once and written to the shared folder.
     """
-    rows = forms(documents, ident, text)
+    rows = cut(forms(documents, ident, text))
     strings = rows.groupBy("key", "seen", "raw").agg(F.count(F.lit(1)).alias("n"))
     mixed = strings.groupBy("key", "seen").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "seen")
     several = strings.join(mixed, ["key", "seen"], "left_semi").select("key", "seen", "raw")
@@ -131,6 +140,6 @@ def lookalikes(documents: DataFrame, ident: str, text: str) -> DataFrame:
 
 def look_classes(documents: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, class_id, strings): every row with the least id of its look and the look's number of distinct strings."""
-    rows = forms(documents, ident, text)
+    rows = cut(forms(documents, ident, text))
     per = rows.groupBy("key", "seen", "raw").agg(F.min("ident").alias("least")).groupBy("key", "seen").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("strings"))
     return rows.join(per, ["key", "seen"]).select("ident", "class_id", "strings")

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from ledgerline import runtime
 from ledgerline.llm import crf, leaks, packing, pairs, unify
 from tests.support import DATA, rows
 
@@ -26,6 +27,13 @@ def test_look_ignores_width_blanks_unseen_and_lookalikes_only():
     assert all(unify.form(unify.look(a)) == unify.form(unify.look(base)) for a in same)
 
 
+def test_lookalikes_under_accents_and_all_ignorable_ranges():
+    assert unify.look("nai\u0308ve") == unify.look("na\u0456\u0308ve") == unify.look("na\u0457ve") == "na\u00efve"
+    assert unify.look("\u0415\u0301t\u0435\u0301") == "\u00c9t\u00e9" and unify.look("\u0438\u0306") == "\u0439"
+    assert unify.look("a\U0001d173b\U0001bca1c\u180fd") == "abcd" and unify.look("\u03bd\u03c1\u03c5") == "vpu"
+    assert unify.look("\uff76\uff9e") == "\u30ac" and unify.look("\ud55c") == "\ud55c" and len(unify.LOOKALIKE) < 200
+
+
 def test_look_is_idempotent_and_never_finer_than_form():
     r = random.Random(1)
     alphabet = "aAéÉ̈  ​²2ﬁ１оОοKß\n\tœ"
@@ -75,9 +83,10 @@ def random_leaks(seed):
     return texts, items
 
 
-@pytest.mark.parametrize("limit", [leaks.VOCABULARY_LIMIT, 0])
-def test_leaks_equal_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(leaks, "VOCABULARY_LIMIT", limit)
+@pytest.mark.parametrize(("bits", "limit"), [(leaks.MAP_BITS, 48 << 20), (64, -1)])
+def test_leaks_equal_brute_force(spark, monkeypatch, bits, limit):
+    monkeypatch.setattr(leaks, "MAP_BITS", bits)
+    monkeypatch.setattr(runtime, "BROADCAST_LIMIT_BYTES", limit)
     texts, items = random_leaks(3)
     d = spark.createDataFrame(texts, "doc_id bigint, text string")
     q = spark.createDataFrame(items + items[:2], "item_id bigint, question string, passage string")
@@ -131,7 +140,10 @@ def test_plan_places_every_item_once_within_capacity():
         assert opened <= 1.23 * max(1, -(-total // cap)) + 1 + sum(n for s, n in sizes.items() if 2 * s > cap)
 
 
-def test_packed_items_are_whole_and_fit(spark):
+@pytest.mark.parametrize(("at_once", "limit"), [(packing.RANKED_AT_ONCE, 48 << 20), (30, -1)])
+def test_packed_items_are_whole_and_fit(spark, monkeypatch, at_once, limit):
+    monkeypatch.setattr(packing, "RANKED_AT_ONCE", at_once)
+    monkeypatch.setattr(runtime, "BROADCAST_LIMIT_BYTES", limit)
     r = random.Random(4)
     sized = [(i, r.choice([None, 0, 1, 3, 7, 7, 7, 10, 11, 25, 30])) for i in range(400)]
     b = spark.createDataFrame([(1, "a", 10), (2, "b", 7), (3, "c", 0), (4, "d", None)], "budget_id int, purpose string, capacity_tokens int")
@@ -151,6 +163,16 @@ def test_packed_items_are_whole_and_fit(spark):
     assert packing.pack(spark.createDataFrame([], "ident bigint, tokens bigint"), b).count() == 0
 
 
+def test_capacities_of_any_size(spark):
+    sized = spark.createDataFrame([(1, 999_999), (2, 1), (3, 2_500_000), (4, 1 << 40)], "ident bigint, tokens bigint")
+    b = spark.createDataFrame([(1, 1_000_000), (2, 2**31 - 1)], "budget_id int, capacity_tokens int")
+    got = packing.pack(sized, b)
+    fill = {(r.budget_id, r.container): r.t for r in got.groupBy("budget_id", "container").agg({"tokens": "sum"}).toDF("budget_id", "container", "t").collect()}
+    assert all(t <= (1_000_000 if k[0] == 1 else 2**31 - 1) for k, t in fill.items())
+    assert {(r.budget_id, r.ident): r.t for r in got.groupBy("budget_id", "ident").agg({"tokens": "sum"}).toDF("budget_id", "ident", "t").collect()} == {(k, i): n for k in (1, 2) for i, n in ((1, 999_999), (2, 1), (3, 2_500_000), (4, 1 << 40))}
+    assert len({r.container for r in got.filter("budget_id = 1 and ident in (1, 2)").collect()}) == 1
+
+
 def test_token_counts_are_those_of_the_public_tokenizer(spark):
     enc = packing._encoder(packing.VOCABULARY)
     texts = ["plain words", "Été 2024 — 12,5 %", "", "plain words", "y" * 9000, None]
@@ -238,3 +260,9 @@ def test_replies_of_any_length_may_say_nothing():
     skeleton = "<table>" + "<tr><td></td><td> n/a </td></tr>" * 20 + "</table>"
     assert pairs.says_nothing(skeleton[:190] + ">") and pairs.says_nothing(skeleton) and pairs.says_nothing("N/A\n" * 100) and pairs.says_nothing("| --- |\n" * 50)
     assert not pairs.says_nothing(skeleton + " Revenue rose.") and not pairs.says_nothing("N/A\n" * 100 + "7") and not pairs.says_nothing("<" * 100_000 + "word")
+
+
+def test_a_hash_sample_is_bounded_and_does_not_depend_on_partitions(spark):
+    df = spark.range(3000).selectExpr("cast(id % 2500 as string) as a", "cast(null as string) as b")
+    one, two = pairs.hash_sample(df.repartition(7), ["a", "b"], 100), pairs.hash_sample(df.coalesce(1), ["a", "b"], 100)
+    assert one == two and len(one) == 100 and len(pairs.hash_sample(df, ["a", "b"], 5000)) == 3000
