@@ -1,11 +1,11 @@
-"""Queries of the general training-data problems (1, 2, 3, 5, 6) over their whole tables."""
+"""Queries of the general training-data problems (1, 3, 5, 6) over their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, history, reconcile, survivors, wide
+from ..operators import asof, history, reconcile, wide
 from ..runtime import table
 
 #: Columns of the wide table shown by p3_wide.
@@ -16,19 +16,6 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return asof.filing_in_force(table(spark, d, "outcomes"), table(spark, d, "filings"))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.duplicate_facts(table(spark, d, "facts"))
-
-
-def p2_latest(spark: SparkSession, d: str) -> DataFrame:
-    """Latest text value of each filer's attributes, its rows' own dates unused: order learned from all filers' dated rows."""
-    rows = survivors.statements(table(spark, d, "facts")).filter("value_text is not null").select("accession", "concept", "value_text")
-    listed = asof.listed_filings(table(spark, d, "filings")).select("accession", "cik", "filing_date")
-    dated = rows.join(listed, "accession").filter("cik is not null")
-    order = survivors.learn_precedence(dated, ["cik"], "concept", "value_text", "filing_date")
-    return survivors.latest_values(dated, ["cik"], "concept", "value_text", order)
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return wide.filled_cells(table(spark, d, "facts"))
 
@@ -51,4 +38,4 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.compare_copies(ours, theirs, ["accession", "concept_group"], ["value", "matched_concept"], ("only_ours", "only_companyfacts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_latest, p3_found, p3_wide, p3_columns, p5_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_wide, p3_columns, p5_found, p6_found)}

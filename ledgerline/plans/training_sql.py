@@ -52,26 +52,6 @@ r AS (
   FROM facts WHERE (value IS NOT NULL OR value_text IS NOT NULL) AND id IS NOT NULL AND accession IS NOT NULL AND concept IS NOT NULL),
 h AS (SELECT *, CASE WHEN rank >= 10 THEN 0::decimal(38,10) WHEN rank < -26 THEN repeat('9', 28)::decimal(38,10) ELSE try_cast('5E' || (-(rank + 1))::varchar AS decimal(38,10)) END AS half FROM r)"""
 
-P2_FOUND = f"""
-WITH RECURSIVE {_RECORDS},
-g AS (SELECT *, dense_rank() OVER (ORDER BY accession, unit, start_date, end_date, concept) AS grp FROM h),
-todo AS (
-  SELECT 1 AS step, grp, id, rank, value, value_text, half, first_value(id) OVER w AS best, coalesce(
-           (value IS NOT DISTINCT FROM first_value(value) OVER w AND value_text IS NOT DISTINCT FROM first_value(value_text) OVER w)
-           OR abs(value - first_value(value) OVER w) <= half + first_value(half) OVER w, false) AS dup
-  FROM g WINDOW w AS (PARTITION BY grp ORDER BY rank DESC NULLS LAST, id)
-  UNION ALL
-  SELECT step + 1, grp, id, rank, value, value_text, half, first_value(id) OVER w, coalesce(
-           (value IS NOT DISTINCT FROM first_value(value) OVER w AND value_text IS NOT DISTINCT FROM first_value(value_text) OVER w)
-           OR abs(value - first_value(value) OVER w) <= half + first_value(half) OVER w, false)
-  FROM todo WHERE NOT dup WINDOW w AS (PARTITION BY grp ORDER BY rank DESC NULLS LAST, id)),
-m AS (SELECT best AS kept_id, id, rank FROM todo WHERE dup),
-o AS (SELECT m.kept_id, h.*, row_number() OVER (PARTITION BY m.kept_id ORDER BY h.rank DESC NULLS LAST, h.id) AS pos FROM m JOIN h USING (id))
-SELECT kept_id, arg_min(context_id, pos) FILTER (WHERE context_id IS NOT NULL) AS context_id, arg_min(source_doc, pos) FILTER (WHERE source_doc IS NOT NULL) AS source_doc,
-       arg_min(element_id, pos) FILTER (WHERE element_id IS NOT NULL) AS element_id
-FROM o GROUP BY kept_id HAVING count(*) > 1
-"""
-
 _CELLS = f"""{_RECORDS},
 b AS (SELECT *, first_value(value) OVER w AS bv, first_value(value_text) OVER w AS bt, first_value(half) OVER w AS bh, first_value(unit) OVER w AS bu, first_value(start_date) OVER w AS bs, first_value(rank) OVER w AS br
       FROM h WINDOW w AS (PARTITION BY accession, end_date, concept ORDER BY rank DESC NULLS LAST, id)),
@@ -110,18 +90,4 @@ SELECT accession, end_date, (max(value) FILTER (WHERE concept = 'Assets' AND kin
   max(try_cast(trim(value_text) AS date)) FILTER (WHERE concept = 'DocumentPeriodEndDate' AND kind = 'date') AS "DocumentPeriodEndDate"
 FROM k GROUP BY 1, 2"""
 
-P2_LATEST = f"""WITH {_RECORDS},
-l AS (SELECT {_ACC.format('accession')} AS accession, min(cik) AS cik, min(filing_date) AS filing_date FROM filings GROUP BY 1),
-d AS (SELECT l.cik, r.concept, r.value_text, l.filing_date FROM r JOIN l USING (accession) WHERE r.value_text IS NOT NULL AND l.cik IS NOT NULL),
-k AS (SELECT cik, concept, filing_date, min(value_text) AS newer FROM d WHERE filing_date IS NOT NULL GROUP BY 1, 2, 3),
-t AS (SELECT concept, lag(newer) OVER (PARTITION BY cik, concept ORDER BY filing_date) AS older, newer FROM k),
-m AS (SELECT concept, older, newer, count(*) AS support FROM t WHERE older <> newer GROUP BY 1, 2, 3),
-p AS (SELECT m.* FROM m LEFT JOIN m b ON b.concept = m.concept AND b.older = m.newer AND b.newer = m.older WHERE b.support IS NULL OR m.support > b.support),
-held AS (SELECT DISTINCT cik, concept, value_text AS v FROM d),
-e AS (SELECT a.cik, a.concept, p.older, p.newer, p.support FROM held a JOIN p ON p.concept = a.concept AND p.older = a.v JOIN held b ON b.cik = a.cik AND b.concept = a.concept AND b.v = p.newer),
-loss AS (SELECT cik, concept, older AS v, sum(support) AS s FROM e GROUP BY 1, 2, 3), gain AS (SELECT cik, concept, newer AS v, sum(support) AS s FROM e GROUP BY 1, 2, 3)
-SELECT cik, concept, arg_min(v, (lost, lack, v)) AS latest FROM (
-  SELECT held.*, CASE WHEN loss.s IS NULL THEN 0 ELSE 1 END AS lost, -coalesce(gain.s, 0) AS lack FROM held LEFT JOIN loss USING (cik, concept, v) LEFT JOIN gain USING (cik, concept, v))
-GROUP BY 1, 2"""
-
-SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_latest": P2_LATEST, "p3_found": P3_FOUND, "p3_wide": P3_WIDE, "p3_columns": P3_COLUMNS, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
+SQL = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_wide": P3_WIDE, "p3_columns": P3_COLUMNS, "p5_found": P5_FOUND, "p6_found": P6_FOUND}

@@ -1,4 +1,4 @@
-"""Problems 1, 2, 3, 5 and 6 on small fixtures: defined results for nulls, ties, repetitions and empty tables."""
+"""Problems 1, 3, 5 and 6 on small fixtures: defined results for nulls, ties, repetitions and empty tables."""
 
 import random
 from decimal import Decimal
@@ -6,7 +6,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import asof, cells, history, reconcile, survivors, wide
+from ledgerline.operators import asof, cells, history, reconcile, wide
+from ledgerline.operators.statements import half, statements
 from tests.support import A, B, C, fact, facts, filing, filings, rows
 
 
@@ -58,66 +59,13 @@ def brute_groups(data):
         for r in left[1:]:
             ok = (r[2], r[3]) == (best[2], best[3])
             if not ok and None not in (r[2], best[2], r[1], best[1]):
-                ok = abs(r[2] - best[2]) <= survivors._half(r[1]) + survivors._half(best[1])
+                ok = abs(r[2] - best[2]) <= half(r[1]) + half(best[1])
             (group if ok else rest).append(r)
         out.append(sorted(r[0] for r in group))
         left = rest
     return out
 
 
-def random_facts(seed, n=60, span=4000):
-    r = random.Random(seed)
-    out = []
-    for i in range(n):
-        d = r.choice(["-3", "-2", "0", "INF", None, " -3", ""])
-        v = None if r.random() < 0.1 else r.randrange(span)
-        out.append(fact(i, v, d, text=None if v is not None else r.choice(["x", "y"]), unit=r.choice(["USD", None]), ctx=r.choice([None, " ", f"c{i}"])))
-    return out
-
-
-@pytest.mark.parametrize("hot", [20_000, 3, 1])
-def test_survivors_equal_the_greedy_definition_however_hot_groups_are_cut(spark, hot):
-    data = random_facts(5)
-    df = survivors.statements(facts(spark, data))
-    got = survivors.representatives(df, ["accession", "unit", "start_date", "end_date", "concept"], ["context_id"], hot)
-    expected = set()
-    by = {r["id"]: r for r in df.collect()}
-    for unit in ("USD", None):
-        for g in brute_groups([(r["id"], r["rank"], r["value"], r["value_text"]) for r in by.values() if r["unit"] == unit]):
-            if len(g) > 1:
-                order = sorted(g, key=lambda i: (by[i]["rank"] is None, -(by[i]["rank"] or 0), i))
-                expected.add((order[0], len(g), next((by[i]["context_id"] for i in order if by[i]["context_id"]), None)))
-    assert {tuple(r) for r in got.collect()} == expected
-
-
-def test_survivors_complete_blank_fields_and_leave_nil_facts_out(spark):
-    f = facts(spark, [fact(1, 100, "0", ctx=None, src=" ", el=None), fact(2, 100, "-3", concept="us-gaap:Assets", ctx="c2", src="d2"), fact(3, 100, None, el="e3"), fact(4, None), fact(5, 700, "0"), fact(6, 700, "0", end=None), fact(7, 700, "0", end=None)])
-    assert rows(survivors.duplicate_facts(f)) == [(1, "c2", "d2", "e"), (6, "c", "d", "e")]
-    assert rows(survivors.duplicate_facts(facts(spark, []))) == []
-
-
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_fields_of_repeated_statements_come_from_the_next_best_record_that_has_them(spark, hot):
-    data = [fact(1, 100, "-1", ctx=None, src=None), fact(5, 105, "-1", ctx="B", src=None), fact(10, 100, "-1", ctx="A", src="d10"), fact(3, 100, "-2", ctx="C", src="d3"), fact(11, 105, "-1", ctx="D", src="d11"), fact(2, 100, "0", ctx=None, src=None), fact(12, 100, "0", ctx=None, src=None)]
-    df = survivors.statements(facts(spark, data))
-    got = survivors.representatives(df, ["accession", "concept"], ["context_id", "source_doc"], hot)
-    assert rows(got) == [(2, 7, "B", "d10")]
-
-
-def test_leftovers_are_judged_again(spark):
-    f = facts(spark, [fact(1, 1000, "INF"), fact(2, 1400, "-3"), fact(3, 5000, "-3"), fact(4, 5900, "-3"), fact(5, 9000, None), fact(6, 9000, None), fact(7, 9001, None)])
-    assert [r[0] for r in rows(survivors.duplicate_facts(f))] == [1, 3, 5]
-
-
-def test_learned_precedence_finds_the_latest_value(spark):
-    seen = [(c, "cat", v, f"20{10 + t}-01-01") for c in range(6) for t, v in enumerate(["small", "medium", "large"])] + [(7, "cat", "large", "2010-01-01"), (7, "cat", "small", "2011-01-01"), (8, "cat", None, "2012-01-01")]
-    df = spark.createDataFrame(seen, "cik int, a string, v string, t string")
-    order = survivors.learn_precedence(df, ["cik"], "a", "v", "t")
-    assert {(r.older, r.newer) for r in order.collect()} == {("small", "medium"), ("medium", "large"), ("large", "small")}
-    g = spark.createDataFrame([(1, "cat", "small"), (1, "cat", "medium"), (2, "cat", "medium"), (2, "cat", "large"), (3, "cat", "other"), (3, "cat", None)], "g int, a string, v string")
-    assert rows(survivors.latest_values(g, ["g"], "a", "v", order)) == [(1, "cat", "medium"), (2, "cat", "large"), (3, "cat", "other")]
-
-
 def test_cells_agree_exactly_when_one_group_holds_all_records(spark):
     data = []
     for s in range(80):
@@ -126,7 +74,7 @@ def test_cells_agree_exactly_when_one_group_holds_all_records(spark):
             d = r.choice(["-3", "-2", "0", "INF", None])
             data.append(fact(s * 10 + k, r.randrange(1200) if r.random() < 0.9 else None, d, concept=f"C{s}", text="t", unit=r.choice(["USD", "USD", "EUR"])))
             data[-1] = data[-1][:5] + (None if data[-1][4] is not None else "t",) + data[-1][6:]
-    df = survivors.statements(facts(spark, data))
+    df = statements(facts(spark, data))
     got = {r.concept: r["value"] for r in cells.agreed_cells(df, ["accession", "end_date", "concept"], ["unit", "start_date"]).collect()}
     want = {}
     for c in {x["concept"] for x in df.collect()}:
