@@ -65,16 +65,19 @@ def phrase_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"^the ", ""), r"(?: (?:inc|corp|corporation|co|company|ltd|plc|llc|group|holdings))+$", ""))
 
 
-def mentions(questions: DataFrame, ident: str, text: str, names: DataFrame, name: str, most_words: int = 8) -> DataFrame:
+def mentions(questions: DataFrame, ident: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """(ident, key, at, words): the names a question mentions, the longest at every place.
 
     ``names`` holds (name, key) with keys of ``phrase_key``. Word runs of a question are equi-joined with
-    the dictionary; a match inside a longer match of the question is dropped.
+    the dictionary, up to the length of its longest name; a match inside a longer match of the question
+    is dropped.
     """
+    known = names.select(F.col(name).alias("key")).filter("key <> ''").distinct()
+    most_words = known.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
     q = questions.select(F.col(ident).alias("ident"), F.split(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), r"['’]s\b", ""), r"[^\p{L}\p{N}&]+", " "), " +", " ")), " ").alias("w")).filter("ident is not null and w is not null")
-    runs = q.select("ident", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at")).select("ident", "at", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("at") + 1))).alias("n"))
+    runs = q.select("ident", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at")).select("ident", "at", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(1, most_words)), F.size("w") - F.col("at") + 1))).alias("n"))
     grams = runs.select("ident", "at", "n", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("key"))
-    met = grams.join(names.select(F.col(name).alias("key")).filter("key <> ''").distinct(), "key", "left_semi")
+    met = grams.join(known, "key", "left_semi")
     ahead = F.max(F.col("at") + F.col("n")).over(Window.partitionBy("ident").orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
     kept = met.withColumn("__until", ahead).filter(F.col("__until").isNull() | (F.col("at") + F.col("n") > F.col("__until")))
     return kept.select(F.col("ident").alias(ident), "key", "at", F.col("n").alias("words"))

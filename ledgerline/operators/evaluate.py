@@ -70,6 +70,17 @@ def section_audit(lengths: DataFrame, key: list[str]) -> DataFrame:
     return joined.select(*key, "section_id", "chars", verdict.alias("verdict"))
 
 
+def absorbed(passages: DataFrame, key: list[str], section: str, text: str, ident: str, headings: dict[str, str]) -> DataFrame:
+    """(key..., section_id, documents, first_doc): sections that a key lacks but whose heading pattern another passage of it holds.
+
+    Each passage is tested where it is read and only the names of matching sections travel. Null texts hold none.
+    """
+    tests = F.array_compact(F.array(*[F.when(F.lower(text).rlike(p), F.lit(s)) for s, p in headings.items()]))
+    spoken = passages.select(*key, F.col(ident).alias("__d"), F.explode(tests).alias("section_id")).groupBy(*key, "section_id").agg(F.count(F.lit(1)).alias("documents"), F.min("__d").alias("first_doc"))
+    has = passages.select(*key, F.col(section).alias("section_id")).distinct()
+    return spoken.join(has, [*key, "section_id"], "left_anti")
+
+
 def compare_audits(before: DataFrame, after: DataFrame, key: list[str], value: str) -> DataFrame:
     """(key..., before, after, change): gained, lost, shifted or same by a full outer join."""
     a = before.select(*key, F.col(value).alias("before"))

@@ -20,6 +20,12 @@ METRICS = {
     "capex": ("duration", "money", {"default": [["PaymentsToAcquirePropertyPlantAndEquipment", "PaymentsToAcquireProductiveAssets"]]}, ["capex", "capital expenditures", "capital spending", "purchases of property and equipment", "payments to acquire property plant and equipment"]),
     "eps_diluted": ("duration", "per_share", {"default": [["EarningsPerShareDiluted"]]}, ["eps", "diluted eps", "earnings per share", "diluted earnings per share"]),
 }
+STATEMENTS = {"income": ("revenue", "net_income", "operating_income", "gross_profit", "rd_expense", "eps_diluted"), "balance": ("total_assets", "total_liabilities", "stockholders_equity", "cash_and_equivalents"), "cash_flow": ("operating_cash_flow", "capex")}
+LABELS = {
+    "revenue": "Total net revenue", "net_income": "Net income", "operating_income": "Operating income", "gross_profit": "Gross profit", "rd_expense": "Research and development expense", "total_assets": "Total assets", "total_liabilities": "Total liabilities",
+    "stockholders_equity": "Total stockholders' equity", "cash_and_equivalents": "Cash and cash equivalents", "operating_cash_flow": "Net cash provided by operating activities", "capex": "Capital expenditures", "eps_diluted": "Diluted earnings per share",
+}
+#: Concepts prescribed for a filer: metric, ticker, first and last fiscal label, concept; the first applicable row counts.
 OVERRIDES = [("revenue", "BLK", None, None, "RevenueFromContractWithCustomerExcludingAssessedTax")]
 
 
@@ -39,3 +45,8 @@ def overrides(spark: SparkSession) -> DataFrame:
 
 def aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, m) for m, (_, _, _, names) in METRICS.items() for a in names], "alias string, metric string")
+
+
+def statements(spark: SparkSession) -> DataFrame:
+    """(metric, statement) in which a metric is printed."""
+    return spark.createDataFrame([(m, s) for s, ms in STATEMENTS.items() for m in ms], "metric string, statement string")

@@ -1,69 +1,149 @@
 """Point-in-time resolution of one exact figure per (ticker, metric, period), or a named reason.
 
-The plan is set-based: requests meet filings by ticker and period, public filings of the newest period
-meet candidate facts, every filing's first tier with facts decides, and the newest filing that resolves wins.
+Every filing is resolved once for every metric, whoever asks: its facts meet the candidate concepts where
+they are read, the first tier with facts decides. Requests are reduced to distinct (period key, day) pairs
+and meet the filings as events meet versions, so neither a ticker with many filings nor a day asked for
+often is ever paired row by row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fmt
 from ..functions.text import local_name
 from . import registry
+from .asof import as_known
 
+#: Day that stands for "no bound".
+ALWAYS = "9999-12-31"
+#: Numerals that a text must hold to count as a statement.
+LEAST_NUMERALS = 20
 
-def resolve(requests: DataFrame, filings: DataFrame, store: DataFrame, current_year: int) -> DataFrame:
-    """One row per request: (request_id, status, reason, value, unit, concept, rule, accession, restated).
 
-    ``requests`` hold request_id, ticker, metric, kind (fiscal_label, calendar_year, period_end, latest),
-    label, period_end and as_of; ``store`` holds each filing's own-period facts. A null as_of sets no bound.
+def _forced(metric: Column, ticker: Column, label: Column) -> Column:
+    """Concept that an override prescribes for a metric, ticker and fiscal label; the first applicable one counts."""
+    out = F.lit(None).cast("string")
+    for m, t, first, last, concept in reversed(registry.OVERRIDES):
+        applies = (metric == m) & (ticker == t)
+        applies = applies & (label >= first) if first is not None else applies
+        applies = applies & (label <= last) if last is not None else applies
+        out = F.when(F.coalesce(applies, F.lit(False)), F.lit(concept)).otherwise(out)
+    return out
+
+
+def resolve_filings(filings: DataFrame, store: DataFrame) -> DataFrame:
+    """(accession, metric, reason, hit): every metric of which a filing states a candidate.
+
+    ``hit`` has value, unit, concept, rule and scale_raw, or is null with ``reason`` ``ambiguous_concept``.
+    An override that applies replaces all tiers. ``filings`` hold one row per accession; null values
+    and unlisted filings are left out.
     """
-    spark = requests.sparkSession
-    known_metrics = F.broadcast(registry.candidates(spark).select("metric", "period_type").distinct())
-    r = requests.select("request_id", F.upper("ticker").alias("ticker"), "metric", "kind", "label", "period_end", "as_of").join(known_metrics, "metric", "left")
-    f = filings.select("accession", F.upper("ticker").alias("ticker"), F.col("period_end").alias("f_end"), "fiscal_label", "filing_date", F.upper("form_type").like("%/A").alias("amended")).dropDuplicates(["accession"])
-    # requests of one shape share all matching work: distinct (ticker, kind, label, end, as_of)
-    fits = F.when(F.col("kind") == "fiscal_label", F.col("fiscal_label") == F.col("label")).when(F.col("kind") == "calendar_year", F.year("f_end") == F.col("label")).when(F.col("kind") == "period_end", F.col("f_end") == F.col("period_end")).otherwise(F.lit(True))
-    matched = r.join(f, "ticker").filter(fits).withColumn("public", F.col("as_of").isNull() | (F.col("filing_date") <= F.col("as_of")))
-    ends = matched.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("public").alias("n_public"), F.max(F.when(F.col("public"), F.col("f_end"))).alias("newest"))
-    chosen = matched.filter("public").join(ends.select("request_id", "newest"), "request_id").filter("f_end = newest").select("request_id", "ticker", "metric", "period_type", "accession", "fiscal_label", "filing_date", "amended")
-
-    facts = store.filter("value is not null").select("accession", local_name(F.col("concept")).alias("concept"), "value", "unit", F.col("period_type").alias("f_type"))
-    covered = chosen.join(facts.select("accession").distinct(), "accession", "left_semi")
-    sectors = F.broadcast(registry.sectors(spark))
-    cand = F.broadcast(registry.candidates(spark).drop("period_type"))
-    over = F.broadcast(registry.overrides(spark).withColumnRenamed("concept", "o_concept"))
-    placed = covered.join(sectors, "ticker", "left").join(over, ["metric", "ticker"], "left")
-    has_sector = F.broadcast(registry.candidates(spark).select("metric", F.col("sector").alias("own")).distinct())
-    placed = placed.join(has_sector, (placed["metric"] == has_sector["metric"]) & (placed["sector"] == has_sector["own"]), "left").drop(has_sector["metric"])
-    placed = placed.withColumn("sector", F.coalesce("own", F.lit("default")))
-    applies = F.col("o_concept").isNotNull() & (F.col("fiscal_from").isNull() | (F.col("fiscal_label") >= F.col("fiscal_from"))) & (F.col("fiscal_to").isNull() | (F.col("fiscal_label") <= F.col("fiscal_to")))
-    tiers = placed.filter(~applies).join(cand, ["metric", "sector"]).select("request_id", "accession", "period_type", "tier", "concept", F.lit(False).alias("override"))
-    forced = placed.filter(applies).select("request_id", "accession", "period_type", F.lit(1).alias("tier"), F.col("o_concept").alias("concept"), F.lit(True).alias("override"))
-    met = tiers.unionByName(forced).join(facts, ["accession", "concept"]).filter("f_type = period_type")
-    per_tier = met.groupBy("request_id", "accession", "tier").agg(F.count_distinct("value").alias("values"), F.count_distinct("concept").alias("concepts"), F.min(F.struct("concept", "value", "unit")).alias("pick"), F.max("override").alias("override"))
-    decided = per_tier.groupBy("request_id", "accession").agg(F.min_by(F.struct("values", "concepts", "pick", "override", "tier"), "tier").alias("t"))
-    rule = F.when(F.col("t.override"), "override").otherwise(F.concat(F.when(F.col("t.concepts") == 1, "single_candidate").otherwise("candidates_agree"), F.when(F.col("t.tier") > 1, F.concat(F.lit("_tier"), F.col("t.tier").cast("string"))).otherwise("")))
-    outcome = covered.join(decided, ["request_id", "accession"], "left").select(
-        "request_id", "accession", "filing_date", "amended",
-        F.when(F.col("t").isNull(), "metric_not_found_in_filing").when(F.col("t.values") > 1, "ambiguous_concept").alias("reason"),
-        F.when(F.col("t.values") == 1, F.struct(F.col("t.pick.value").alias("value"), F.col("t.pick.unit").alias("unit"), F.col("t.pick.concept").alias("concept"), rule.alias("rule"))).alias("hit"),
+    spark = filings.sparkSession
+    cand = registry.candidates(spark)
+    forced = registry.overrides(spark).join(cand.select("metric", "period_type").distinct(), "metric").select("metric", "period_type", F.lit("").alias("sector"), F.lit(1).alias("tier"), "concept")
+    wanted = F.broadcast(cand.unionByName(forced).distinct())  # the registry: a fixed list
+    own = F.broadcast(registry.sectors(spark).join(cand.select("metric", "sector").distinct(), "sector").select("ticker", "metric", F.col("sector").alias("own")))
+    facts = store.filter("value is not null").select("accession", local_name(F.col("concept")).alias("concept"), "value", "unit", "period_type", "scale_raw")
+    met = facts.join(wanted, ["concept", "period_type"]).join(filings.select("accession", "ticker", "fiscal_label"), "accession").join(own, ["ticker", "metric"], "left")
+    met = met.withColumn("forced", _forced(F.col("metric"), F.col("ticker"), F.col("fiscal_label")))
+    met = met.filter(F.when(F.col("forced").isNotNull(), (F.col("sector") == "") & (F.col("concept") == F.col("forced"))).otherwise(F.col("sector") == F.coalesce("own", F.lit("default"))))
+    tiers = met.groupBy("accession", "metric", "tier").agg(
+        (F.min("value") == F.max("value")).alias("one"), (F.min("concept") == F.max("concept")).alias("single"), F.min(F.struct("concept", "value", "unit", "scale_raw")).alias("pick"), F.bool_or(F.col("forced").isNotNull()).alias("forced")
     )
-    order = F.struct("filing_date", "accession")
-    best = outcome.groupBy("request_id").agg(
-        F.max_by(F.struct("accession", "amended", "hit"), F.when(F.col("hit").isNotNull(), order)).alias("won"), F.min_by("reason", order).alias("last_reason"), F.count_if(F.col("hit").isNotNull()).alias("hits"),
+    first = tiers.groupBy("accession", "metric").agg(F.min(F.struct("tier", "one", "single", "pick", "forced")).alias("t"))
+    later = F.when(F.col("t.tier") > 1, F.concat(F.lit("_tier"), F.col("t.tier").cast("string"))).otherwise("")
+    rule = F.when(F.col("t.forced"), "override").otherwise(F.concat(F.when(F.col("t.single"), "single_candidate").otherwise("candidates_agree"), later))
+    hit = F.struct(F.col("t.pick.value").alias("value"), F.col("t.pick.unit").alias("unit"), F.col("t.pick.concept").alias("concept"), rule.alias("rule"), F.col("t.pick.scale_raw").alias("scale_raw"))
+    return first.select("accession", "metric", F.when(~F.col("t.one"), "ambiguous_concept").alias("reason"), F.when(F.col("t.one"), hit).alias("hit"))
+
+
+def _period_keys(filings: DataFrame) -> DataFrame:
+    """Filings once for every key by which a period may be asked for."""
+    keys = F.array(
+        F.concat_ws("|", "ticker", F.lit("fiscal_label"), F.col("fiscal_label").cast("string")), F.concat_ws("|", "ticker", F.lit("calendar_year"), F.year("f_end").cast("string")),
+        F.concat_ws("|", "ticker", F.lit("period_end"), F.col("f_end").cast("string")), F.concat_ws("|", "ticker", F.lit("latest"), F.lit("")),
     )
-    known = f.select("ticker").distinct().withColumn("known", F.lit(True))
-    full = r.join(known, "ticker", "left").join(ends, "request_id", "left").join(best, "request_id", "left")
+    return filings.filter("ticker is not null and f_end is not null and filing_date is not null").withColumn("key", F.explode(keys))
+
+
+def resolve(requests: DataFrame, filings: DataFrame, store: DataFrame, current_year: int) -> DataFrame:
+    """One row per request: (request_id, metric, ticker, status, reason, value, unit, concept, rule, scale_raw, accession, fiscal_label, restated, amendment_accession).
+
+    ``requests`` hold request_id (unique), ticker, metric, kind (fiscal_label, calendar_year, period_end,
+    latest), label, period_end and as_of; ``store`` holds each filing's own-period facts. A null as_of
+    sets no bound. Public filings of the newest period are tried newest first; the first that resolves
+    wins, else the reason of the oldest counts. ``amendment_accession`` names the newest public amendment
+    of the period if it isn't the filing that won. Repeated listings count once; requests without a
+    ticker know no company.
+    """
+    asked_for = F.when(F.col("kind").isin("fiscal_label", "calendar_year"), F.col("label").cast("string")).when(F.col("kind") == "period_end", F.col("period_end").cast("string")).otherwise("")
+    known_kind = F.when(F.col("kind").isin("fiscal_label", "calendar_year", "period_end"), F.col("kind")).otherwise("latest")
+    r = requests.select("request_id", F.upper("ticker").alias("ticker"), "metric", "kind", "label", F.coalesce(F.col("as_of").cast("date"), F.lit(ALWAYS).cast("date")).alias("day"), F.concat(F.upper("ticker"), F.lit("|"), known_kind, F.lit("|"), asked_for).alias("key"))
+    listed = filings.groupBy("accession").agg(F.max(F.upper("ticker")).alias("ticker"), F.max("period_end").alias("f_end"), F.max("fiscal_label").alias("fiscal_label"), F.max("filing_date").alias("filing_date"), F.max(F.upper("form_type")).like("%/A").alias("amended"))
+    outcomes = resolve_filings(listed, store)
+    stored = store.filter("value is not null").select("accession").distinct().withColumn("covered", F.lit(True))
+    keyed = _period_keys(listed.join(stored, "accession", "left")).select("key", "accession", "f_end", "fiscal_label", "filing_date", "amended", "covered")
+
+    asks = r.filter("key is not null").select("key", "day").distinct()
+    first = keyed.groupBy("key").agg(F.min("filing_date").alias("first_filed"))
+    days = keyed.groupBy("key", "filing_date").agg(F.max("f_end").alias("f_end")).withColumn("f_end", F.max("f_end").over(Window.partitionBy("key").orderBy("filing_date")))
+    newest = as_known(asks, days, ["key"], "day", "filing_date", [F.col("f_end")]).select("key", "day", F.col("known.f_end").alias("f_end"))
+    order = F.struct("filing_date", "accession")
+    period = keyed.groupBy("key", "f_end").agg(F.min(F.when(F.col("covered"), F.col("filing_date"))).alias("covered_from"), F.min(order).alias("__oldest")).select("key", "f_end", "covered_from", F.col("__oldest.accession").alias("oldest"))
+    amendments = as_known(newest, keyed.filter("amended").select("key", "f_end", "filing_date", "accession"), ["key", "f_end"], "day", "filing_date", [F.col("accession")]).select("key", "day", F.col("known.accession").alias("amendment"))
+    by_metric = r.select("key", "day", "metric").distinct().join(newest, ["key", "day"])
+    hits = keyed.join(outcomes.filter("hit is not null"), "accession").select("key", "f_end", "metric", "filing_date", "accession", "fiscal_label", "amended", "hit")
+    won = as_known(by_metric, hits, ["key", "f_end", "metric"], "day", "filing_date", [F.col("accession")]).select("key", "day", "metric", F.col("known").alias("won"))
+
+    periods = newest.join(period, ["key", "f_end"]).join(amendments, ["key", "day"], "left")
+    supported = F.broadcast(registry.candidates(requests.sparkSession).select("metric", F.lit(True).alias("supported")).distinct())
+    known = listed.select("ticker").distinct().withColumn("known", F.lit(True))
+    full = r.join(supported, "metric", "left").join(known, "ticker", "left").join(first, "key", "left").join(periods, ["key", "day"], "left").join(won, ["key", "day", "metric"], "left")
+    full = full.join(outcomes.select(F.col("accession").alias("oldest"), "metric", F.col("reason").alias("old_reason")), ["oldest", "metric"], "left")
     late = F.col("kind").isin("fiscal_label", "calendar_year") & (F.col("label") > current_year)
     reason = (
-        F.when(F.col("period_type").isNull(), "metric_not_supported").when(F.col("known").isNull(), "company_not_found").when(F.col("n").isNull() & late, "future_period").when(F.col("n").isNull(), "period_not_covered")
-        .when(F.col("n_public") == 0, "period_not_filed_as_of").when(F.col("hits").isNull(), "period_not_covered").when(F.col("hits") == 0, F.col("last_reason"))
+        F.when(F.col("supported").isNull(), "metric_not_supported").when(F.col("known").isNull(), "company_not_found").when(F.col("first_filed").isNull() & late, "future_period").when(F.col("first_filed").isNull(), "period_not_covered")
+        .when(F.col("first_filed") > F.col("day"), "period_not_filed_as_of").when(F.col("covered_from").isNull() | (F.col("covered_from") > F.col("day")), "period_not_covered").when(F.col("won").isNull(), F.coalesce("old_reason", F.lit("metric_not_found_in_filing")))
+    )
+    full = full.withColumn("reason", reason)
+    good = lambda c: F.when(F.col("reason").isNull(), c)
+    other = F.when(~F.col("amendment").eqNullSafe(F.col("won.accession")), F.col("amendment"))
+    return full.select(
+        "request_id", "metric", "ticker", F.when(F.col("reason").isNull(), "resolved").otherwise("abstained").alias("status"), "reason", *[good(F.col(f"won.hit.{c}")).alias(c) for c in ("value", "unit", "concept", "rule", "scale_raw")],
+        good(F.col("won.accession")).alias("accession"), good(F.col("won.fiscal_label")).alias("fiscal_label"), good(F.col("won.amended")).alias("restated"), good(other).alias("amendment_accession"),
+    )
+
+
+def validate(resolved: DataFrame, statements: DataFrame) -> DataFrame:
+    """``resolved`` with ``validation_status``: whether the figure is printed in its filing's statement.
+
+    ``statements`` hold (ticker, fiscal_label, statement, text), one row each. validated: a printed form
+    of the figure at its tagged scale stands in the text; unvalidated: there is no text or it holds
+    fewer than ``LEAST_NUMERALS`` numerals; else conflict. The value is never changed. Each distinct
+    figure of a statement is looked up once, so a text meets it once, however many requests share it.
+    """
+    spark = resolved.sparkSession
+    kind = F.broadcast(registry.statements(spark))
+    asked = resolved.join(kind, "metric", "left")
+    figures = asked.filter("status = 'resolved'").select("ticker", "fiscal_label", "statement", "value", "scale_raw").distinct()
+    power = F.coalesce(F.trim("scale_raw").try_cast("int"), F.lit(0))
+    step = F.concat(F.lit("1E"), (-power).cast("string")).try_cast("decimal(38,10)")
+    shown = F.abs("value").cast("decimal(28,10)") * step.cast("decimal(20,10)")
+    forms = F.array(fmt.grouped(shown.cast("decimal(38,10)")), fmt.plain(shown.cast("decimal(38,10)")))
+    flat = F.regexp_replace("text", "[\\s ]+", " ")
+    judged = figures.join(statements, ["ticker", "fiscal_label", "statement"]).select(
+        "ticker", "fiscal_label", "statement", "value", "scale_raw", F.exists(forms, lambda x: F.contains(flat, x)).alias("__printed"), F.size(F.regexp_extract_all(flat, F.lit(r"(\d{1,3}(?:,\d{3})+|\d{4,})"), F.lit(1))).alias("__numerals"),
     )
-    return full.select("request_id", F.when(reason.isNull(), "resolved").otherwise("abstained").alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.col("won.hit.value")).alias("value"), F.when(reason.isNull(), F.col("won.hit.unit")).alias("unit"),
-                       F.when(reason.isNull(), F.col("won.hit.concept")).alias("concept"), F.when(reason.isNull(), F.col("won.hit.rule")).alias("rule"), F.when(reason.isNull(), F.col("won.accession")).alias("accession"), F.when(reason.isNull(), F.col("won.amended")).alias("restated"))
+    keys = ["ticker", "fiscal_label", "statement", "value", "scale_raw"]
+    on = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"j.{k}")) for k in keys])
+    full = asked.alias("a").join(judged.alias("j"), on, "left")
+    status = F.when(F.col("j.__printed"), "validated").when(F.coalesce(F.col("j.__numerals"), F.lit(0)) < LEAST_NUMERALS, "unvalidated").otherwise("conflict")
+    return full.select(*[F.col(f"a.{c}") for c in resolved.columns], F.when(F.col("a.status") == "resolved", status).alias("validation_status"))
 
 
 def coverage(resolved: DataFrame) -> DataFrame:

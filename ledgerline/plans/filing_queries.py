@@ -209,9 +209,14 @@ def label_check(spark, d):
 
 
 def _requests(spark, d):
-    rows = table(spark, d, "outcomes").select("outcome_id", "ticker", "fiscal_label", iso_day(F.col("as_of")).alias("as_of")).distinct()
-    metrics = F.explode(F.array(*[F.lit(m) for m in ("revenue", "net_income", "total_assets", "stockholders_equity", "capex")]))
-    return rows.withColumn("metric", metrics).select(F.concat_ws("/", F.col("outcome_id").cast("string"), "metric").alias("request_id"), "ticker", "metric", F.lit("fiscal_label").alias("kind"), F.col("fiscal_label").alias("label"), F.lit(None).cast("date").alias("period_end"), "as_of")
+    """Every metric of the registry and every kind of period for each outcome; its period's end is that of the filer's year."""
+    rows = table(spark, d, "outcomes").select("outcome_id", F.upper("ticker").alias("ticker"), "fiscal_label", iso_day(F.col("as_of")).alias("as_of")).distinct()
+    ends = table(spark, d, "filings").groupBy(F.upper("ticker").alias("ticker"), "fiscal_label").agg(F.max("period_end").alias("__end"))
+    asked = rows.join(ends, ["ticker", "fiscal_label"], "left")
+    asked = asked.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in registry.METRICS]))).withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("fiscal_label", "calendar_year", "period_end", "latest")])))
+    label = F.when(F.col("kind").isin("fiscal_label", "calendar_year"), F.col("fiscal_label"))
+    ident = F.concat_ws("/", F.col("outcome_id").cast("string"), "metric", "kind", F.coalesce(F.col("as_of").cast("string"), F.lit("")), F.coalesce(F.col("fiscal_label").cast("string"), F.lit("")), F.coalesce("ticker", F.lit("")))
+    return asked.select(ident.alias("request_id"), "ticker", "metric", "kind", label.alias("label"), F.when(F.col("kind") == "period_end", F.col("__end")).alias("period_end"), "as_of")
 
 
 def _resolved(spark, d):
@@ -220,47 +225,49 @@ def _resolved(spark, d):
 
 
 _CANDS = ", ".join(f"('{m}', '{p}', '{s}', {i}, '{c}')" for m, (p, _, ss, _) in registry.METRICS.items() for s, ts in ss.items() for i, t in enumerate(ts, 1) for c in t)
+_KINDS = "('fiscal_label'), ('calendar_year'), ('period_end'), ('latest')"
 _RESOLVED = f"""WITH {_F}, {_ANNUAL}, cand(metric, period_type, sector, tier, concept) AS (VALUES {_CANDS}),
+ends AS (SELECT upper(ticker) AS ticker, fiscal_label, max(period_end) AS e FROM filings GROUP BY 1, 2),
 q AS (SELECT DISTINCT outcome_id, upper(ticker) AS ticker, fiscal_label AS label, try_cast(nullif(regexp_extract(trim(as_of), '^(\\d{{4}}-\\d{{2}}-\\d{{2}})([T ].*)?$', 1), '') AS date) AS as_of FROM outcomes),
-r AS (SELECT outcome_id::varchar || '/' || metric AS request_id, q.*, metric FROM q, (VALUES ('revenue'), ('net_income'), ('total_assets'), ('stockholders_equity'), ('capex')) m(metric)),
-m AS (SELECT r.*, f.accession, f.period_end AS f_end, f.filing_date, upper(f.form_type) LIKE '%/A' AS amended, r.as_of IS NULL OR f.filing_date <= r.as_of AS public FROM r JOIN f ON upper(f.ticker) = r.ticker AND f.fiscal_label = r.label),
-ends AS (SELECT request_id, count(*) AS n, count(*) FILTER (WHERE public) AS n_public, max(f_end) FILTER (WHERE public) AS newest FROM m GROUP BY 1),
-st AS (SELECT accession, trim(regexp_replace(concept, '^.*:', '')) AS concept, value, unit, period_type FROM annual),
-cov AS (SELECT m.* FROM m JOIN ends USING (request_id) WHERE public AND f_end = newest AND accession IN (SELECT accession FROM st)),
-t AS (SELECT cov.request_id, cov.accession, cand.tier, count(DISTINCT st.value) AS vals, count(DISTINCT st.concept) AS concepts, min((st.concept, st.value, st.unit)) AS pick
-  FROM cov JOIN cand ON cand.metric = cov.metric AND cand.sector = 'default' JOIN st ON st.accession = cov.accession AND st.concept = cand.concept AND st.period_type = cand.period_type GROUP BY 1, 2, 3),
-dec AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY request_id, accession ORDER BY tier) = 1),
-o AS (SELECT cov.request_id, cov.accession, cov.filing_date, cov.amended, CASE WHEN dec.vals IS NULL THEN 'metric_not_found_in_filing' WHEN dec.vals > 1 THEN 'ambiguous_concept' END AS reason, dec.pick, dec.concepts, dec.tier, coalesce(dec.vals = 1, false) AS hit
-  FROM cov LEFT JOIN dec USING (request_id, accession)),
-best AS (SELECT request_id, arg_max(accession, (filing_date, accession)) FILTER (WHERE hit) AS accession, arg_max(amended, (filing_date, accession)) FILTER (WHERE hit) AS amended, arg_max(pick, (filing_date, accession)) FILTER (WHERE hit) AS pick,
-  arg_max(concepts, (filing_date, accession)) FILTER (WHERE hit) AS concepts, arg_max(tier, (filing_date, accession)) FILTER (WHERE hit) AS tier, arg_min(coalesce(reason, ''), (filing_date, accession)) AS last_reason, count(*) FILTER (WHERE hit) AS hits FROM o GROUP BY 1),
-x AS (SELECT r.request_id, CASE WHEN r.ticker NOT IN (SELECT upper(ticker) FROM f) THEN 'company_not_found' WHEN ends.n IS NULL AND r.label > {THIS_YEAR} THEN 'future_period' WHEN ends.n IS NULL THEN 'period_not_covered'
-    WHEN ends.n_public = 0 THEN 'period_not_filed_as_of' WHEN best.hits IS NULL THEN 'period_not_covered' WHEN best.hits = 0 THEN best.last_reason END AS reason, best.* EXCLUDE (request_id)
-  FROM r LEFT JOIN ends USING (request_id) LEFT JOIN best USING (request_id)),
-resolved AS (SELECT request_id, CASE WHEN reason IS NULL THEN 'resolved' ELSE 'abstained' END AS status, reason, CASE WHEN reason IS NULL THEN pick[2]::varchar END AS value, CASE WHEN reason IS NULL THEN pick[3] END AS unit, CASE WHEN reason IS NULL THEN pick[1] END AS concept,
-  CASE WHEN reason IS NULL THEN CASE WHEN concepts = 1 THEN 'single_candidate' ELSE 'candidates_agree' END || CASE WHEN tier > 1 THEN '_tier' || tier::varchar ELSE '' END END AS rule,
-  CASE WHEN reason IS NULL THEN accession END AS accession, CASE WHEN reason IS NULL THEN amended END AS restated FROM x)"""
-
-
-@query(f"{_RESOLVED} SELECT * FROM resolved")
+s AS (SELECT DISTINCT q.ticker, kind, CASE WHEN kind IN ('fiscal_label', 'calendar_year') THEN label END AS label, CASE WHEN kind = 'period_end' THEN ends.e END AS pend, coalesce(as_of, DATE '9999-12-31') AS day, q.label AS asked, q.as_of
+  FROM q LEFT JOIN ends ON ends.ticker = q.ticker AND ends.fiscal_label = q.label, (VALUES {_KINDS}) k(kind)),
+sh AS (SELECT *, row_number() OVER () AS sid FROM s),
+st AS (SELECT accession, trim(regexp_replace(concept, '^.*:', '')) AS concept, value, unit, period_type, scale_raw FROM annual),
+t AS (SELECT st.accession, cand.metric, cand.tier, count(DISTINCT st.value) AS vals, count(DISTINCT st.concept) AS concepts, min((st.concept, st.value, st.unit)) AS pick FROM st JOIN cand ON cand.sector = 'default' AND st.concept = cand.concept AND st.period_type = cand.period_type GROUP BY 1, 2, 3),
+dec AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY accession, metric ORDER BY tier) = 1),
+m AS (SELECT sh.sid, f.accession, f.period_end AS f_end, f.filing_date, f.fiscal_label, upper(f.form_type) LIKE '%/A' AS amended, f.filing_date <= sh.day AS public FROM sh JOIN f ON upper(f.ticker) = sh.ticker
+  AND CASE kind WHEN 'fiscal_label' THEN f.fiscal_label = sh.label WHEN 'calendar_year' THEN year(f.period_end) = sh.label WHEN 'period_end' THEN f.period_end = sh.pend ELSE true END),
+g AS (SELECT sid, count(*) AS n, count(*) FILTER (WHERE public) AS n_public, max(f_end) FILTER (WHERE public) AS newest FROM m GROUP BY 1),
+el AS (SELECT m.* FROM m JOIN g USING (sid) WHERE public AND f_end = newest),
+cov AS (SELECT sid, bool_or(accession IN (SELECT accession FROM st)) AS covered, arg_max(accession, (filing_date, accession)) FILTER (WHERE amended) AS amendment, arg_min(accession, (filing_date, accession)) AS oldest FROM el GROUP BY 1),
+won AS (SELECT el.sid, dec.metric, arg_max((el.accession, el.amended, el.fiscal_label, dec.pick, dec.concepts, dec.tier), (el.filing_date, el.accession)) AS w FROM el JOIN dec USING (accession) WHERE dec.vals = 1 GROUP BY 1, 2),
+x AS (SELECT q.outcome_id, mt.metric, sh.kind, sh.asked, sh.as_of, q.ticker, CASE WHEN q.ticker IS NULL OR q.ticker NOT IN (SELECT upper(ticker) FROM f) THEN 'company_not_found' WHEN g.n IS NULL AND sh.kind IN ('fiscal_label', 'calendar_year') AND sh.label > {THIS_YEAR} THEN 'future_period' WHEN g.n IS NULL THEN 'period_not_covered'
+    WHEN g.n_public = 0 THEN 'period_not_filed_as_of' WHEN NOT cov.covered THEN 'period_not_covered' WHEN won.w IS NULL THEN CASE WHEN od.vals > 1 THEN 'ambiguous_concept' ELSE 'metric_not_found_in_filing' END END AS reason, won.w, cov.amendment
+  FROM q JOIN sh ON sh.ticker IS NOT DISTINCT FROM q.ticker AND sh.asked IS NOT DISTINCT FROM q.label AND sh.as_of IS NOT DISTINCT FROM q.as_of CROSS JOIN (SELECT DISTINCT metric FROM cand) mt
+    LEFT JOIN g USING (sid) LEFT JOIN cov USING (sid) LEFT JOIN won ON won.sid = sh.sid AND won.metric = mt.metric LEFT JOIN dec od ON od.accession = cov.oldest AND od.metric = mt.metric),
+resolved AS (SELECT concat_ws('/', outcome_id::varchar, metric, kind, coalesce(as_of::varchar, ''), coalesce(asked::varchar, ''), coalesce(ticker, '')) AS request_id, metric, ticker, CASE WHEN reason IS NULL THEN 'resolved' ELSE 'abstained' END AS status, reason, CASE WHEN reason IS NULL THEN w[4][2]::varchar END AS value, CASE WHEN reason IS NULL THEN w[4][3] END AS unit, CASE WHEN reason IS NULL THEN w[4][1] END AS concept,
+  CASE WHEN reason IS NULL THEN CASE WHEN w[5] = 1 THEN 'single_candidate' ELSE 'candidates_agree' END || CASE WHEN w[6] > 1 THEN '_tier' || w[6]::varchar ELSE '' END END AS rule,
+  CASE WHEN reason IS NULL THEN w[1] END AS accession, CASE WHEN reason IS NULL THEN w[2] END AS restated, CASE WHEN reason IS NULL AND amendment IS DISTINCT FROM w[1] THEN amendment END AS amendment_accession, CASE WHEN reason IS NULL THEN w[3] END AS fiscal_label FROM x)"""
+
+
+@query(f"{_RESOLVED} SELECT request_id, status, reason, value, unit, concept, rule, accession, restated, amendment_accession FROM resolved")
 def resolve_requests(spark, d):
-    return _resolved(spark, d).withColumn("value", F.col("value").cast("string"))
+    """All metrics by all four kinds of period for every outcome."""
+    return _resolved(spark, d).select("request_id", "status", "reason", F.col("value").cast("string").alias("value"), "unit", "concept", "rule", "accession", "restated", "amendment_accession")
 
 
-def _all_requests(spark, d):
-    """Every metric of the registry and every kind of period for each outcome; its period's end is that of the filer's year."""
-    rows = table(spark, d, "outcomes").select("outcome_id", F.upper("ticker").alias("ticker"), "fiscal_label", iso_day(F.col("as_of")).alias("as_of")).distinct()
-    ends = table(spark, d, "filings").groupBy(F.upper("ticker").alias("ticker"), "fiscal_label").agg(F.max("period_end").alias("__end"))
-    asked = rows.join(ends, ["ticker", "fiscal_label"], "left")
-    asked = asked.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in registry.METRICS]))).withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("fiscal_label", "calendar_year", "period_end", "latest")])))
-    label = F.when(F.col("kind").isin("fiscal_label", "calendar_year"), F.col("fiscal_label"))
-    return asked.select(F.concat_ws("/", F.col("outcome_id").cast("string"), "metric", "kind").alias("request_id"), "ticker", "metric", "kind", label.alias("label"), F.when(F.col("kind") == "period_end", F.col("__end")).alias("period_end"), "as_of")
-
-
-@query()
-def resolve_requests_all(spark, d):
-    filings = table(spark, d, "filings")
-    return resolve.resolve(_all_requests(spark, d), filings, facts.annual(_facts(spark, d), filings), THIS_YEAR).withColumn("value", F.col("value").cast("string"))
+@query(f"""{_RESOLVED}, sc AS (SELECT accession, trim(regexp_replace(concept, '^.*:', '')) AS concept, value::varchar AS value, min(coalesce(scale_raw, '')) AS s FROM annual GROUP BY 1, 2, 3),
+tx AS (SELECT upper(ticker) AS ticker, fiscal_year AS fiscal_label, regexp_replace(string_agg(text, chr(10) ORDER BY doc_id), '[\\s ]+', ' ', 'g') AS t FROM documents WHERE section_id = 'item_8_financials' AND ticker IS NOT NULL AND fiscal_year IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT r.request_id, r.status, abs(r.value::decimal(38,10)) / power(10, coalesce(try_cast(nullif(trim(sc.s), '') AS int), 0)) AS shown, tx.t FROM resolved r LEFT JOIN sc ON sc.accession = r.accession AND sc.concept = r.concept AND sc.value = r.value LEFT JOIN tx ON tx.ticker = r.ticker AND tx.fiscal_label = r.fiscal_label),
+w AS (SELECT request_id, status, t, regexp_replace(regexp_replace(shown::decimal(38,10)::varchar, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS p FROM v)
+SELECT request_id, CASE WHEN status = 'resolved' THEN CASE WHEN t IS NULL THEN 'unvalidated' WHEN contains(t, p) OR contains(t, format('{{:,}}', split_part(p, '.', 1)::bigint) || CASE WHEN p LIKE '%.%' THEN '.' || split_part(p, '.', 2) ELSE '' END) THEN 'validated'
+  WHEN len(regexp_extract_all(t, '\\d{{1,3}}(?:,\\d{{3}})+|\\d{{4,}}')) < 20 THEN 'unvalidated' ELSE 'conflict' END END AS validation_status FROM w""")
+def resolve_validation(spark, d):
+    """Whether each resolved figure is printed in its filing's financial section."""
+    docs = table(spark, d, "documents").filter("section_id = 'item_8_financials' and ticker is not null and fiscal_year is not null and text is not null")
+    text = docs.groupBy(F.upper("ticker").alias("ticker"), F.col("fiscal_year").alias("fiscal_label")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x.getField("text")), "\n").alias("text"))
+    kinds = text.withColumn("statement", F.explode(F.array(*[F.lit(k) for k in registry.STATEMENTS])))
+    return resolve.validate(_resolved(spark, d), kinds).select("request_id", "validation_status")
 
 
 @query(f"{_RESOLVED} SELECT status, coalesce(reason, '') AS reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM resolved GROUP BY 1, 2")
@@ -268,7 +275,7 @@ def resolve_coverage(spark, d):
     return resolve.coverage(_resolved(spark, d))
 
 
-_YEARLY = f"""WITH {_ANNUAL}, v AS (SELECT accession, trim(regexp_replace(concept, '^.*:', '')) AS concept, min(value::varchar::double) AS value, min(unit) AS unit, min(end_date) AS e, min(period_type) AS p FROM annual GROUP BY 1, 2),
+_YEARLY = f"""WITH {_ANNUAL}, v AS (SELECT accession, trim(regexp_replace(concept, '^.*:', '')) AS concept, min(value) AS value, min(unit) AS unit, min(end_date) AS e, min(period_type) AS p FROM annual GROUP BY 1, 2),
 g AS (SELECT accession, max(ticker) AS ticker, max(cik) AS cik, max(fiscal_label) AS y, max(filing_date) AS fd FROM filings WHERE upper(form_type) NOT LIKE '%/A' GROUP BY 1),
 one AS (SELECT g.cik, g.y, v.concept, arg_max(v.value, (g.fd, g.accession)) AS value, arg_max(v.unit, (g.fd, g.accession)) AS unit, arg_max(v.e, (g.fd, g.accession)) AS e, arg_max(v.p, (g.fd, g.accession)) AS p FROM v JOIN g USING (accession) GROUP BY 1, 2, 3)"""
 
@@ -277,7 +284,7 @@ def _yearly(spark, d):
     """One figure per filer, fiscal year and concept from the newest original filing."""
     filings = table(spark, d, "filings")
     own = facts.annual(_facts(spark, d), filings)
-    v = own.groupBy("accession", F.trim(F.regexp_replace("concept", "^.*:", "")).alias("concept")).agg(F.min(F.col("value").cast("double")).alias("value"), F.min("unit").alias("unit"), F.min("end_date").alias("e"), F.min("period_type").alias("p"))
+    v = own.groupBy("accession", F.trim(F.regexp_replace("concept", "^.*:", "")).alias("concept")).agg(F.min("value").alias("value"), F.min("unit").alias("unit"), F.min("end_date").alias("e"), F.min("period_type").alias("p"))
     g = filings.filter(~catalog.is_amendment(F.col("form_type"))).groupBy("accession").agg(F.max("cik").alias("cik"), F.max("fiscal_label").alias("y"), F.max("filing_date").alias("fd"))
     by = F.struct("fd", "accession")
     return v.join(g, "accession").groupBy("cik", "y", "concept").agg(*[F.max_by(c, by).alias(c) for c in ("value", "unit", "e", "p")])
@@ -292,19 +299,25 @@ def _paired(spark, d, years):
     return one.alias("a").join(one.alias("b"), (F.col("a.cik") == F.col("b.cik")) & (F.col("a.concept") == F.col("b.concept")) & (F.col("a.y") - years == F.col("b.y")))
 
 
+def _half_up(n: str, d: str, places: int) -> str:
+    """n / d rounded half up in whole numbers, of decimal columns."""
+    u = lambda x: f"replace(({x})::decimal(38,10)::varchar, '.', '')::hugeint"
+    return f"(CASE WHEN ({n} < 0) <> ({d} < 0) THEN -1 ELSE 1 END * ((abs({u(n)}) * {2 * 10**places} + abs({u(d)})) // nullif(2 * abs({u(d)}), 0)))::double / {10**places}"
+
+
 _GUARD = """CASE WHEN a.unit IS DISTINCT FROM b.unit THEN 'unit_mismatch' WHEN a.p IS DISTINCT FROM b.p THEN 'period_mismatch' WHEN a.e = b.e THEN 'period_mismatch' WHEN b.value = 0 THEN 'zero_base' WHEN b.value < 0 THEN 'negative_base' {more} END"""
 
 
 @query(f"""{_YEARLY}, x AS (SELECT a.cik, a.concept, a.y, a.value AS va, b.value AS vb, {_GUARD.format(more='')} AS error FROM one a JOIN one b ON a.cik = b.cik AND a.concept = b.concept AND b.y = a.y - 1)
-SELECT cik, concept, y, CASE WHEN error IS NULL THEN round((va - vb) * 100 / vb, 2) END AS value, error FROM x""")
+SELECT cik, concept, y, CASE WHEN error IS NULL THEN round({_half_up('va - vb', 'vb', 4)} * 100, 2) END AS value, error FROM x""")
 def calc_growth(spark, d):
-    return _paired(spark, d, 1).select("a.cik", "a.concept", "a.y", F.inline(F.array(calc.growth_pct(_operand("a"), _operand("b")))))
+    return _paired(spark, d, 1).select("a.cik", "a.concept", "a.y", F.inline(F.array(calc.growth_pct(_operand("a"), _operand("b"))))).withColumn("value", F.col("value").cast("double"))
 
 
 @query(f"""{_YEARLY}, x AS (SELECT a.cik, a.concept, a.y, a.value AS va, b.value AS vb, {_GUARD.format(more="WHEN a.value < 0 THEN 'negative_base'")} AS error FROM one a JOIN one b ON a.cik = b.cik AND a.concept = b.concept AND b.y = a.y - 3)
-SELECT cik, concept, y, CASE WHEN error IS NULL THEN round((pow(va / vb, 1.0 / 3) - 1) * 100, 2) END AS value, error FROM x""")
+SELECT cik, concept, y, CASE WHEN error IS NULL THEN round((pow(va::varchar::double / vb::varchar::double, 1.0 / 3) - 1) * 100, 2) END AS value, error FROM x""")
 def calc_cagr(spark, d):
-    return _paired(spark, d, 3).select("a.cik", "a.concept", "a.y", F.inline(F.array(calc.cagr_pct(_operand("a"), _operand("b"), F.lit(3)))))
+    return _paired(spark, d, 3).select("a.cik", "a.concept", "a.y", F.inline(F.array(calc.cagr_pct(_operand("a"), _operand("b"), F.lit(3))))).withColumn("value", F.col("value").cast("double"))
 
 
 def _two(spark, d, num, den):
@@ -316,40 +329,70 @@ _TWO = "FROM one a JOIN one b ON a.cik = b.cik AND a.y = b.y AND a.concept = '{a
 
 
 @query(f"""{_YEARLY}, x AS (SELECT a.cik, a.y, a.value AS va, b.value AS vb, CASE WHEN a.unit IS DISTINCT FROM b.unit THEN 'unit_mismatch' WHEN a.e <> b.e THEN 'period_mismatch' WHEN b.value = 0 THEN 'zero_base' END AS error {_TWO.format(a='NetIncomeLoss', b='Revenues')})
-SELECT cik, y, CASE WHEN error IS NULL THEN round(va * 100 / vb, 2) END AS value, error FROM x""")
+SELECT cik, y, CASE WHEN error IS NULL THEN round({_half_up('va', 'vb', 4)} * 100, 2) END AS value, error FROM x""")
 def calc_margin(spark, d):
-    return _two(spark, d, "NetIncomeLoss", "Revenues").select("a.cik", "a.y", F.inline(F.array(calc.margin_pct(_operand("a"), _operand("b")))))
+    return _two(spark, d, "NetIncomeLoss", "Revenues").select("a.cik", "a.y", F.inline(F.array(calc.margin_pct(_operand("a"), _operand("b"))))).withColumn("value", F.col("value").cast("double"))
 
 
 @query(f"""{_YEARLY}, x AS (SELECT a.cik, a.y, a.value AS va, b.value AS vb, CASE WHEN b.value = 0 THEN 'zero_base' END AS error {_TWO.format(a='LongTermDebt', b='StockholdersEquity')})
-SELECT cik, y, CASE WHEN error IS NULL THEN round(va / vb, 4) END AS value, error FROM x""")
+SELECT cik, y, CASE WHEN error IS NULL THEN {_half_up('va', 'vb', 4)} END AS value, error FROM x""")
 def calc_ratio(spark, d):
-    return _two(spark, d, "LongTermDebt", "StockholdersEquity").select("a.cik", "a.y", F.inline(F.array(calc.ratio(_operand("a"), _operand("b")))))
+    return _two(spark, d, "LongTermDebt", "StockholdersEquity").select("a.cik", "a.y", F.inline(F.array(calc.ratio(_operand("a"), _operand("b"))))).withColumn("value", F.col("value").cast("double"))
 
 
-@query(f"""{_YEARLY} SELECT a.cik, a.y, CASE WHEN a.unit IS DISTINCT FROM b.unit THEN NULL ELSE round(a.value - b.value, 2) END AS value, CASE WHEN a.unit IS DISTINCT FROM b.unit THEN 'unit_mismatch' WHEN a.p IS DISTINCT FROM b.p THEN 'period_mismatch' END AS error {_TWO.format(a='Assets', b='Liabilities')}""")
+@query(f"""{_YEARLY} SELECT a.cik, a.y, CASE WHEN a.unit IS DISTINCT FROM b.unit OR a.p IS DISTINCT FROM b.p THEN NULL ELSE (a.value - b.value)::decimal(38,10)::varchar END AS value, CASE WHEN a.unit IS DISTINCT FROM b.unit THEN 'unit_mismatch' WHEN a.p IS DISTINCT FROM b.p THEN 'period_mismatch' END AS error {_TWO.format(a='Assets', b='Liabilities')}""")
 def calc_difference(spark, d):
     x = _two(spark, d, "Assets", "Liabilities").select("a.cik", "a.y", F.inline(F.array(calc.difference(_operand("a"), _operand("b")))))
-    return x.withColumn("value", F.round("value", 2))
+    return x.withColumn("value", F.col("value").cast("string"))
 
 
-@query(f"""{_YEARLY} SELECT y, concept, count(*) AS filers, CASE WHEN count(DISTINCT unit) = 1 THEN round(sum(value), 0) END AS total FROM one WHERE unit IS NOT NULL GROUP BY 1, 2""")
+@query(f"""{_YEARLY} SELECT y, concept, count(*) AS filers, CASE WHEN count(DISTINCT coalesce(unit, '')) = 1 THEN sum(value)::decimal(38,10)::varchar END AS value, CASE WHEN count(DISTINCT coalesce(unit, '')) > 1 THEN 'unit_mismatch' END AS error FROM one GROUP BY 1, 2""")
 def calc_total(spark, d):
-    return _yearly(spark, d).filter("unit is not null").groupBy("y", "concept").agg(F.count(F.lit(1)).alias("filers"), F.when(F.count_distinct("unit") == 1, F.round(F.sum("value"), 0)).alias("total"))
+    g = _yearly(spark, d).groupBy("y", "concept").agg(F.count(F.lit(1)).alias("filers"), calc.total(F.col("value"), F.col("unit")).alias("t"))
+    return g.select("y", "concept", "filers", F.col("t.value").cast("string").alias("value"), "t.error")
+
+
+_DISPATCHED = f"""{_YEARLY}, k(computation) AS (VALUES ('growth_pct'), ('cagr_pct'), ('margin_pct'), ('ratio'), ('difference'), ('sum'), ('other')),
+sp AS (SELECT cik, concept, arg_max((value, unit, e, p, y), (e, y)) AS l, arg_min((value, unit, e, p, y), (e, y)) AS a, count(*) AS n, sum(value) AS s, count(DISTINCT coalesce(unit, '')) AS us FROM one GROUP BY 1, 2),
+dn AS (SELECT cik, y, value, unit, e FROM one WHERE concept = 'Revenues'),
+op AS (SELECT sp.cik, sp.concept, computation, l[1] AS va, l[2] AS ua, l[3] AS ea, l[4] AS pa, l[5] - a[5] AS years, CASE WHEN n > 1 THEN a[1] END AS vb, a[2] AS ub, a[3] AS eb, a[4] AS pb, s, us, CASE WHEN computation IN ('margin_pct', 'ratio', 'difference') AND sp.concept = 'NetIncomeLoss' THEN dn.value END AS vd, dn.unit AS ud, dn.e AS ed
+  FROM sp CROSS JOIN k LEFT JOIN dn ON dn.cik = sp.cik AND dn.y = l[5]),
+o2 AS (SELECT *, CASE WHEN vd IS NOT NULL AND computation IN ('margin_pct', 'ratio', 'difference') THEN computation || '2' WHEN vb IS NULL THEN NULL WHEN computation = 'cagr_pct' AND years < 1 THEN NULL WHEN computation IN ('cagr_pct', 'difference', 'sum', 'ratio') THEN computation ELSE 'growth_pct' END AS o FROM op),
+er AS (SELECT *, CASE WHEN o IS NULL THEN 'too_few_operands' WHEN o = 'margin_pct2' THEN CASE WHEN ua IS DISTINCT FROM ud THEN 'unit_mismatch' WHEN ea <> ed THEN 'period_mismatch' WHEN vd = 0 THEN 'zero_base' END WHEN o = 'ratio2' THEN CASE WHEN vd = 0 THEN 'zero_base' END
+  WHEN o = 'difference2' THEN CASE WHEN ua IS DISTINCT FROM ud THEN 'unit_mismatch' END WHEN o = 'ratio' THEN CASE WHEN vb = 0 THEN 'zero_base' END WHEN o = 'sum' THEN CASE WHEN us > 1 THEN 'unit_mismatch' END
+  WHEN ua IS DISTINCT FROM ub THEN 'unit_mismatch' WHEN pa IS DISTINCT FROM pb THEN 'period_mismatch' WHEN o = 'difference' THEN NULL WHEN ea = eb THEN 'period_mismatch' WHEN vb = 0 THEN 'zero_base' WHEN vb < 0 THEN 'negative_base' WHEN o = 'cagr_pct' AND va < 0 THEN 'negative_base' END AS error FROM o2)
+SELECT cik, concept, computation, replace(o, '2', '') AS operation, error, CASE WHEN error IS NULL THEN round(CASE o WHEN 'margin_pct2' THEN {_half_up('va', 'vd', 4)} * 100 WHEN 'ratio2' THEN {_half_up('va', 'vd', 4)} WHEN 'difference2' THEN (va - vd)::varchar::double WHEN 'ratio' THEN {_half_up('va', 'vb', 4)}
+  WHEN 'sum' THEN s::varchar::double WHEN 'difference' THEN (va - vb)::varchar::double WHEN 'cagr_pct' THEN (pow(va::varchar::double / vb::varchar::double, 1.0 / years) - 1) * 100 ELSE {_half_up('va - vb', 'vb', 4)} * 100 END, 4) END AS value FROM er"""
+
+
+@query(_DISPATCHED.replace("THEN (pow(va", "THEN round((pow(va").replace("1.0 / years) - 1) * 100 ELSE", "1.0 / years) - 1) * 100, 2) ELSE"))
+def calc_dispatch(spark, d):
+    """What each kind of computation gives for every filer and concept: first against last year, or net income against revenue."""
+    one = _yearly(spark, d)
+    when = F.struct("e", "y")
+    row = F.struct("value", "unit", "e", "p", "y")
+    sp = one.groupBy("cik", "concept").agg(F.max_by(row, when).alias("l"), F.min_by(row, when).alias("a"), F.count(F.lit(1)).alias("n"), calc.total(F.col("value"), F.col("unit")).alias("summed"))
+    dn = one.filter("concept = 'Revenues'").select("cik", F.col("y").alias("dy"), F.col("value").alias("vd"), F.col("unit").alias("ud"), F.col("e").alias("ed"), F.col("p").alias("pd"))
+    j = sp.withColumn("dy", F.col("l.y")).join(dn, ["cik", "dy"], "left").withColumn("computation", F.explode(F.array(*[F.lit(k) for k in ("growth_pct", "cagr_pct", "margin_pct", "ratio", "difference", "sum", "other")])))
+    two = F.col("concept") == "NetIncomeLoss"
+    side = lambda x, v: {"value": v, "unit": F.col(f"{x}.unit"), "end": F.col(f"{x}.e"), "period_type": F.col(f"{x}.p")}
+    den = {"value": F.when(two, F.col("vd")), "unit": F.col("ud"), "end": F.col("ed"), "period_type": F.col("l.p")}
+    got = calc.dispatch(F.col("computation"), side("l", F.col("l.value")), side("a", F.when(F.col("n") > 1, F.col("a.value"))), den, F.col("l.y") - F.col("a.y"), F.col("summed"))
+    return j.select("cik", "concept", "computation", got.alias("c")).select("cik", "concept", "computation", "c.operation", "c.error", F.round(F.col("c.value").cast("double"), 4).alias("value"))
 
 
 @query(f"""{_YEARLY}, gap AS (SELECT y, concept, count(*) AS filers, max(value) AS hi, min(value) AS lo, arg_max(cik, (value, -cik)) AS highest, arg_min(cik, (value, cik)) AS lowest, count(DISTINCT e) AS ends FROM one GROUP BY y, concept, unit HAVING count(*) > 1)
-SELECT y, concept, filers, highest, lowest, round(hi - lo, 2) AS gap, CASE WHEN lo > 0 THEN round((hi - lo) * 100 / lo, 2) END AS pct_of_low, ends > 1 AS ends_differ FROM gap""")
+SELECT y, concept, filers, highest, lowest, (hi - lo)::decimal(38,10)::varchar AS gap, CASE WHEN lo > 0 THEN round({_half_up('hi - lo', 'lo', 4)} * 100, 2) END AS pct_of_low, ends > 1 AS ends_differ FROM gap""")
 def compare_gap(spark, d):
     g = _yearly(spark, d).groupBy("y", "concept", "unit").agg(F.count(F.lit(1)).alias("filers"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.max_by("cik", F.struct("value", -F.col("cik"))).alias("highest"), F.min_by("cik", F.struct("value", "cik")).alias("lowest"), F.count_distinct("e").alias("ends")).filter("filers > 1")
-    return g.select("y", "concept", "filers", "highest", "lowest", F.round(F.col("hi") - F.col("lo"), 2).alias("gap"), F.when(F.col("lo") > 0, F.round((F.col("hi") - F.col("lo")) * 100 / F.col("lo"), 2)).alias("pct_of_low"), (F.col("ends") > 1).alias("ends_differ"))
+    return g.select("y", "concept", "filers", "highest", "lowest", (F.col("hi") - F.col("lo")).cast("decimal(38,10)").cast("string").alias("gap"), F.when(F.col("lo") > 0, (calc.quotient((F.col("hi") - F.col("lo")).cast("decimal(28,10)"), F.col("lo"), 4) * 100).cast("double")).alias("pct_of_low"), (F.col("ends") > 1).alias("ends_differ"))
 
 
 @query(f"""{_YEARLY}, tr AS (SELECT cik, concept, count(*) AS years, arg_min(value, (e, y)) AS first, arg_max(value, (e, y)) AS last FROM one GROUP BY 1, 2 HAVING count(*) > 1)
-SELECT cik, concept, years, round(last - first, 2) AS change, CASE WHEN last > first THEN 'rose' WHEN last < first THEN 'fell' ELSE 'unchanged' END AS direction FROM tr""")
+SELECT cik, concept, years, (last - first)::decimal(38,10)::varchar AS change, CASE WHEN last > first THEN 'rose' WHEN last < first THEN 'fell' ELSE 'unchanged' END AS direction FROM tr""")
 def trend_change(spark, d):
     g = _yearly(spark, d).groupBy("cik", "concept").agg(F.count(F.lit(1)).alias("years"), F.min_by("value", F.struct("e", "y")).alias("first"), F.max_by("value", F.struct("e", "y")).alias("last")).filter("years > 1")
-    return g.select("cik", "concept", "years", F.round(F.col("last") - F.col("first"), 2).alias("change"), F.when(F.col("last") > F.col("first"), "rose").when(F.col("last") < F.col("first"), "fell").otherwise("unchanged").alias("direction"))
+    return g.select("cik", "concept", "years", (F.col("last") - F.col("first")).cast("decimal(38,10)").cast("string").alias("change"), F.when(F.col("last") > F.col("first"), "rose").when(F.col("last") < F.col("first"), "fell").otherwise("unchanged").alias("direction"))
 
 
 _PLAIN = "regexp_replace(regexp_replace(abs(value)::varchar, '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"

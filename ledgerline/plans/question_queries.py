@@ -29,7 +29,15 @@ def _chain(rules, default: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(query, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in rules) + f" ELSE {default} END"
 
 
-_COMP = tuple((n, p.replace(r"\bless\b(?!\s+than)|", "")) for n, p in questions.COMPUTATION)
+def _computation_sql() -> str:
+    """The rules without lookahead: "less than" is taken out of the text before "less" is looked for."""
+    out = "NULL"
+    for name, p in reversed(questions.COMPUTATION):
+        text, pattern = "query", p
+        if "(?!" in p:
+            text, pattern = "regexp_replace(query, '(?i)\\bless\\s+than', ' ', 'g')", p.replace(r"(?!\s+than)", "")
+        out = f"CASE WHEN regexp_matches({text}, '{pattern.replace(chr(39), chr(39) * 2)}') THEN '{name}' ELSE {out} END"
+    return out
 
 
 @query(f"SELECT outcome_id, {_chain(questions.FOCUS, chr(39) + 'other' + chr(39))} AS focus FROM (SELECT DISTINCT outcome_id, query FROM outcomes)")
@@ -37,15 +45,9 @@ def focus_classify(spark, d):
     return table(spark, d, "outcomes").select("outcome_id", "query").distinct().select("outcome_id", questions.focus(F.col("query")).alias("focus"))
 
 
-@query(f"SELECT outcome_id, {_chain(_COMP, 'NULL')} AS computation, {_chain(tuple((m, p) for p, m in questions.MARGINS), 'NULL')} AS margin FROM (SELECT DISTINCT outcome_id, query FROM outcomes WHERE NOT regexp_matches(query, '(?i)\\bless\\b'))")
+@query(f"SELECT outcome_id, {_computation_sql()} AS computation, {_chain(tuple((m, p) for p, m in questions.MARGINS), 'NULL')} AS margin FROM (SELECT DISTINCT outcome_id, query FROM outcomes)")
 def computation_classify(spark, d):
-    q = table(spark, d, "outcomes").select("outcome_id", "query").distinct().filter(~F.col("query").rlike(r"(?i)\bless\b"))
-    return q.select("outcome_id", questions.computation(F.col("query")).alias("computation"), questions.margin_metric(F.col("query")).alias("margin"))
-
-
-@query()
-def computation_classify_all(spark, d):
-    """Computation and margin of every question, those with 'less' included."""
+    """Computation and margin of every question."""
     q = table(spark, d, "outcomes").select("outcome_id", "query").distinct()
     return q.select("outcome_id", questions.computation(F.col("query")).alias("computation"), questions.margin_metric(F.col("query")).alias("margin"))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..runtime import cut
+
+#: Letters of the runs by which names and titles that contain one another are found.
+_RUN = 3
 _FACT = "MAP<STRING, STRUCT<units: MAP<STRING, ARRAY<STRUCT<accn: STRING, start: STRING, end: STRING, val: STRING>>>>>"
 
 
@@ -48,23 +52,69 @@ def companies(registry: DataFrame) -> DataFrame:
 def find_company(registry: DataFrame, names: DataFrame) -> DataFrame:
     """(name, ticker): exact ticker, else a title that contains the name or is contained in it, shortest title first.
 
-    ``names`` is a stated list of questions' names; the registry is a list of companies, both small.
+    Tickers are met by an equi-join. Containment is found by equal runs of characters: every title and
+    name is cut into runs of ``_RUN``, the shorter side's first run must occur in the longer one, and only
+    such pairs are compared, so no side is sent around. Names of fewer letters match a ticker or an
+    equal title only. Null names are left out.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
-    r = registry.select("ticker", "title", plain(F.col("title")).alias("t"))
-    n = names.select("name").distinct().withColumn("k", plain(F.col("name")))
-    met = n.join(F.broadcast(r), (F.upper("name") == F.col("ticker")) | ((F.length("k") > 2) & (F.contains("t", F.col("k")) | F.contains(F.col("k"), F.col("t")))), "left")
-    order = F.struct(F.when(F.upper("name") == F.col("ticker"), 0).otherwise(1), F.length("title"), F.col("ticker"))
-    return met.groupBy("name").agg(F.min_by("ticker", order).alias("ticker"))
+    r = registry.select("ticker", "title", plain(F.col("title")).alias("t")).filter("ticker is not null")
+    n = names.select("name").filter("name is not null").distinct().withColumn("k", plain(F.col("name")))
+    exact = n.join(r.select(F.col("ticker").alias("__t"), "ticker", "title"), F.upper("name") == F.col("__t")).select("name", "ticker", F.lit(0).alias("rank"), F.length("title").alias("length"))
+    runs = lambda df, c: df.filter(F.length(c) >= _RUN).withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (_RUN - 1)), lambda i: F.substring(F.col(c), i, F.lit(_RUN))))))
+    head = lambda df, c: df.filter(F.length(c) >= _RUN).withColumn("run", F.substring(c, 1, _RUN))
+    inside = head(n, "k").join(runs(r, "t"), "run").filter(F.contains("t", F.col("k")))
+    around = runs(n, "k").join(head(r, "t"), "run").filter(F.contains("k", F.col("t")))
+    same = n.join(r.withColumnRenamed("t", "k"), "k")
+    close = inside.select("name", "ticker", "title").unionByName(around.select("name", "ticker", "title")).unionByName(same.select("name", "ticker", "title"))
+    met = exact.unionByName(close.select("name", "ticker", F.lit(1).alias("rank"), F.length("title").alias("length")))
+    best = met.groupBy("name").agg(F.min(F.struct("rank", "length", "ticker")).alias("b"))
+    return n.select("name").join(best, "name", "left").select("name", F.col("b.ticker").alias("ticker"))
+
+
+def merge_collections(stored: DataFrame, incoming: DataFrame, ident: str, collection: str, order: list[str]) -> DataFrame:
+    """Stored chunks with the incoming ones in the place of their namesakes; of several incoming ones the greatest by ``order`` counts.
+
+    The key is (collection, ident). Nulls in the key are a value of their own; equal rows by ``order`` are
+    told apart by their whole content. Both sides need the same columns.
+    """
+    rest = [c for c in incoming.columns if c not in (ident, collection)]
+    last = incoming.groupBy(collection, ident).agg(F.max(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("row"))).alias("__m")).select(collection, ident, "__m.row.*")
+    a, b = stored.alias("a"), last.select(collection, ident).alias("b")
+    kept = a.join(b, F.col(f"a.{collection}").eqNullSafe(F.col(f"b.{collection}")) & F.col(f"a.{ident}").eqNullSafe(F.col(f"b.{ident}")), "left_anti")
+    return kept.unionByName(last.select(*stored.columns))
+
 
+def write_collections(chunks: DataFrame, path: str, ident: str, collection: str, order: list[str] | None = None) -> None:
+    """Upsert chunks into a table partitioned by collection: stored chunks that aren't written again stay.
 
-def write_collections(chunks: DataFrame, path: str, ident: str, collection: str) -> None:
-    """Upsert chunks into a table partitioned by collection: the last write of an id wins, other collections stay."""
-    w = Window.partitionBy(collection, ident).orderBy(F.monotonically_increasing_id().desc())
-    once = chunks.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
-    once.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(collection).parquet(path)
+    Of several incoming chunks of one id the greatest by ``order`` (default: whole content) counts. Only
+    the collections that chunks come for are read and rewritten; the merged rows are written to the
+    shared checkpoint folder first, since a table cannot be overwritten while it is read.
+    """
+    spark = chunks.sparkSession
+    incoming = cut(chunks)
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:
+        stored = None
+    if stored is not None:
+        touched = incoming.select(F.col(collection).cast(dict(stored.dtypes)[collection])).distinct()
+        stored = stored.join(touched, collection, "left_semi").withColumn(collection, F.col(collection).cast(dict(incoming.dtypes)[collection])).select(*incoming.columns)
+    else:
+        stored = incoming.limit(0)
+    merged = cut(merge_collections(stored, incoming, ident, collection, order or []))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(collection).parquet(path)
 
 
 def missing_rows(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
     """Source rows not yet stored: what a resumed copy still has to write."""
     return source.join(target.select(*key), key, "left_anti")
+
+
+def copy_collections(source: DataFrame, target: DataFrame, ident: str, collection: str) -> DataFrame:
+    """Rows that a copy still has to write: collections of equal counts are skipped, of others only what is missing."""
+    n = source.groupBy(collection).agg(F.count(F.lit(1)).alias("__n"))
+    m = target.groupBy(collection).agg(F.count(F.lit(1)).alias("__m"))
+    open_ = n.join(m, collection, "left").filter("__m is null or __n <> __m").select(collection)
+    return missing_rows(source.join(open_, collection, "left_semi"), target, [collection, ident])

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -106,9 +107,21 @@ def sessions(events: DataFrame, key: str, time: str, gap: str) -> DataFrame:
 
 
 def index_stream(chunks: DataFrame, path: str, checkpoint: str, ident: str, collection: str):  # noqa: ANN201
-    """Start an indexer that appends each micro-batch's new chunks by collection; finished batches are never redone."""
+    """Start an indexer that appends each micro-batch's new chunks by collection; finished batches are never redone.
+
+    A chunk is new if neither the batch holds it twice nor the stored collections of the batch hold its id;
+    other collections are not read.
+    """
 
     def store(batch: DataFrame, _: int) -> None:
-        batch.dropDuplicates([collection, ident]).write.mode("append").partitionBy(collection).parquet(path)
+        fresh = batch.dropDuplicates([collection, ident])
+        try:
+            stored = batch.sparkSession.read.parquet(path).select(F.col(collection).cast(dict(batch.dtypes)[collection]).alias(collection), ident)
+        except AnalysisException:
+            stored = None
+        if stored is not None:
+            touched = fresh.select(collection).distinct()
+            fresh = fresh.join(stored.join(touched, collection, "left_semi"), [collection, ident], "left_anti")
+        fresh.write.mode("append").partitionBy(collection).parquet(path)
 
     return chunks.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -89,6 +89,26 @@ def test_resolution_ladder(spark):
     assert resolve.resolve(late, f, s, 2026).first()["reason"] == "period_not_covered"  # the newest period has no facts
 
 
+def test_overrides_amendments_and_validation(spark, monkeypatch):
+    from ledgerline.operators import registry
+
+    monkeypatch.setattr(registry, "OVERRIDES", [("total_assets", "T", None, 2018, "Old"), ("total_assets", "T", 2019, None, "Forced"), ("total_assets", "T", 2019, None, "Late")])
+    f = filings(spark, [filing(A), filing(B, "10-K/A", 2019, "2020-06-01"), filing(C, ticker="U", label=2019), filing(C, ticker="U", label=2019)])
+    s = facts(spark, [fact(1, 5), fact(2, 7000000, concept="Forced"), fact(3, 9, concept="Late"), fact(4, 1, acc=B), fact(5, 1234500, acc=C), fact(6, 1234500, acc=C)])
+    s = s.withColumn("scale_raw", F.lit("3"))
+    ask = spark.createDataFrame([("a", "T", 2019, "2020-03-01"), ("b", "T", 2019, "2020-07-01"), ("c", "U", 2019, None), ("d", None, 2019, None)], "request_id string, ticker string, label int, as_of string")
+    req = ask.select("request_id", "ticker", F.lit("total_assets").alias("metric"), F.lit("fiscal_label").alias("kind"), "label", F.lit(None).cast("date").alias("period_end"), F.col("as_of").cast("date").alias("as_of"))
+    got = resolve.resolve(req, f, s, 2026)
+    seen = {r.request_id: r for r in got.collect()}
+    assert (seen["a"].rule, seen["a"].value, seen["a"].amendment_accession) == ("override", 7000000, None)
+    assert seen["b"].accession == A and seen["b"].amendment_accession == B  # the amendment lacks the prescribed concept
+    assert seen["c"].rule == "single_candidate" and seen["d"].reason == "company_not_found"
+    table = spark.createDataFrame([("T", 2019, "balance", " ".join(f"{i},000" for i in range(1, 30)) + " 7\u00a0000"), ("U", 2019, "balance", "1,234.5")], "ticker string, fiscal_label int, statement string, text string")
+    assert {r.request_id: r.validation_status for r in resolve.validate(got, table).collect()} == {"a": "validated", "b": "validated", "c": "validated", "d": None}
+    poor = table.withColumn("text", F.when(F.col("ticker") == "T", F.regexp_replace("text", "\\b7,000", "")).otherwise("12"))
+    assert {r.request_id: r.validation_status for r in resolve.validate(got, poor).collect()} == {"a": "conflict", "b": "conflict", "c": "unvalidated", "d": None}
+
+
 def test_rate_limit_in_batch_and_as_a_stream(spark, tmp_path):
     r = random.Random(5)
     data = sorted((f"2026-01-01 00:{r.randrange(60):02d}:{r.randrange(60):02d}", r.randrange(3)) for _ in range(120))
