@@ -70,11 +70,53 @@ def period_parse(spark, d):
 
 @query()
 def route_questions(spark, d):
-    """Path and intent of every question, its ticker counted as one entity."""
+    """Path, reason, intent and metrics of every question, its ticker counted as one entity."""
     q = table(spark, d, "outcomes").select("outcome_id", "query", "ticker").distinct()
     n = F.when(F.col("ticker").isNull(), 0).otherwise(1)
     p = questions.period(F.col("query"), YEAR)
-    return q.withColumn("p", p).select("outcome_id", questions.path(F.col("query"), n, F.col("p")).alias("path"), questions.intent(F.col("query"), n, F.col("p")).alias("intent"), F.array_join(questions.metrics(F.col("query")), ",").alias("metrics"))
+    r = q.withColumn("p", p).withColumn("r", questions.route(F.col("query"), n, F.col("p")))
+    return r.select("outcome_id", "r.path", "r.reason", questions.intent(F.col("query"), n, F.col("p")).alias("intent"), F.array_join("r.metrics", ",").alias("metrics"))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT outcome_id, coalesce(query, '') AS q FROM outcomes),
+x AS (SELECT *, list_transform(regexp_extract_all(q, '{_FY}', 1), lambda y: CASE WHEN y::int < 100 THEN y::int + 2000 ELSE y::int END) AS fy, list_transform(regexp_extract_all(q, '{_YR}', 1), lambda y: y::int) AS yr FROM q),
+l AS (SELECT *, CASE WHEN len(fy) > 0 THEN fy WHEN len(yr) > 0 THEN yr END AS ls FROM x),
+b AS (SELECT *, list_filter(ls, lambda y: y < 1993 OR y > {YEAR + 1}) AS bad FROM l)
+SELECT outcome_id, CASE WHEN ls IS NOT NULL AND len(bad) = 0 THEN 'fiscal_label' WHEN len(bad) > 0 THEN 'latest' WHEN regexp_matches(q, '(?i)\\blast\\s+year\\b|\\b(?:prior|previous)\\s+year\\b|\\bthis\\s+year\\b') THEN 'fiscal_label' ELSE 'latest' END AS kind,
+ CASE WHEN ls IS NOT NULL AND len(bad) = 0 THEN unnest(list_sort(list_distinct(ls))) END AS label FROM b WHERE ls IS NOT NULL AND len(bad) = 0
+UNION ALL SELECT outcome_id, CASE WHEN len(bad) = 0 OR bad IS NULL THEN CASE WHEN regexp_matches(q, '(?i)\\blast\\s+year\\b|\\b(?:prior|previous)\\s+year\\b|\\bthis\\s+year\\b') THEN 'fiscal_label' ELSE 'latest' END ELSE 'latest' END, CASE WHEN (len(bad) = 0 OR bad IS NULL) AND regexp_matches(q, '(?i)\\blast\\s+year\\b|\\b(?:prior|previous)\\s+year\\b') THEN {YEAR - 1} WHEN (len(bad) = 0 OR bad IS NULL) AND regexp_matches(q, '(?i)\\bthis\\s+year\\b') THEN {YEAR} END FROM b WHERE NOT (ls IS NOT NULL AND len(bad) = 0)""")
+def period_selectors(spark, d):
+    """The periods to resolve for every question, one row each."""
+    q = table(spark, d, "outcomes").select("outcome_id", "query").distinct()
+    s = q.select("outcome_id", questions.period(F.col("query"), YEAR).alias("p")).select("outcome_id", F.explode(questions.selectors(F.col("p"))).alias("s"))
+    return s.select("outcome_id", "s.kind", "s.label")
+
+
+@query(r"""WITH w AS (SELECT DISTINCT outcome_id, unnest(list_transform(regexp_extract_all(coalesce(query, ''), '[A-Za-z0-9&.$]+'), lambda w: regexp_replace(regexp_replace(w, '^\$+', ''), '\.+$', ''))) AS w FROM outcomes)
+SELECT DISTINCT outcome_id, upper(w) AS ticker FROM w WHERE w <> '' AND (length(w) >= 3 OR w = upper(w)) AND upper(w) IN (SELECT ticker FROM filings UNION ALL SELECT upper(split_part(entity_name, ' ', 1)) FROM filings)""")
+def ticker_candidates(spark, d):
+    """Words of every question that are known tickers, or the first word of a filer's name."""
+    f = table(spark, d, "filings")
+    known = f.select("ticker").unionByName(f.select(F.upper(F.split_part("entity_name", F.lit(" "), F.lit(1))).alias("ticker"))).distinct()
+    q = table(spark, d, "outcomes").select("outcome_id", "query").distinct()
+    return q.select("outcome_id", F.explode(questions.ticker_tokens(F.col("query"))).alias("ticker")).join(known, "ticker", "left_semi").select("outcome_id", "ticker").distinct()
+
+
+@query(r"""WITH w AS (SELECT DISTINCT outcome_id, unnest(regexp_extract_all(coalesce(query, ''), '\b\p{Lu}[\p{L}\p{N}&]*(?:\s+\p{Lu}[\p{L}\p{N}&]*)*')) AS w FROM outcomes), l AS (SELECT outcome_id, regexp_replace(regexp_replace(w, '@LEAD', ''), '@LEAD', '') AS phrase FROM w)
+SELECT DISTINCT outcome_id, phrase FROM l WHERE length(phrase) >= 3 AND NOT regexp_matches(lower(phrase), '@WORD') AND NOT regexp_matches(phrase, '^\d+$')""".replace("@LEAD", "(?i)^(?:" + "|".join(questions.LEADS) + ")\\s+").replace("@WORD", "^(?:" + "|".join(questions.LEADS) + ")$"))
+def unresolved_mentions(spark, d):
+    """Capitalised phrases of every question."""
+    q = table(spark, d, "outcomes").select("outcome_id", "query").distinct()
+    return q.select("outcome_id", F.explode(questions.capitalised(F.col("query"))).alias("phrase")).distinct()
+
+
+@query(r"""WITH q AS (SELECT DISTINCT outcome_id, ticker, regexp_extract_all(coalesce(query, ''), '\b((?:19|20)\d{2})\b', 1) AS y FROM outcomes WHERE ticker IS NOT NULL)
+SELECT DISTINCT outcome_id, ticker, unnest(y)::int AS year FROM q UNION SELECT outcome_id, ticker, NULL FROM q WHERE len(y) = 0""")
+def question_parts(spark, d):
+    """Every question taken apart by ticker and year."""
+    q = table(spark, d, "outcomes").filter("ticker is not null").select("outcome_id", "ticker", "query").distinct()
+    years = F.transform(F.regexp_extract_all(F.coalesce("query", F.lit("")), F.lit(questions.YEAR), F.lit(1)), lambda y: y.cast("int"))
+    return q.select("outcome_id", F.explode(questions.decompose(F.array("ticker"), years)).alias("x")).select("outcome_id", "x.ticker", "x.year").distinct()
 
 
 @query("SELECT key, len(regexp_extract_all(regexp_replace(coalesce(content, ''), '\\[\\d+\\]|\\d{4}-\\d{2}-\\d{2}', ' ', 'g'), '\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?')) AS numbers FROM responses")

@@ -114,12 +114,29 @@ def ablation_arms(spark, d):
     return out.groupBy("arm").agg(F.count(F.lit(1)).alias("results"), F.count_distinct("query_id").alias("queries"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\|\\s*(?:total\\s+)?(?:net\\s+)?(?:revenue|net\\s+sales|net\\s+revenues)\\s*\\|') OR lower(text) LIKE '%total net sales%' OR lower(text) LIKE '%total revenue%' OR lower(text) LIKE '%total net revenues%' THEN 8.0::double WHEN lower(text) LIKE '%net sales%' OR lower(text) LIKE '%revenue%' THEN 2.0 ELSE 0.0 END AS revenue,
- CASE WHEN lower(text) LIKE '%segment%' THEN CASE WHEN lower(coalesce(section_id, '')) LIKE '%notes%' THEN 8.0::double ELSE 4.0 END ELSE 0.0 END AS segment_info,
- CASE WHEN section_id = 'item_1a_risk_factors' THEN 8.0::double ELSE 0.0 END AS risk_factors FROM documents""")
+def _boost_sql() -> str:
+    r = lambda f: f"coalesce(regexp_matches(text, '{retrieval.row_pattern(f)}'), false)"
+    has = lambda *xs: "(" + " OR ".join(f"coalesce(contains(lower(text), '{x}'), false)" for x in xs) + ")"
+    sec = "lower(coalesce(section_id, ''))"
+    stated = f"contains({sec}, 'consolidated statements')"
+    sheet = f"(contains({sec}, 'balance sheet') OR contains({sec}, 'financial condition'))"
+    income = lambda f, *names: f"CASE WHEN {stated} AND {r(f)} THEN 10.0 WHEN {stated} THEN 6.0 WHEN {r(f)} THEN 2.0 WHEN {has(*names)} THEN 0.5 ELSE 0.0 END"
+    cases = {
+        "revenue": f"CASE WHEN {r('revenue')} OR {has('total net sales', 'total revenue', 'total net revenues')} THEN 8.0 WHEN {has('net sales', 'revenue')} THEN 2.0 ELSE 0.0 END",
+        "rd_expense": f"CASE WHEN {r('rd_expense')} THEN 10.0 WHEN {has('research and development')} THEN 2.0 ELSE 0.0 END",
+        "net_income": income("net_income", "net income"), "operating_income": income("operating_income", "operating income", "income from operations"),
+        "balance_sheet": f"CASE WHEN {sheet} AND {r('balance_sheet')} THEN 10.0 WHEN {sheet} THEN 6.0 WHEN {r('balance_sheet')} OR {has('cash and cash equivalents')} THEN 2.0 ELSE 0.0 END",
+        "segment_info": f"CASE WHEN {has('segment')} THEN CASE WHEN contains({sec}, 'notes') THEN 8.0 ELSE 4.0 END ELSE 0.0 END",
+        **{f: f"CASE WHEN section_id = '{s}' THEN 8.0 ELSE 0.0 END" for f, s in retrieval.SECTION_OF.items()},
+    }
+    return "SELECT doc_id, " + ", ".join(f"({c})::double AS {f}" for f, c in cases.items()) + " FROM documents"
+
+
+@query(_boost_sql())
 def focus_boost(spark, d):
+    """What every focus adds to every document."""
     t, s = F.col("text"), F.col("section_id")
-    return table(spark, d, "documents").select("doc_id", retrieval.focus_boost("revenue", t, s).alias("revenue"), retrieval.focus_boost("segment_info", t, s).alias("segment_info"), retrieval.focus_boost("risk_factors", t, s, s).alias("risk_factors"))
+    return table(spark, d, "documents").select("doc_id", *[retrieval.focus_boost(f, t, s, s).alias(f) for f in (*retrieval.ROW_LABELS, "segment_info", *retrieval.SECTION_OF)])
 
 
 @query(f"""WITH {_DIV}, sec AS (SELECT ticker, fiscal_year, section_id, string_agg(doc_id::varchar, ' ' ORDER BY doc_id) AS t FROM documents WHERE ticker IS NOT NULL AND fiscal_year IS NOT NULL AND section_id IS NOT NULL GROUP BY 1, 2, 3)
