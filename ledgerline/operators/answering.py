@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import numerals
-
-MONEY = "decimal(38,10)"
 #: Templates of refusals; {company}, {period} and {as_of} are filled in.
 MESSAGES = {
     "company_not_found": "No filer named {company} is known.", "no_filing_for_company": "{company} has no annual report on file.", "period_not_covered": "There is no report of {company} for {period}.",
@@ -32,25 +29,6 @@ def message(reason: Column, company: Column, period: Column, as_of: Column) -> C
     return out
 
 
-def figure_verdict(text: Column, expected: Column, tolerance: Column | None = None) -> Column:
-    """correct, unit_error, sign_error, scale_error, wrong_value or missing_number, the first that applies.
-
-    A figure is correct if the expected one rounds to it at the precision shown or lies within an
-    absolute tolerance; percent and fraction are told apart by a factor of 100, scales by powers of ten.
-    """
-    found = numerals.numerals(text)
-    e = expected.cast(MONEY)
-    tol = F.lit(0).cast(MONEY) if tolerance is None else tolerance.cast(MONEY)
-    value = lambda x: x.getField("value")
-    near = lambda a, b, x: F.abs(a - b) * 2 <= x.getField("step")
-    right = F.exists(found, lambda x: near(value(x), e, x) | (F.abs(value(x) - e) <= tol))
-    unit = F.exists(found, lambda x: (value(x) == (e * F.lit(100).cast("decimal(3,0)")).cast(MONEY)) | ((value(x) * F.lit(100).cast("decimal(3,0)")).cast(MONEY) == e))
-    sign = F.exists(found, lambda x: near(-value(x), e, x))
-    powers = F.array(*[F.lit(10**p).cast("decimal(13,0)") for p in range(1, 13)])
-    scale = F.exists(found, lambda x: F.exists(powers, lambda k: (value(x).try_cast("decimal(25,5)") * k == e) | (e.try_cast("decimal(25,5)") * k == value(x))))
-    return F.when(F.size(found) == 0, "missing_number").when(right, "correct").when(unit & (e != 0), "unit_error").when(sign, "sign_error").when(scale & (e != 0), "scale_error").otherwise("wrong_value")
-
-
 def renumber(text: Column) -> Column:
     """Citation markers numbered 1..n in the order of their first appearance."""
     used = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)))

@@ -39,6 +39,26 @@ def nearest_rank(df: DataFrame, group: list[str], value: str, fraction: float, n
     return placed.filter((F.col("__to") >= index) & (F.col("__to") - F.col("__c") < index)).select(*group, F.col(value).alias(name))
 
 
+def floor_rank(df: DataFrame, group: list[str], value: str, fraction: float, name: str) -> DataFrame:
+    """Element at index min(n - 1, whole part of n x fraction) of each group's sorted values; nulls are left out."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*group)
+    placed = counts.withColumn("__to", F.sum("__c").over(w.orderBy(value))).withColumn("__n", F.sum("__c").over(w))
+    index = F.least(F.col("__n") - 1, F.floor(F.col("__n") * fraction)) + 1
+    return placed.filter((F.col("__to") >= index) & (F.col("__to") - F.col("__c") < index)).select(*group, F.col(value).alias(name))
+
+
+def role_totals(calls: DataFrame, run: str, role: str, tokens: Column) -> DataFrame:
+    """(run, role, calls, tokens, share): calls and tokens of each role, and its share of the run's tokens."""
+    g = calls.groupBy(run, F.col(role).alias("role")).agg(F.count(F.lit(1)).alias("calls"), F.sum(tokens).alias("tokens"))
+    return g.withColumn("share", F.round(F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(run))), 6))
+
+
+def metric_means(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """(group, columns..., n): means of given quality columns; nulls are left out of a mean."""
+    return rows.groupBy(group).agg(*[F.round(F.avg(c), 6).alias(c) for c in columns], F.count(F.lit(1)).alias("n"))
+
+
 def classify_difference(ours: Column, theirs: Column, decimals: Column | None = None) -> Column:
     """exact, sign_error, scale_error, rounding (within a whole unit), oracle_precision or mismatch.
 

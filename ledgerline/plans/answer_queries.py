@@ -70,24 +70,14 @@ def entity_mentions(spark, d):
     return answering.mentions(q, "outcome_id", "query", names, "key").select("outcome_id", "key").distinct()
 
 
-@query("SELECT DISTINCT id, regexp_matches(answer, '\\d') AS states_a_figure FROM turns WHERE status = 'abstained'")
-def refusal_figures(spark, d):
-    return table(spark, d, "turns").filter("status = 'abstained'").select("id", F.col("answer").rlike(r"\d").alias("states_a_figure")).distinct()
-
-
-@query("""WITH t AS (SELECT id, min(answer) AS a FROM turns WHERE answer IS NOT NULL GROUP BY 1), m AS (SELECT id, list_distinct(regexp_extract_all(a, '\\[(\\d+)\\]', 1)) AS used FROM t)
-SELECT id, len(used) AS cited FROM m""")
+@query(r"""WITH t AS (SELECT id, min(answer) AS a FROM turns WHERE answer IS NOT NULL GROUP BY 1), p AS (SELECT id, string_split_regex(a, '\[\d+\]') AS parts, regexp_extract_all(a, '\[(\d+)\]', 1) AS marks FROM t),
+m AS (SELECT id, unnest(marks) AS mark, unnest(range(1, len(marks) + 1)) AS k FROM p), f AS (SELECT id, mark, row_number() OVER (PARTITION BY id ORDER BY min(k)) AS n FROM m GROUP BY 1, 2),
+x AS (SELECT id, unnest(parts) AS part, unnest(range(0, len(parts))) AS k FROM p), y AS (SELECT x.id, x.k, x.part, f.n FROM x LEFT JOIN m ON m.id = x.id AND m.k = x.k LEFT JOIN f ON f.id = m.id AND f.mark = m.mark)
+SELECT id, string_agg(CASE WHEN n IS NULL THEN part ELSE '[' || n::varchar || ']' || part END, '' ORDER BY k) AS text, count(DISTINCT n) AS cited FROM y GROUP BY 1""")
 def citation_renumber(spark, d):
-    t = table(spark, d, "turns").filter("answer is not null").groupBy("id").agg(answering.renumber(F.min("answer")).alias("a"))
-    return t.select("id", F.size(F.array_distinct(F.regexp_extract_all("a", F.lit(r"\[(\d+)\]"), F.lit(1)))).alias("cited"))
-
-
-@query()
-def figure_verdicts(spark, d):
-    """Verdict on every reply's figures against the first figure of its turn's answer in millions of dollars."""
-    want = table(spark, d, "turns").groupBy("id").agg(F.min("answer").alias("a")).select(F.col("id").alias("turn_id"), (F.nullif(F.regexp_extract("a", r"USD (\d+(?:\.\d+)?) million", 1), F.lit("")).try_cast("decimal(18,4)")).alias("e")).filter("e is not null")
-    r = table(spark, d, "responses").join(want, "turn_id")
-    return r.select("key", answering.figure_verdict(F.col("content"), F.col("e") * F.lit(1000000).cast("decimal(7,0)")).alias("verdict"))
+    """Every answer with its citations numbered in order of appearance, and how many it cites."""
+    t = table(spark, d, "turns").filter("answer is not null").groupBy("id").agg(F.min("answer").alias("raw")).withColumn("text", answering.renumber(F.col("raw")))
+    return t.select("id", "text", F.size(F.array_distinct(F.regexp_extract_all("raw", F.lit(r"\[(\d+)\]"), F.lit(1)))).alias("cited"))
 
 
 @query("""WITH o AS (SELECT DISTINCT outcome_id, status, abstain_reason, fiscal_label FROM outcomes)

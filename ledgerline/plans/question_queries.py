@@ -119,11 +119,6 @@ def question_parts(spark, d):
     return q.select("outcome_id", F.explode(questions.decompose(F.array("ticker"), years)).alias("x")).select("outcome_id", "x.ticker", "x.year").distinct()
 
 
-@query("SELECT key, len(regexp_extract_all(regexp_replace(coalesce(content, ''), '\\[\\d+\\]|\\d{4}-\\d{2}-\\d{2}', ' ', 'g'), '\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?')) AS numbers FROM responses")
-def numeral_counts(spark, d):
-    return table(spark, d, "responses").select("key", F.size(numerals.numerals(F.col("content"))).alias("numbers"))
-
-
 @query("""WITH m AS (SELECT key, regexp_extract_all(coalesce(content, ''), 'USD (\\d+(?:\\.\\d+)?) million', 1) AS x FROM responses), u AS (SELECT key, unnest(x) AS v FROM m)
 SELECT key, sum(v::decimal(18,4) * 1000000)::double AS dollars FROM u GROUP BY 1""")
 def numeral_dollars(spark, d):

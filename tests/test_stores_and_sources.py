@@ -46,9 +46,11 @@ def test_files(spark, tmp_path):
     assert rows(reg)[0] == ("AAPL", "Apple Inc.", "0000320193")
     assert rows(files.find_company(reg, spark.createDataFrame([("apple",), ("x",), ("zzz",)], "name string"))) == [("apple", "AAPL"), ("x", "X"), ("zzz", None)]
     out = str(tmp_path / "t")
-    files.write_collections(spark.createDataFrame([("a", "1", "old"), ("b", "2", "kept")], "c string, id string, t string"), out, "id", "c")
-    files.write_collections(spark.createDataFrame([("a", "1", "new")], "c string, id string, t string"), out, "id", "c")
-    assert rows(spark.read.parquet(out).select("c", "t")) == [("a", "new"), ("b", "kept")]
+    files.write_collections(spark.createDataFrame([("a", "1", "old"), ("a", "2", "stays"), ("b", "2", "kept")], "c string, id string, t string"), out, "id", "c")
+    files.write_collections(spark.createDataFrame([("a", "1", "new"), ("a", "1", "newer"), ("a", "3", "added"), ("d", "1", "first")], "c string, id string, t string"), out, "id", "c", ["t"])
+    assert rows(spark.read.parquet(out).select("c", "id", "t")) == [("a", "1", "newer"), ("a", "2", "stays"), ("a", "3", "added"), ("b", "2", "kept"), ("d", "1", "first")]
+    have = spark.createDataFrame([("a", "1"), ("b", "1")], "c string, id string")
+    assert rows(files.copy_collections(spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "9"), ("c", "1")], "c string, id string"), have, "id", "c")) == [("a", "2"), ("c", "1")]
 
 
 def test_catalog_pages_links_and_upserts(spark):
@@ -105,7 +107,7 @@ def test_overrides_amendments_and_validation(spark, monkeypatch):
     assert seen["c"].rule == "single_candidate" and seen["d"].reason == "company_not_found"
     table = spark.createDataFrame([("T", 2019, "balance", " ".join(f"{i},000" for i in range(1, 30)) + " 7\u00a0000"), ("U", 2019, "balance", "1,234.5")], "ticker string, fiscal_label int, statement string, text string")
     assert {r.request_id: r.validation_status for r in resolve.validate(got, table).collect()} == {"a": "validated", "b": "validated", "c": "validated", "d": None}
-    poor = table.withColumn("text", F.when(F.col("ticker") == "T", F.regexp_replace("text", "\\b7,000", "")).otherwise("12"))
+    poor = table.withColumn("text", F.when(F.col("ticker") == "T", F.regexp_replace("text", "7,000", "")).otherwise("12"))
     assert {r.request_id: r.validation_status for r in resolve.validate(got, poor).collect()} == {"a": "conflict", "b": "conflict", "c": "unvalidated", "d": None}
 
 
@@ -140,7 +142,7 @@ def test_stream_indexer_resumes(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
     schema = "id string, c string, t string"
     for k in range(2):
-        spark.createDataFrame([(f"{k}", "a", "x"), (f"{k}", "a", "x"), (f"{k}", "b", "y")], schema).coalesce(1).write.mode("append").parquet(src)
+        spark.createDataFrame([("0", "a", "again"), (f"{k}", "a", "x"), (f"{k}", "a", "x"), (f"{k}", "b", "y")], schema).coalesce(1).write.mode("append").parquet(src)
         limits.index_stream(spark.readStream.schema(schema).parquet(src), out, cp, "id", "c").awaitTermination(120)
     assert rows(spark.read.parquet(out).select("c", "id")) == [("a", "0"), ("a", "1"), ("b", "0"), ("b", "1")]
 
@@ -168,12 +170,13 @@ def test_tables_become_grids(spark):
 def test_answers(spark):
     from ledgerline.operators import answering
 
-    cases = [("It was $39.0 billion.", "39000966000", "correct"), ("It was 0.391.", "39.1", "unit_error"), ("It was -5 million", "5000000", "sign_error"), ("It was 391 thousand", "391000000", "scale_error"), ("It was 7", "9", "wrong_value"), ("none", "9", "missing_number"), (None, "9", "missing_number")]
-    df = spark.createDataFrame([c[:2] for c in cases], "t string, e string").coalesce(1)
-    assert [r[0] for r in df.select(answering.figure_verdict(F.col("t"), F.col("e").cast("decimal(38,10)"))).collect()] == [c[2] for c in cases]
     n = spark.createDataFrame([("a [7] b [3] c [7][12]",), ("none",), (None,)], "t string").coalesce(1)
     assert [r[0] for r in n.select(answering.renumber(F.col("t"))).collect()] == ["a [1] b [2] c [1][3]", "none", None]
     q = spark.createDataFrame([(1, "Compare Acme Rail's sales with The Acme Corp."), (2, "acme rail north"), (3, None), (4, "nothing")], "id int, q string")
+    long = "one two three four five six seven eight nine"
+    many = spark.createDataFrame([(1, f"What of {long} in 2020?")], "id int, q string")
+    assert rows(answering.mentions(many, "id", "q", spark.createDataFrame([(long,), ("two three",)], "k string"), "k").select("key", "words")) == [(long, 9)]
+    assert answering.mentions(many, "id", "q", many.select(F.col("q").alias("k")).limit(0), "k").count() == 0
     names = spark.createDataFrame([("acme",), ("acme rail",), ("rail north",), ("",), (None,)], "k string")
     assert {tuple(r) for r in answering.mentions(q, "id", "q", names, "k").select("id", "key").collect()} == {(1, "acme"), (1, "acme rail"), (2, "acme rail"), (2, "rail north")}
     k = spark.createDataFrame([("The Acme Holdings, Inc.",), ("Zen's Co.",)], "n string").coalesce(1)
