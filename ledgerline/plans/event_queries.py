@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sections
+from ..functions import transforms
+from ..operators import headings, sections
 from ..runtime import cut, table
 from ..sources import inline
 from ..streaming import limits
@@ -71,3 +72,38 @@ def section_assign(spark, d):
     docs = table(spark, d, "documents").filter("ticker is not null and fiscal_year is not null and section_id is not null")
     cand = docs.select(F.concat_ws("/", "ticker", F.col("fiscal_year").cast("string")).alias("doc"), F.col("doc_id").alias("line_no"), F.ascii(F.substring(F.regexp_extract("section_id", r"(\d)", 1), 1, 1)).alias("priority"), F.col("section_id").alias("section"), F.least(F.col("n_chars") / 100, F.lit(20)).alias("weight"))
     return sections.assign(cand, "doc")
+
+
+_DAYS = "strftime(end_date, '%B ') || day(end_date)::varchar || ', ' || year(end_date)::varchar"
+
+
+@query(f"""WITH f AS (SELECT id, end_date, value_text, ['ixt:date-monthname-day-year-en', 'ixt:date-month-day-year', 'ixt:date-year-month', 'ixt:fixed-true', 'ixt:booleanfalse', 'ixt-sec:boolballotbox', 'ixt-sec:exchnameen', 'ixt:datemonthdayyear'] AS fs FROM facts WHERE end_date IS NOT NULL),
+x AS (SELECT id, end_date, value_text, unnest(fs) AS format FROM f)
+SELECT id, format, CASE WHEN format LIKE '%monthname%' OR format LIKE '%date-month-day%' THEN strftime(end_date, '%Y-%m-%d') WHEN format LIKE '%year-month' THEN strftime(end_date, '%Y-%m') WHEN format LIKE '%true' THEN 'true' WHEN format LIKE '%false' THEN 'false' WHEN format LIKE '%ballot%' THEN CASE WHEN value_text IS NOT NULL THEN 'true' ELSE 'false' END
+  WHEN format LIKE '%exch%' THEN nullif(trim(value_text), '') ELSE 'no date' END AS value, format = 'ixt:datemonthdayyear' AS failed FROM x""")
+def text_transforms(spark, d):
+    """Every fact's day printed in each tagged format and read back; what a format can't read is kept."""
+    f = table(spark, d, "facts").filter("end_date is not null").select("id", "end_date", "value_text")
+    shown = {
+        "ixt:date-monthname-day-year-en": F.concat(F.date_format("end_date", "MMMM"), F.lit("\u00a0"), F.date_format("end_date", "d"), F.lit(", "), F.date_format("end_date", "yyyy")), "ixt:date-month-day-year": F.date_format("end_date", "M/d/yy"), "ixt:date-year-month": F.date_format("end_date", "yyyy-MM"), "ixt:fixed-true": F.lit("x"), "ixt:booleanfalse": F.lit(""),
+        "ixt-sec:boolballotbox": F.when(F.col("value_text").isNotNull(), "\u2612").otherwise("\u2610"), "ixt-sec:exchnameen": F.col("value_text"), "ixt:datemonthdayyear": F.lit(" no date "),
+    }
+    pairs = F.array(*[F.struct(F.lit(k).alias("format"), v.alias("text")) for k, v in shown.items()])
+    x = f.select("id", F.explode(pairs).alias("p"))
+    return x.select("id", "p.format", transforms.tagged_text(F.col("p.format"), F.col("p.text")).alias("t")).select("id", "format", "t.value", "t.failed")
+
+
+_HEAD = {"item_1_business": "Item 1. Business", "item_1a_risk_factors": "Item 1A. Risk Factors", "item_3_legal": "Item 3. Legal Proceedings", "item_7_mda": "Item 7. Management's Discussion", "item_7a_market_risk": "Item 7A. Quantitative Disclosures", "item_8_financials": "Item 8. Financial Statements", "item_9a_controls": "Item 9A. Controls and Procedures"}
+_ORD = ", ".join(f"('{s}', {i})" for i, s in enumerate(_HEAD))
+
+
+@query(rf"""WITH o(section, n) AS (VALUES {_ORD}), d AS (SELECT doc_id, section_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:15] AS ls FROM documents WHERE text IS NOT NULL AND section_id LIKE 'item_%'),
+p AS (SELECT doc_id, section_id, list_bool_or(list_transform(ls, lambda x: length(x) >= 200 AND NOT regexp_matches(x, '(?i)incorporated\s+(?:herein\s+)?by\s+reference|^\s*refer\s+to|on\s+pages?\s+\d|pages?\s+\d+\s*[–—-]\s*\d'))) AS prose FROM d)
+SELECT p.doc_id, o.section, coalesce(prose, false) AND o.section = p.section_id AS prose FROM p JOIN o me ON me.section = p.section_id JOIN o ON o.n <= me.n OR NOT coalesce(prose, false)""")
+def heading_sections(spark, d):
+    """Every passage behind a page of contents and its own heading: which headings are chosen, and which one has prose."""
+    docs = table(spark, d, "documents").filter("text is not null and section_id like 'item_%'")
+    heads = F.create_map(*[F.lit(x) for p in _HEAD.items() for x in p])
+    contents = "\n".join(f"{h} {7 + 11 * i}" for i, h in enumerate(_HEAD.values()))
+    page = docs.select("doc_id", F.concat(F.lit(contents + "\n\n"), F.element_at(heads, F.col("section_id")), F.lit("\n\n"), "text", F.lit("\n" * 40)).alias("page"))
+    return headings.filing_sections(page, "doc_id", "page").select("doc_id", "section", "prose")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numerals import tagged_number
+from ..functions.transforms import KNOWN, tagged_text
 
 FIELDS = ("kind", "name", "context_id", "unit_ref", "format", "scale", "sign", "decimals", "text", "nil", "hidden", "element_id", "entity", "instant", "start", "end")
 SCHEMA = "doc string, seq int, " + ", ".join(f"{f} string" for f in FIELDS) + ", dimensions array<struct<axis:string,member:string>>, measures array<string>, denominators array<string>"
@@ -149,7 +150,7 @@ def facts(scanned: DataFrame, filing: str = "doc") -> DataFrame:
     number = (F.col("kind") == "number") & (F.col("nil") == "false")
     return joined.select(
         filing, "doc", "seq", F.col("name").alias("concept"), "context_id", F.coalesce("unit", "unit_ref").alias("unit"), "decimals", F.col("scale").alias("scale_raw"), F.col("sign").alias("sign_raw"), "hidden", "element_id",
-        F.when(number, tagged_number(F.when(number, F.col("format")), F.when(number, F.col("text")), F.col("scale"), F.col("sign"))).alias("value"), F.when((F.col("kind") == "text") & (F.col("nil") == "false"), F.trim("text")).alias("value_text"),
+        F.when(number, tagged_number(F.when(number, F.col("format")), F.when(number, F.col("text")), F.col("scale"), F.col("sign"))).alias("value"), F.when((F.col("kind") == "text") & (F.col("nil") == "false"), tagged_text(F.col("format"), F.col("text")).getField("value")).alias("value_text"),
         F.when(F.col("instant").isNotNull(), "instant").otherwise("duration").alias("period_type"), "start_date", F.coalesce("instant", "end").alias("end_date"), "dimensions",
     )
 
@@ -157,3 +158,9 @@ def facts(scanned: DataFrame, filing: str = "doc") -> DataFrame:
 def format_survey(scanned: DataFrame) -> DataFrame:
     """(format, kind, n) of all tagged facts."""
     return scanned.filter("kind in ('number', 'text')").groupBy("format", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def untransformed(scanned: DataFrame) -> DataFrame:
+    """(format, n): formats of tagged texts for which there is no transform."""
+    name = F.lower(F.regexp_replace(F.col("format"), r"^.*:", ""))
+    return scanned.filter((F.col("kind") == "text") & F.col("format").isNotNull() & ~name.isin(*KNOWN)).groupBy("format").agg(F.count(F.lit(1)).alias("n"))

@@ -82,3 +82,67 @@ def markdown(grid: list[list[str]]) -> str:
     head = ["" if c.replace(".", "").isdigit() and len(c) < 3 else c for c in grid[0]]
     lines = [head, ["---"] * len(head), *grid[1:]]
     return "\n".join("| " + " | ".join(c.replace("|", "/") for c in row) + " |" for row in lines)
+
+
+#: Tags that end a line of text.
+_BLOCKS = frozenset("p div tr br li h1 h2 h3 h4 h5 h6 hr section article body html title".split())
+
+
+class _Lines(HTMLParser):
+    """Text lines of a page; the place of every outermost table is kept and its content left out."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.depth = 0
+        self.tables = 0
+        self.silent = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "table":
+            if not self.depth:
+                self.parts.append(f"\n\x00{self.tables}\n")
+                self.tables += 1
+            self.depth += 1
+        elif tag in ("script", "style"):
+            self.silent += 1
+        elif tag in _BLOCKS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "table" and self.depth:
+            self.depth -= 1
+        elif tag in ("script", "style"):
+            self.silent = max(0, self.silent - 1)
+        elif tag in _BLOCKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data: str) -> None:
+        if not self.depth and not self.silent:
+            self.parts.append(data)
+
+
+def filing_lines(html: str, heads) -> tuple[list[str], list[list[list[str]]]]:  # noqa: ANN001
+    """Lines of a page and its data tables as grids.
+
+    In the place of a table stand the headings that ``heads`` finds in it, marked as such, and a numbered
+    placeholder if it holds data; layout tables leave nothing but those headings.
+    """
+    page = _Lines()
+    page.feed(html)
+    page.close()
+    found = grids(html)
+    lines: list[str] = []
+    kept: list[list[list[str]]] = []
+    for line in "".join(page.parts).split("\n"):
+        line = " ".join(line.split()) if "\x00" not in line else line
+        if line.startswith("\x00"):
+            at = int(line[1:])
+            grid = found[at] if at < len(found) else []
+            lines += [f"\u00a7\u00a7 {h}" for h in heads(grid)]
+            if is_data(grid):
+                lines.append(f"<<<TABLE_{len(kept)}>>>")
+                kept.append(grid)
+        elif line or (lines and lines[-1]):
+            lines.append(line)
+    return lines, kept
