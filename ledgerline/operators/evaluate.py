@@ -142,16 +142,27 @@ def all_required(items: DataFrame, ident: str, required: DataFrame, have: DataFr
 
 
 def stratified(df: DataFrame, strata: list[str], ident: str, n: int, seed: int = 7) -> DataFrame:
-    """``n`` rows taken round-robin from the strata, within a stratum in seeded hash order."""
+    """``n`` rows taken round-robin from the strata, within a stratum in seeded hash order.
+
+    No stratum gives more than ``n`` rows, so each task passes on only its own first ``n`` of a stratum.
+    """
     order = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(ident).cast("string")))
     ranked = df.withColumn("round", F.row_number().over(Window.partitionBy(*strata).orderBy(order, ident)))
-    return ranked.orderBy("round", *strata).limit(n)
+    return ranked.filter(F.col("round") <= n).orderBy("round", *strata).limit(n)
 
 
 def round_robin(df: DataFrame, topic: str, spread: str, ident: str, n: int) -> DataFrame:
-    """Rows spread over ``spread`` within each topic, then taken in turns from the topics."""
-    first = df.withColumn("__a", F.row_number().over(Window.partitionBy(topic, spread).orderBy(ident)))
-    turn = first.withColumn("turn", F.row_number().over(Window.partitionBy(topic).orderBy("__a", spread, ident))).drop("__a")
+    """Rows spread over ``spread`` within each topic, then taken in turns from the topics, each topic's first ``spread`` rotated by its rank.
+
+    The filer with which a topic begins moves on by one from topic to topic, so that not every topic
+    begins with the same. No topic gives more than ``n`` rows, so tasks pass on only their first.
+    """
+    first = df.withColumn("__a", F.row_number().over(Window.partitionBy(topic, spread).orderBy(ident))).filter(F.col("__a") <= n)
+    names = F.dense_rank().over(Window.partitionBy(topic).orderBy(spread))
+    topics = df.select(topic).distinct().withColumn("__t", F.row_number().over(Window.orderBy(topic)) - 1)  # one row a topic
+    sizes = df.select(topic, spread).distinct().groupBy(topic).agg(F.count(F.lit(1)).alias("__m"))
+    turned = first.withColumn("__s", names - 1).join(F.broadcast(topics), topic).join(F.broadcast(sizes), topic).withColumn("__s", F.pmod(F.col("__s") - F.col("__t"), F.col("__m")))
+    turn = turned.withColumn("turn", F.row_number().over(Window.partitionBy(topic).orderBy("__a", "__s", ident))).filter(F.col("turn") <= n).drop("__a", "__s", "__t", "__m")
     return turn.orderBy("turn", topic).limit(n)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.precision import digits, explained, half_unit
 from ..functions.text import local_name
+from .upkeep import fingerprint
 
 # Days around a period end and lengths of a year that count as the filing's own period.
 TOLERANCE_DAYS = 3
@@ -68,12 +69,9 @@ def stats(facts: DataFrame) -> DataFrame:
 
 
 def content_hash(facts: DataFrame, fields: list[str]) -> DataFrame:
-    """(accession, facts, hash): SHA-256 per filing over its rows in any order; null is the empty string.
-
-    A filing's rows are first reduced to row hashes, so only fixed-width values are gathered.
-    """
-    row = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256)
-    return facts.select("accession", row.alias("r")).groupBy("accession").agg(F.count(F.lit(1)).alias("facts"), F.sha2(F.array_join(F.sort_array(F.collect_list("r")), "\u001e"), 256).alias("hash"))
+    """(accession, facts, hash): SHA-256 per filing over its rows in any order, see ``fingerprint``; null is the empty string."""
+    row = F.concat_ws("\u001f", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    return fingerprint(facts, ["accession"], row).withColumnRenamed("rows", "facts")
 
 
 def needs_build(stored: DataFrame, current: DataFrame) -> DataFrame:

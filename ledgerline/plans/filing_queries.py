@@ -157,17 +157,25 @@ def precision_dedupe(spark, d):
     return facts.prefer_precise(facts.numeric(_facts(spark, d))).select("id")
 
 
-@query("""WITH r AS (SELECT accession, sha256(concat_ws(chr(31), coalesce(concept, ''), coalesce(value::varchar, ''), coalesce(value_text, ''), coalesce(unit, ''), coalesce(end_date::varchar, ''))) AS r FROM facts)
-SELECT accession, count(*) AS facts, sha256(string_agg(r, chr(30) ORDER BY r)) AS hash FROM r GROUP BY 1""")
+_HASHED = """hr AS (SELECT accession, sha256(concat_ws(chr(31), coalesce(concept, ''), coalesce(value::varchar, ''), coalesce(value_text, ''), coalesce(unit, ''), coalesce(end_date::varchar, ''))) AS r FROM facts),
+hb AS (SELECT accession, substr(r, 1, 4) AS b, count(*) AS n, sha256(string_agg(r, chr(30) ORDER BY r)) AS h FROM hr GROUP BY 1, 2), hashed AS (SELECT accession, sum(n)::bigint AS facts, sha256(string_agg(b || h, chr(30) ORDER BY b || h)) AS hash FROM hb GROUP BY 1)"""
+
+
+@query(f"WITH {_HASHED} SELECT * FROM hashed")
 def facts_hash(spark, d):
     return facts.content_hash(_facts(spark, d), ["concept", "value", "value_text", "unit", "end_date"])
 
 
-@query("""WITH cur AS (SELECT accession, sum(hash(id)) AS h FROM facts GROUP BY 1) SELECT accession, CASE WHEN accession LIKE '%-20-%' THEN 'new' WHEN accession LIKE '%-19-%' THEN 'built' ELSE 'unchanged' END AS state FROM cur""")
+@query(f"""WITH {_HASHED}, hl AS (SELECT accession, sha256(concat_ws(chr(31), coalesce(concept, ''), coalesce(value::varchar, ''), coalesce(value_text, ''), coalesce(unit, ''), coalesce(end_date::varchar, ''))) AS r FROM facts WHERE accession NOT IN (SELECT accession FROM filings WHERE fiscal_label > 2021) AND (period_type = 'instant' OR accession IN (SELECT accession FROM filings WHERE fiscal_label <= 2015))),
+lb AS (SELECT accession, substr(r, 1, 4) AS b, sha256(string_agg(r, chr(30) ORDER BY r)) AS h FROM hl GROUP BY 1, 2), was AS (SELECT accession, sha256(string_agg(b || h, chr(30) ORDER BY b || h)) AS hash FROM lb GROUP BY 1)
+SELECT hashed.accession, CASE WHEN was.hash IS NULL THEN 'new' WHEN was.hash = hashed.hash THEN 'unchanged' ELSE 'built' END AS state FROM hashed LEFT JOIN was USING (accession)""")
 def facts_needs_build(spark, d):
-    now = facts.content_hash(_facts(spark, d), ["concept", "value", "value_text", "unit", "end_date"])
-    was = now.filter("accession not like '%-20-%'").withColumn("hash", F.when(F.col("accession").like("%-19-%"), "stale").otherwise(F.col("hash")))
-    return facts.needs_build(was, now)
+    """What a build has to do for a store that lacks late filings and the durations of all but early ones."""
+    fields = ["concept", "value", "value_text", "unit", "end_date"]
+    f, g = _facts(spark, d), table(spark, d, "filings")
+    late, early = g.filter("fiscal_label > 2021").select("accession"), g.filter("fiscal_label <= 2015").select("accession").distinct().withColumn("early", F.lit(True))
+    stored = f.join(late, "accession", "left_anti").join(early, "accession", "left").filter("period_type = 'instant' or early")
+    return facts.needs_build(facts.content_hash(stored, fields), facts.content_hash(f, fields))
 
 
 @query("""SELECT id, accession FROM facts WHERE accession NOT IN (SELECT accession FROM filings WHERE upper(form_type) LIKE '%/A') UNION ALL

@@ -316,8 +316,8 @@ def stratified_roundrobin(spark, d):
     return evaluate.stratified(o, ["query_type", "status"], "outcome_id", 200)
 
 
-@query("""WITH a AS (SELECT doc_id, section_id, ticker, row_number() OVER (PARTITION BY section_id, ticker ORDER BY doc_id) AS a FROM documents WHERE section_id IS NOT NULL AND ticker IS NOT NULL),
-t AS (SELECT doc_id, section_id, row_number() OVER (PARTITION BY section_id ORDER BY a, ticker, doc_id) AS turn FROM a) SELECT * FROM t ORDER BY turn, section_id LIMIT 120""")
+@query("""WITH a AS (SELECT doc_id, section_id, ticker, row_number() OVER (PARTITION BY section_id, ticker ORDER BY doc_id) AS a, dense_rank() OVER (PARTITION BY section_id ORDER BY ticker) - 1 AS s, dense_rank() OVER (ORDER BY section_id) - 1 AS t FROM documents WHERE section_id IS NOT NULL AND ticker IS NOT NULL),
+m AS (SELECT section_id, count(DISTINCT ticker) AS m FROM a GROUP BY 1), t AS (SELECT a.doc_id, a.section_id, row_number() OVER (PARTITION BY a.section_id ORDER BY a.a, (a.s - a.t + 100 * m.m) % m.m, a.doc_id) AS turn FROM a JOIN m USING (section_id)) SELECT * FROM t ORDER BY turn, section_id LIMIT 120""")
 def topic_roundrobin(spark, d):
     docs = table(spark, d, "documents").filter("section_id is not null and ticker is not null").select("doc_id", "section_id", "ticker")
     return evaluate.round_robin(docs, "section_id", "ticker", "doc_id", 120).select("doc_id", "section_id", "turn")
