@@ -30,7 +30,7 @@ def tagged_text(fmt: Column, text: Column) -> Column:
     """
     name = F.lower(F.regexp_replace(F.coalesce(fmt, F.lit("")), r"^.*:", ""))
     raw = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
-    spaced = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\s    ]+", " "), r"[^\x00-\x7f\p{L}\p{N}]", "")
+    spaced = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\s\u00a0\u2007\u2009\u202f]+", " "), r"[^\x00-\x7f\p{L}\p{N}]", "")
     words = F.filter(F.split(F.trim(spaced), r"[\s,]+"), lambda w: w != "")
     nums = F.filter(F.split(raw, r"[^0-9]+"), lambda w: w != "")
     pad = lambda c, n: F.lpad(c.try_cast("int").cast("string"), n, "0")

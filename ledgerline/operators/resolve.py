@@ -135,7 +135,7 @@ def validate(resolved: DataFrame, statements: DataFrame) -> DataFrame:
     step = F.concat(F.lit("1E"), (-power).cast("string")).try_cast("decimal(38,10)")
     shown = F.abs("value").cast("decimal(28,10)") * step.cast("decimal(20,10)")
     forms = F.array(fmt.grouped(shown.cast("decimal(38,10)")), fmt.plain(shown.cast("decimal(38,10)")))
-    flat = F.regexp_replace("text", "[\\s ]+", " ")
+    flat = F.regexp_replace("text", "[\\s\u00a0]+", " ")
     judged = figures.join(statements, ["ticker", "fiscal_label", "statement"]).select(
         "ticker", "fiscal_label", "statement", "value", "scale_raw", F.exists(forms, lambda x: F.contains(flat, x)).alias("__printed"), F.size(F.regexp_extract_all(flat, F.lit(r"(\d{1,3}(?:,\d{3})+|\d{4,})"), F.lit(1))).alias("__numerals"),
     )

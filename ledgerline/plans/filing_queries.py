@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import calc, fmt
+from ..functions import calc
 from ..functions.text import iso_day
 from ..operators import catalog, facts, registry, resolve
 from ..runtime import table
@@ -401,33 +401,3 @@ SELECT cik, concept, years, (last - first)::decimal(38,10)::varchar AS change, C
 def trend_change(spark, d):
     g = _yearly(spark, d).groupBy("cik", "concept").agg(F.count(F.lit(1)).alias("years"), F.min_by("value", F.struct("e", "y")).alias("first"), F.max_by("value", F.struct("e", "y")).alias("last")).filter("years > 1")
     return g.select("cik", "concept", "years", (F.col("last") - F.col("first")).cast("decimal(38,10)").cast("string").alias("change"), F.when(F.col("last") > F.col("first"), "rose").when(F.col("last") < F.col("first"), "fell").otherwise("unchanged").alias("direction"))
-
-
-_PLAIN = "regexp_replace(regexp_replace(abs(value)::varchar, '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
-_GROUPED = f"format('{{:,}}', trunc(abs(value))::decimal(38,0)::hugeint) || CASE WHEN {_PLAIN} LIKE '%.%' THEN '.' || split_part({_PLAIN}, '.', 2) ELSE '' END"
-
-
-@query(f"""SELECT id, CASE WHEN value < 0 THEN '-' ELSE '' END || CASE WHEN upper(unit) LIKE 'USD%' THEN '$' ELSE '' END || {_GROUPED} AS exact FROM facts WHERE value IS NOT NULL""")
-def exact_format(spark, d):
-    return _facts(spark, d).filter("value is not null").select("id", fmt.exact(F.col("value"), F.col("unit")).alias("exact"))
-
-
-_M = "abs(value)"
-_CENT = "round({m} / {s}, 2)"
-
-
-@query("""WITH v AS (SELECT id, value, abs(value) AS m, CASE WHEN value < 0 THEN '-' ELSE '' END AS sg FROM facts WHERE value IS NOT NULL AND unit = 'USD'),
-c AS (SELECT *, CASE WHEN m >= 1000000000000 THEN 1000000000000 WHEN m >= 1000000000 THEN 1000000000 WHEN m >= 1000000 THEN 1000000 ELSE 1 END AS s FROM v),
-h AS (SELECT *, CASE WHEN s > 1 THEN ((m * 100)::decimal(38,10) + (s // 2))::decimal(38,10) ELSE (m * 100 + 0.5)::decimal(38,10) END AS n FROM c),
-k AS (SELECT *, (trunc(n)::hugeint // s::hugeint) AS cents FROM h),
-p AS (SELECT *, CASE WHEN cents >= 100000 AND s IN (1000000, 1000000000) THEN s * 1000 ELSE s END AS s2 FROM k),
-q AS (SELECT *, CASE WHEN s2 <> s THEN trunc(((m * 100)::decimal(38,10) + (s2 // 2))::decimal(38,10))::hugeint // s2::hugeint ELSE cents END AS c2 FROM p)
-SELECT id, CASE WHEN s2 > 1 THEN sg || '$' || (c2 // 100)::varchar || '.' || lpad((c2 % 100)::varchar, 2, '0') || CASE s2 WHEN 1000000000000 THEN ' trillion' WHEN 1000000000 THEN ' billion' ELSE ' million' END END AS money FROM q WHERE s2 > 1""")
-def money_format(spark, d):
-    return _facts(spark, d).filter("value is not null and unit = 'USD' and abs(value) >= 1000000").select("id", fmt.money(F.col("value"), F.col("unit")).alias("money"))
-
-
-@query()
-def money_format_all(spark, d):
-    """Readable form of every number, whatever its size and unit."""
-    return _facts(spark, d).filter("value is not null").select("id", fmt.money(F.col("value"), F.col("unit")).alias("money"))

@@ -255,20 +255,16 @@ def paired_subset(spark, d):
     return evaluate.all_required(i, "outcome_id", i, table(spark, d, "filings").filter("facts_built_at is not null"), ["ticker", "fiscal_label"])
 
 
-_FIG = """fig AS (SELECT g.cik, g.y, f.concept, max(f.value::varchar::double) AS value FROM (SELECT accession, max(cik) AS cik, max(fiscal_label) AS y FROM filings GROUP BY 1) g JOIN facts f USING (accession) WHERE f.value IS NOT NULL AND f.concept IN ('Assets', 'Revenues', 'NetIncomeLoss') GROUP BY 1, 2, 3)"""
+_FIG = """fig AS (SELECT g.cik, g.y, trim(regexp_replace(f.concept, '^.*:', '')) AS concept, max(f.value::varchar::double) AS value FROM (SELECT accession, max(cik) AS cik, max(fiscal_label) AS y FROM filings GROUP BY 1) g JOIN facts f USING (accession) WHERE f.value IS NOT NULL AND f.concept IS NOT NULL AND g.cik IS NOT NULL AND g.y IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH {_FIG}, p AS (SELECT a.cik, a.y, a.concept, 'wrong_period' AS kind, b.value FROM fig a JOIN fig b ON a.concept = b.concept AND a.cik = b.cik AND a.y <> b.y UNION ALL SELECT a.cik, a.y, a.concept, 'wrong_entity', b.value FROM fig a JOIN fig b ON a.concept = b.concept AND a.cik <> b.cik AND a.y = b.y)
-SELECT cik, y, concept, kind, count(*) AS n, min(value) AS least, max(value) AS greatest FROM p GROUP BY 1, 2, 3, 4""")
-def distractors(spark, d):
-    g = table(spark, d, "filings").groupBy("accession").agg(F.max("cik").alias("cik"), F.max("fiscal_label").alias("y"))
-    f = table(spark, d, "facts").filter(F.col("value").isNotNull() & F.col("concept").isin("Assets", "Revenues", "NetIncomeLoss"))
-    fig = f.join(g, "accession").groupBy("cik", "y", "concept").agg(F.max(F.col("value").cast("double")).alias("value"))
-    return evaluate.distractors(fig, "cik", "y", "concept", "value")
+def _other_sql(key: str, kind: str) -> str:
+    """Count, least and greatest of a key's other figures, from its two least and two greatest."""
+    return f"SELECT fig.cik, fig.y, fig.concept, '{kind}' AS kind, k.n - 1 AS n, CASE WHEN fig.value = k.lo[1] THEN k.lo[2] ELSE k.lo[1] END AS least, CASE WHEN fig.value = k.hi[1] THEN k.hi[2] ELSE k.hi[1] END AS greatest FROM fig JOIN (SELECT {key}, concept, count(*) AS n, min(value, 2) AS lo, max(value, 2) AS hi FROM fig GROUP BY 1, 2) k ON k.{key} = fig.{key} AND k.concept = fig.concept WHERE k.n > 1"
 
 
-@query()
-def distractors_all(spark, d):
+@query(f"WITH {_FIG} {_other_sql('cik', 'wrong_period')} UNION ALL {_other_sql('y', 'wrong_entity')}")
+def distractors(spark, d):
     """Distractors of every concept, whatever its prefix and outer blanks."""
     g = table(spark, d, "filings").groupBy("accession").agg(F.max("cik").alias("cik"), F.max("fiscal_label").alias("y")).filter("cik is not null and y is not null")
     f = table(spark, d, "facts").filter("value is not null and concept is not null").select("accession", local_name(F.col("concept")).alias("concept"), F.col("value").cast("double").alias("value"))
@@ -276,22 +272,13 @@ def distractors_all(spark, d):
     return evaluate.distractors(fig, "cik", "y", "concept", "value")
 
 
-@query("""WITH t AS (SELECT id, min(citations) AS citations, min(status) AS status, min(as_of) AS as_of FROM turns GROUP BY 1),
-c AS (SELECT id, status, as_of, CASE WHEN citations IS NULL OR trim(citations) = '' THEN 0 ELSE coalesce(json_array_length(citations), 0) END AS n FROM t)
-SELECT id, n AS citations, CASE WHEN n > 0 AND status = 'abstained' THEN true ELSE false END AS refused_with_sources FROM c""")
-def citation_flags(spark, d):
-    t = table(spark, d, "turns").groupBy("id").agg(F.min("citations").alias("citations"), F.min("status").alias("status"))
-    n = F.coalesce(F.json_array_length("citations"), F.lit(0))
-    return t.select("id", n.alias("citations"), ((n > 0) & (F.col("status") == "abstained")).alias("refused_with_sources"))
-
-
 @query("""WITH t AS (SELECT DISTINCT id, citations, coalesce(status = 'abstained', false) AS refused, try_cast(nullif(regexp_extract(trim(as_of), '^(\\d{4}-\\d{2}-\\d{2})([T ].*)?$', 1), '') AS date) AS day FROM turns),
 c AS (SELECT *, unnest(CASE WHEN json_valid(citations) THEN from_json(citations, '["JSON"]') END) AS c FROM t),
 n AS (SELECT *, row_number() OVER () AS r FROM c),
 f AS (SELECT id, citations, refused, day, list(try_cast(c->>'index' AS bigint) ORDER BY r) AS i, bool_or(coalesce(c->>'accession', '') = '' OR coalesce(c->>'filing_date', '') = '') AS blank, coalesce(bool_or(c->>'filing_date' > day::varchar), false) AS ahead FROM n GROUP BY ALL)
 SELECT t.id, concat_ws(',', CASE WHEN i <> range(1, len(i) + 1) OR blank OR f.refused THEN 'citation_invalid' END, CASE WHEN ahead THEN 'look_ahead' END) AS flags
 FROM t LEFT JOIN f ON f.id IS NOT DISTINCT FROM t.id AND f.citations = t.citations AND f.refused = t.refused AND f.day IS NOT DISTINCT FROM t.day""")
-def citation_checks(spark, d):
+def citation_flags(spark, d):
     """All flags of every turn's citations."""
     t = table(spark, d, "turns").select("id", "citations", F.coalesce(F.col("status") == "abstained", F.lit(False)).alias("refused"), iso_day(F.col("as_of")).cast("string").alias("as_of")).distinct()
     listed = F.from_json("citations", evaluate.CITATIONS)
