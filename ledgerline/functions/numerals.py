@@ -38,6 +38,26 @@ def numerals(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(masked(text), F.lit(f"({NUMERAL})"), F.lit(1)), read)
 
 
+#: Names that hold digits but state no quantity, in the older reading of answers.
+NO_QUANTITY = r"(?i)\b10-[KQ]\b|\b8-K\b|\b(?:item\s+\d+[a-c]?|(?:section|asc|ifrs|note)\s+\d+)\b"
+QUANTITY = r"(?i)((?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(?:(?:trillion|billion|million|thousand|bn|mm|[btmk])\b)?(?:\s*%)?)"
+#: Millions that a unit stands for; a bare number is read as millions.
+MILLIONS = {"trillion": 1e6, "t": 1e6, "billion": 1e3, "b": 1e3, "bn": 1e3, "million": 1.0, "m": 1.0, "mm": 1.0, "thousand": 1e-3, "k": 1e-3}
+
+
+def legacy_numbers(text: Column) -> Column:
+    """Array of (raw, millions, is_percent): quantities of a text in the older reading, in which a bare number counts millions."""
+
+    def read(raw: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(raw, r"(\d[\d,]*(?:\.\d+)?)", 1), ",", "").cast("double")
+        unit = F.lower(F.regexp_extract(raw, r"([a-zA-Z]+)", 1))
+        factor = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in MILLIONS.items() for x in p]), unit), F.lit(1.0))
+        percent = F.contains(raw, F.lit("%"))
+        return F.struct(F.trim(raw).alias("raw"), F.when(~percent, digits * factor).alias("millions"), percent.alias("is_percent"))
+
+    return F.transform(F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), NO_QUANTITY, " "), F.lit(QUANTITY), F.lit(1)), read)
+
+
 def agrees(found: Column, expected: Column) -> Column:
     """True if the expected figure rounds to the stated one at the precision shown."""
     return F.abs(found.getField("value") - expected) * 2 <= found.getField("step")

@@ -262,3 +262,21 @@ def decompose(tickers: Column, years: Column) -> Column:
     ys = F.array_sort(F.array_distinct(F.coalesce(years, F.array().cast("array<int>"))))
     ts = F.array_distinct(F.coalesce(tickers, F.array().cast("array<string>")))
     return F.flatten(F.transform(ts, lambda t: F.when(F.size(ys) == 0, F.array(F.struct(t.alias("ticker"), F.lit(None).cast("int").alias("year")))).otherwise(F.transform(ys, lambda y: F.struct(t.alias("ticker"), y.alias("year"))))))
+
+
+#: What a model may answer when it is asked where a question goes.
+ROUTE_JSON = "struct<query_type: string, tickers: array<string>, years: array<int>, metric: string>"
+QUERY_TYPES = ("numeric_fact", "computed", "compare", "trend", "narrative", "clarify", "abstain")
+
+
+def route_from_json(reply: Column) -> Column:
+    """Struct (query_type, tickers, years, metric) of a model's JSON reply; null if it is no JSON or a value is not among those allowed.
+
+    Types and metrics are checked against their lists, years for plausibility; tickers are written in capitals.
+    """
+    r = F.from_json(reply, ROUTE_JSON)
+    years = F.coalesce(r.getField("years"), F.array().cast("array<int>"))
+    metric = r.getField("metric")
+    valid = F.try_parse_json(reply).isNotNull() & r.getField("query_type").isin(*QUERY_TYPES) & (metric.isNull() | metric.isin(*METRICS)) & ~F.exists(years, lambda y: y.isNull() | (y < EARLIEST) | (y > 2100))
+    tickers = F.transform(F.coalesce(r.getField("tickers"), F.array().cast("array<string>")), lambda t: F.upper(t))
+    return F.when(F.coalesce(valid, F.lit(False)), F.struct(r.getField("query_type").alias("query_type"), tickers.alias("tickers"), years.alias("years"), metric.alias("metric")))

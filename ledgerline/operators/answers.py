@@ -137,7 +137,7 @@ DECLINES = r"(?i)\b(?:" + "|".join([*[rf"{a}\s+not|{a}n'?t" for a in AUXILIARIES
 
 def canonical_numeral(cell: Column) -> Column:
     """One spelling of a table cell's number, null for other cells: currency, percent and separators dropped, parentheses and dashes as minus."""
-    t = F.trim(F.replace(F.coalesce(cell, F.lit("")), F.lit("\u00a0"), F.lit(" ")))
+    t = F.regexp_replace(F.trim(F.replace(F.coalesce(cell, F.lit("")), F.lit("\u00a0"), F.lit(" "))), r"^\$ *", "")
     paren = t.startswith("(") & t.endswith(")")
     bare = F.regexp_replace(F.translate(F.regexp_replace(t, r"^\(+|\)+$", ""), "−–—", "---"), r"[$%, ]", "")
     minus = bare.startswith("-")

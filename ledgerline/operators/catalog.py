@@ -63,13 +63,17 @@ def collection_owner(filings: DataFrame, collections: DataFrame) -> DataFrame:
 
 
 def link_report(filings: DataFrame, collections: DataFrame) -> DataFrame:
-    """(kind, n): linked, already, orphan collections and unindexed originals, by a full outer join."""
+    """(kind, n): linked, already, orphan collections and unindexed originals, by a full outer join.
+
+    Unindexed originals that still name a collection are ``cleared``: the store no longer holds it.
+    """
     owners = collection_owner(filings, collections)
     had = filings.filter("collection_name is not null").select("accession", F.col("collection_name").alias("had"))
     originals = filings.filter(~is_amendment(F.col("form_type"))).select("accession").distinct()
     side = owners.filter("accession is not null").join(had, "accession", "left").groupBy("accession").agg(F.bool_or(F.coalesce(F.col("had") == F.col("collection_name"), F.lit(False))).alias("same"))
     joined = originals.withColumn("listed", F.lit(1)).join(side, "accession", "full_outer")
-    kind = F.when(F.col("same").isNull(), "unindexed").when(F.col("same"), "already").otherwise("linked")
+    joined = joined.join(had.select("accession", F.lit(True).alias("named")).distinct(), "accession", "left")
+    kind = F.when(F.col("same").isNull(), F.when(F.col("named"), "cleared").otherwise("unindexed")).when(F.col("same"), "already").otherwise("linked")
     orphans = owners.filter("accession is null").select(F.lit("orphan").alias("kind"))
     return joined.select(kind.alias("kind")).unionByName(orphans).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -108,15 +112,32 @@ def replace_rows(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> Dat
     return stored.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
 
 
+#: The part of a registry page that is read.
+PAGE = "struct<cik: string, name: string, tickers: array<string>, filings: struct<recent: struct<form: array<string>, accessionNumber: array<string>, reportDate: array<string>, filingDate: array<string>, primaryDocument: array<string>>>>"
+
+
+def read_submissions(documents: DataFrame, content: str) -> DataFrame:
+    """(ticker, cik, entity_name, form, accession, report, filed, primary) of registry pages as JSON text, the lists still parallel.
+
+    Pages of older filings hold the lists alone; they carry no name and no ticker of their own. Texts
+    that are no JSON give no row. A page without a ticker has a null one.
+    """
+    j = documents.select(F.from_json(F.col(content), PAGE).alias("p")).filter("p.filings.recent is not null")
+    r = F.col("p.filings.recent")
+    return j.select(F.upper(F.get("p.tickers", F.lit(0))).alias("ticker"), F.col("p.cik").try_cast("bigint").alias("cik"), F.col("p.name").alias("entity_name"), r.getField("form").alias("form"), r.getField("accessionNumber").alias("accession"), r.getField("reportDate").alias("report"), r.getField("filingDate").alias("filed"), r.getField("primaryDocument").alias("primary"))
+
+
 def submission_rows(pages: DataFrame) -> DataFrame:
-    """Annual filings out of registry pages whose ``form``, ``accession``, ``report`` and ``filed`` are parallel arrays.
+    """Annual filings out of registry pages whose ``form``, ``accession``, ``report``, ``filed`` and, if present, ``primary`` are parallel arrays.
 
-    The arrays are zipped to the length of the shortest; rows without a report or filing date are dropped.
+    The arrays are zipped to the length of the shortest of the first four; rows without a report or filing date are dropped.
     """
-    n = F.least(F.size("form"), F.size("accession"), F.size("report"), F.size("filed"))
-    zipped = F.arrays_zip(*[F.slice(c, 1, F.greatest(n, F.lit(0))).alias(c) for c in ("form", "accession", "report", "filed")])
-    rows = pages.select("ticker", "cik", F.inline(zipped)).toDF("ticker", "cik", "form_type", "accession", "report", "filed")
-    dated = rows.select("ticker", "cik", "form_type", "accession", F.col("report").try_cast("date").alias("period_end"), F.col("filed").try_cast("date").alias("filing_date"))
+    lists = ["form", "accession", "report", "filed"]
+    n = F.greatest(F.least(*[F.coalesce(F.size(c), F.lit(0)) for c in lists]), F.lit(0))
+    more = ["primary"] if "primary" in pages.columns else []
+    zipped = F.arrays_zip(*[F.slice(c, 1, n).alias(c) for c in lists], *[F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, n).alias(c) for c in more])
+    rows = pages.select("ticker", "cik", F.inline(zipped)).toDF("ticker", "cik", "form_type", "accession", "report", "filed", *(["primary_doc"] if more else []))
+    dated = rows.select("ticker", "cik", "form_type", "accession", F.col("report").try_cast("date").alias("period_end"), F.col("filed").try_cast("date").alias("filing_date"), *(["primary_doc"] if more else []))
     return dated.filter(F.col("form_type").isin(*ANNUAL_FORMS) & F.col("period_end").isNotNull() & F.col("filing_date").isNotNull()).distinct()
 
 
@@ -138,3 +159,9 @@ def fiscal_year(header: Column, details_json: Column, accession: Column, fallbac
     detail = F.nullif(F.regexp_extract(F.get_json_object(details_json, "$.reportDate"), r"^(\d{4})", 1), F.lit("")).cast("int")
     yy = F.nullif(F.regexp_extract(accession, r"^\d{10}-(\d{2})-", 1), F.lit("")).cast("int")
     return F.coalesce(period, detail, yy + 1999, F.lit(fallback))
+
+
+def label_verdict(fiscal_label: Column, said: Column) -> Column:
+    """match or mismatch of a label with the year that a filing states, no_dei_label without one, unparsable if it is no date."""
+    day = F.trim(said).try_cast("date")
+    return F.when(said.isNull(), "no_dei_label").when(day.isNull(), "unparsable").when(F.year(day) == fiscal_label, "match").otherwise("mismatch")

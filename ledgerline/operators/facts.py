@@ -13,7 +13,7 @@ from .upkeep import fingerprint
 # Days around a period end and lengths of a year that count as the filing's own period.
 TOLERANCE_DAYS = 3
 YEAR_DAYS = (350, 380)
-ENTITY_CONCEPTS = ("AmendmentFlag", "DocumentPeriodEndDate", "EntityFilerCategory", "EntityRegistrantName")
+ENTITY_CONCEPTS = ("AmendmentFlag", "DocumentFiscalYearFocus", "DocumentPeriodEndDate", "DocumentType", "EntityCentralIndexKey", "EntityFilerCategory", "EntityRegistrantName")
 
 
 def query(facts: DataFrame, ticker: str | None = None, concepts: list[str] | None = None, accessions: list[str] | None = None, end_date: str | None = None, period_type: str | None = None) -> DataFrame:
@@ -88,9 +88,14 @@ def ambiguous_concepts(facts: DataFrame, concepts: list[str]) -> DataFrame:
 
 
 def entity_map(facts: DataFrame) -> DataFrame:
-    """First entity text of each kind per filing, by least id, as columns."""
-    named = facts.withColumn("concept", local_name(F.col("concept"))).filter(F.col("concept").isin(*ENTITY_CONCEPTS) & F.col("value_text").isNotNull())
-    return named.groupBy("accession").agg(*[F.min(F.when(F.col("concept") == c, F.struct("id", "value_text"))).getField("value_text").alias(c) for c in ENTITY_CONCEPTS])
+    """First entity fact of each kind per filing, by least id, as columns: its text, or the whole part of its number.
+
+    Facts with dimensions, where there is such a column, don't speak of the entity and are left out.
+    """
+    own = facts.filter(F.size("dimensions") == 0) if "dimensions" in facts.columns else facts
+    said = F.coalesce("value_text", F.col("value").cast("bigint").cast("string"))
+    named = own.withColumn("concept", local_name(F.col("concept"))).withColumn("said", said).filter(F.col("concept").isin(*ENTITY_CONCEPTS) & F.col("said").isNotNull())
+    return named.groupBy("accession").agg(*[F.min(F.when(F.col("concept") == c, F.struct("id", "said"))).getField("said").alias(c) for c in ENTITY_CONCEPTS])
 
 
 def scale_survey(facts: DataFrame) -> DataFrame:

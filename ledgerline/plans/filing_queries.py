@@ -93,7 +93,7 @@ def collection_assign(spark, d):
 
 @query(f"""WITH {_OWN}, h AS (SELECT own.accession, bool_or(coalesce(f.collection_name = own.collection_name, false)) AS same FROM own LEFT JOIN f ON f.accession = own.accession AND f.collection_name IS NOT NULL WHERE own.accession IS NOT NULL GROUP BY 1),
 g AS (SELECT DISTINCT accession FROM f WHERE upper(form_type) NOT LIKE '%/A'),
-k AS (SELECT CASE WHEN h.same IS NULL THEN 'unindexed' WHEN h.same THEN 'already' ELSE 'linked' END AS kind FROM g FULL JOIN h USING (accession) UNION ALL SELECT 'orphan' FROM own WHERE accession IS NULL)
+k AS (SELECT CASE WHEN h.same IS NULL THEN CASE WHEN accession IN (SELECT accession FROM f WHERE collection_name IS NOT NULL) THEN 'cleared' ELSE 'unindexed' END WHEN h.same THEN 'already' ELSE 'linked' END AS kind FROM g FULL JOIN h USING (accession) UNION ALL SELECT 'orphan' FROM own WHERE accession IS NULL)
 SELECT kind, count(*) AS n FROM k GROUP BY 1""")
 def collection_link_report(spark, d):
     return catalog.link_report(_filings(spark, d), _collections(spark, d))
@@ -198,10 +198,10 @@ def revenue_ambiguity(spark, d):
     return facts.ambiguous_concepts(_facts(spark, d), list(_REV))
 
 
-@query("""WITH o AS (SELECT id, accession, trim(regexp_replace(concept, '^.*:', '')) AS concept, value_text FROM facts WHERE value_text IS NOT NULL)
-SELECT accession, arg_min(value_text, id) FILTER (WHERE concept = 'AmendmentFlag') AS "AmendmentFlag", arg_min(value_text, id) FILTER (WHERE concept = 'DocumentPeriodEndDate') AS "DocumentPeriodEndDate",
- arg_min(value_text, id) FILTER (WHERE concept = 'EntityFilerCategory') AS "EntityFilerCategory", arg_min(value_text, id) FILTER (WHERE concept = 'EntityRegistrantName') AS "EntityRegistrantName"
-FROM o WHERE concept IN ('AmendmentFlag', 'DocumentPeriodEndDate', 'EntityFilerCategory', 'EntityRegistrantName') GROUP BY 1""")
+_ENTITY = ", ".join(f"arg_min(coalesce(value_text, CASE WHEN value IS NOT NULL THEN trunc(value)::bigint::varchar END), id) FILTER (WHERE concept = '{c}' AND (value IS NOT NULL OR value_text IS NOT NULL)) AS \"{c}\"" for c in facts.ENTITY_CONCEPTS)
+
+
+@query(f"WITH o AS (SELECT id, accession, trim(regexp_replace(concept, '^.*:', '')) AS concept, value, value_text FROM facts) SELECT accession, {_ENTITY} FROM o WHERE concept IN {facts.ENTITY_CONCEPTS} AND (value IS NOT NULL OR value_text IS NOT NULL) GROUP BY 1")
 def entity_map(spark, d):
     return facts.entity_map(_facts(spark, d))
 
@@ -211,9 +211,14 @@ def scale_survey(spark, d):
     return facts.scale_survey(_facts(spark, d))
 
 
-@query("""SELECT DISTINCT accession, CASE WHEN year(period_end) = fiscal_label THEN 'match' ELSE 'mismatch' END AS verdict FROM filings""")
+@query(f"""WITH {_F}, o AS (SELECT accession, arg_min(value_text, id) AS t FROM facts WHERE trim(regexp_replace(concept, '^.*:', '')) = 'DocumentPeriodEndDate' AND value_text IS NOT NULL GROUP BY 1)
+SELECT f.accession, CASE WHEN o.t IS NULL THEN 'no_dei_label' WHEN try_cast(trim(o.t) AS date) IS NULL THEN 'unparsable' WHEN year(try_cast(trim(o.t) AS date)) = f.fiscal_label THEN 'match' ELSE 'mismatch' END AS verdict, f.fiscal_label = year(f.period_end) AS from_period FROM f LEFT JOIN o USING (accession)""")
 def label_check(spark, d):
-    return table(spark, d, "filings").select("accession", F.when(F.year("period_end") == F.col("fiscal_label"), "match").otherwise("mismatch").alias("verdict")).distinct()
+    """Each filing's label against the year of the period end that it states itself, and against its listed period."""
+    said = facts.entity_map(_facts(spark, d)).select("accession", F.col("DocumentPeriodEndDate").alias("said"))
+    f = _filings(spark, d)
+    v = catalog.label_verdict(F.col("fiscal_label"), F.col("said"))
+    return f.join(said, "accession", "left").select("accession", v.alias("verdict"), (F.col("fiscal_label") == F.year("period_end")).alias("from_period"))
 
 
 def _requests(spark, d):

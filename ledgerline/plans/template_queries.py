@@ -109,7 +109,7 @@ def reply_styles(spark, d):
     return table(spark, d, "responses").select("key", s.alias("s")).select("key", "s.style", F.array_join(F.col("s.cited").cast("array<string>"), ",").alias("cited"), F.size("s.invented").alias("invented"), "s.refused", "s.compliant")
 
 
-@query(r"""WITH r AS (SELECT side, companyfacts_value AS c FROM ixbrl_crosscheck WHERE companyfacts_value IS NOT NULL), t AS (SELECT DISTINCT c, trim(replace(c, chr(160), ' ')) AS t FROM r),
+@query(r"""WITH r AS (SELECT side, companyfacts_value AS c FROM ixbrl_crosscheck WHERE companyfacts_value IS NOT NULL), t AS (SELECT DISTINCT c, regexp_replace(trim(replace(c, chr(160), ' ')), '^\$ *', '') AS t FROM r),
 b AS (SELECT c, t LIKE '(%)' AS paren, regexp_replace(translate(regexp_replace(t, '^\(+|\)+$', '', 'g'), '−–—', '---'), '[$%, ]', '', 'g') AS b FROM t), g AS (SELECT c, paren OR b LIKE '-%' AS neg, CASE WHEN b LIKE '-%' THEN substr(b, 2) ELSE b END AS dg FROM b),
 v AS (SELECT c, neg, CASE WHEN regexp_matches(dg, '^\d+(?:\.\d+)?$') THEN regexp_replace(regexp_replace(dg::decimal(38,10)::varchar, '(\.\d*?)0+$', '\1'), '\.$', '') END AS v FROM g)
 SELECT c AS cell, CASE WHEN v = '0' THEN '0' ELSE CASE WHEN neg THEN '-' ELSE '' END || v END AS numeral FROM v""")

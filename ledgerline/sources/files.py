@@ -13,10 +13,9 @@ _RUN = 3
 _FACT = "MAP<STRING, STRUCT<units: MAP<STRING, ARRAY<STRUCT<accn: STRING, start: STRING, end: STRING, val: STRING>>>>>"
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, ident: str | None = None) -> DataFrame:
-    """Rows of a JSONL file: blank, comment (``//``) and malformed lines are skipped; the last row of an id wins."""
-    lines = spark.read.text(path).withColumn("__n", F.monotonically_increasing_id())
-    kept = lines.filter((F.trim("value") != "") & ~F.ltrim("value").startswith("//"))
+def parse_json_lines(lines: DataFrame, line: str, at: str, schema: str, ident: str | None = None) -> DataFrame:
+    """Rows of JSON lines: blank, comment (``//``) and malformed lines are skipped; the last row of an id, by ``at``, wins."""
+    kept = lines.select(F.col(line).alias("value"), F.col(at).alias("__n")).filter((F.trim("value") != "") & ~F.ltrim("value").startswith("//"))
     rows = kept.select("__n", F.from_json("value", schema).alias("r"), F.try_parse_json("value").isNotNull().alias("ok")).filter("ok and r is not null")
     if ident is None:
         return rows.select("r.*")
@@ -24,17 +23,51 @@ def json_lines(spark: SparkSession, path: str, schema: str, ident: str | None =
     return last.select("r.*")
 
 
-def companyfacts(documents: DataFrame, content: str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str, ident: str | None = None) -> DataFrame:
+    """Rows of a JSONL file, see ``parse_json_lines``; lines are numbered by file and place."""
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("__at"))
+    return parse_json_lines(lines, "value", "__at", schema, ident)
+
+
+def cached_documents(spark: SparkSession, path: str, least_bytes: int = 1) -> DataFrame:
+    """(name, content) of cached JSON files below a folder: what a fetcher without network answers from.
+
+    Empty files, pages that refuse the request and texts that are no JSON are left out: a poisoned cache is none.
+    """
+    from ..functions.textops import is_error_page
+
+    text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("content"))
+    return text.filter((F.length("content") >= least_bytes) & ~is_error_page(F.col("content")) & F.try_parse_json("content").isNotNull())
+
+
+def companyfacts(documents: DataFrame, content: str, order: str | None = None) -> DataFrame:
     """(accession, concept, start, end, unit, value) of nested fact documents.
 
-    Rows without accession, end or value are skipped; a missing start is ''; the last row of a key wins.
+    Rows without accession, end or value are skipped; a missing start is ''; the last row of a key wins,
+    by ``order`` of the documents, where it is given, and then by place.
     """
-    parsed = documents.select(F.from_json(F.col(content), f"facts MAP<STRING, {_FACT}>").getField("facts").alias("t"))
-    flat = parsed.select(F.explode("t").alias("taxonomy", "concepts")).select("taxonomy", F.explode("concepts").alias("concept", "c")).select("taxonomy", "concept", F.explode("c.units").alias("unit", "rows")).select("taxonomy", "concept", "unit", F.posexplode("rows").alias("at", "r"))
-    good = flat.filter("r.accn is not null and r.end is not null and r.val is not null").select(F.col("r.accn").alias("accession"), F.concat_ws(":", "taxonomy", "concept").alias("concept"), F.coalesce("r.start", F.lit("")).alias("start"), F.col("r.end").alias("end"), "unit", F.col("r.val").try_cast("decimal(38,10)").alias("value"), "at")
+    parsed = documents.select((F.col(order) if order else F.lit(0)).alias("__d"), F.from_json(F.col(content), f"facts MAP<STRING, {_FACT}>").getField("facts").alias("t"))
+    flat = parsed.select("__d", F.explode("t").alias("taxonomy", "concepts")).select("__d", "taxonomy", F.explode("concepts").alias("concept", "c")).select("__d", "taxonomy", "concept", F.explode("c.units").alias("unit", "rows")).select("__d", "taxonomy", "concept", "unit", F.posexplode("rows").alias("at", "r"))
+    good = flat.filter("r.accn is not null and r.end is not null and r.val is not null").select(F.col("r.accn").alias("accession"), F.concat_ws(":", "taxonomy", "concept").alias("concept"), F.coalesce("r.start", F.lit("")).alias("start"), F.col("r.end").alias("end"), "unit", F.col("r.val").try_cast("decimal(38,10)").alias("value"), F.struct("__d", "at").alias("at"))
     return good.groupBy("accession", "concept", "start", "end", "unit").agg(F.max_by("value", "at").alias("value"))
 
 
+def oracle_units(unit: Column) -> Column:
+    """One spelling of a unit: a rate per share is written with a slash, however the oracle names it."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(unit, F.lit("")), r"(?i)^USD-per-shares$", "USD/shares"), r"^iso4217:|^xbrli:", "")
+
+
+def join_oracle(ours: DataFrame, oracle: DataFrame) -> DataFrame:
+    """Facts (accession, concept, start, end, unit, value) with the oracle's ``theirs`` on all five keys; null where it states none.
+
+    Units meet under any of their names; a missing start is the empty string; of several oracle values of
+    a key the least counts.
+    """
+    keys = ["accession", "concept", "start", "end", "__u"]
+    o = oracle.withColumn("__u", oracle_units(F.col("unit"))).withColumn("start", F.coalesce("start", F.lit(""))).groupBy(*keys).agg(F.min("value").alias("theirs"))
+    return ours.withColumn("__u", oracle_units(F.col("unit"))).withColumn("start", F.coalesce("start", F.lit(""))).join(o, keys, "left").drop("__u")
+
+
 def annual_parts(submission: Column) -> Column:
     """Documents of a full submission whose type is an annual report or its exhibit 13, joined by marker comments."""
     parts = F.split(submission, r"(?i)<DOCUMENT>")

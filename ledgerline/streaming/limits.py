@@ -125,3 +125,36 @@ def index_stream(chunks: DataFrame, path: str, checkpoint: str, ident: str, coll
         fresh.write.mode("append").partitionBy(collection).parquet(path)
 
     return chunks.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def order_for_role(candidates: DataFrame, requires: list[str]) -> DataFrame:
+    """Candidates (name, rank, caps) that have all required capabilities, with their ``position`` by rank and name."""
+    lacking = F.array_except(F.array(*[F.lit(r) for r in requires]).cast("array<string>"), F.coalesce("caps", F.array().cast("array<string>")))
+    return candidates.filter(F.size(lacking) == 0).withColumn("position", F.row_number().over(Window.orderBy("rank", "name")))  # a list of models
+
+
+#: Outcomes after which the same candidate is asked again; others pass to the next one.
+RETRIED = ("rate_limited", "timeout")
+
+
+def failover(calls: DataFrame, request: str, attempts: int = 3) -> DataFrame:
+    """(request, candidate, tries, outcome): who answers a request, after how many calls.
+
+    ``calls`` hold request, position of the candidate, candidate, attempt and outcome. Candidates are asked by
+    position; after an outcome of ``RETRIED`` the same one again, up to ``attempts`` times, after any
+    other failure the next. The first ``ok`` answers; without one the last outcome stands.
+    """
+    own = Window.partitionBy(request, "position").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.max(F.when(~F.col("outcome").isin(*RETRIED), 1).otherwise(0)).over(own)
+    made = calls.filter(F.col("attempt") <= attempts).withColumn("__gone", F.coalesce(gone, F.lit(0))).filter("__gone = 0")
+    first = Window.partitionBy(request).orderBy("position", "attempt").rowsBetween(Window.unboundedPreceding, -1)
+    asked = made.withColumn("__ok", F.coalesce(F.max(F.when(F.col("outcome") == "ok", 1).otherwise(0)).over(first), F.lit(0))).filter("__ok = 0")
+    last = asked.groupBy(request).agg(F.count(F.lit(1)).alias("tries"), F.max_by(F.struct("candidate", "outcome"), F.struct("position", "attempt")).alias("l"))
+    return last.select(request, "l.candidate", "tries", "l.outcome")
+
+
+def write_in_phases(chunks: DataFrame, first: str, path: str) -> None:
+    """Append the chunks marked ``first`` and then all others: a reader may start after the first write."""
+    kept = F.coalesce(F.col(first), F.lit(False))
+    chunks.filter(kept).drop(first).write.mode("append").parquet(path)
+    chunks.filter(~kept).drop(first).write.mode("append").parquet(path)
