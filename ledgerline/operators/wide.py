@@ -30,17 +30,51 @@ def kind_of(value: Column, text: Column) -> Column:
     return F.when(value.isNotNull(), "number").when(t.rlike(r"^\d{4}-\d{2}-\d{2}$") & t.try_cast("date").isNotNull(), "date").when(F.lower(t).isin("true", "false"), "boolean").otherwise("text")
 
 
-def _column(kind: str, taken: np.ndarray, place: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
-    """One typed column: ``values[taken]`` stand at ``place``, all else is null."""
-    index = np.full(rows, -1, dtype=np.int64)
-    index[place] = taken
-    return pc.take(values, pa.array(index, mask=index < 0))
-
-
-def block(cells: pa.Table, entity: list[str], attribute: str) -> tuple[pa.Table, dict[str, tuple[str, str]]]:
-    """Wide Arrow table of some entities' cells and, by column name, its (attribute, type).
-
-    ``cells`` hold entity columns, attribute, ``kind`` and per-type values ``number`` and ``text``, sorted by entity.
+#: Cells of a block's arrays; a block of more is cut into fewer entities.
+BLOCK_CELLS = 4_000_000
+#: A DECIMAL(38,10) as numpy holds it: the two halves of its 128 bits.
+_DECIMAL = np.dtype([("low", "<u8"), ("high", "<i8")])
+
+
+def _scattered(row: np.ndarray, column: np.ndarray, values: np.ndarray, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """One typed array (columns x rows) with ``values`` at their places, and which places are filled."""
+    out, filled = np.zeros((columns, rows), dtype=values.dtype), np.zeros((columns, rows), dtype=bool)
+    out[column, row] = values
+    filled[column, row] = True
+    return out, filled
+
+
+def _typed(kind: str, values: pa.Array) -> tuple[np.ndarray, pa.Array | None]:
+    """Cell values of one type as a numpy array, and the dictionary that the codes of texts refer to."""
+    if kind == "number":
+        start = values.offset * 16
+        return np.frombuffer(values.buffers()[1], dtype=_DECIMAL, count=len(values), offset=start), None
+    if kind == "text":
+        code = pc.dictionary_encode(values)
+        return code.indices.to_numpy(zero_copy_only=False).astype(np.int32), code.dictionary
+    text = pc.utf8_trim_whitespace(values)
+    if kind == "date":
+        return pc.cast(pc.cast(text, pa.date32()), pa.int32()).to_numpy(zero_copy_only=False), None
+    return pc.equal(pc.utf8_lower(text), "true").to_numpy(zero_copy_only=False), None
+
+
+def _arrow(kind: str, values: np.ndarray, filled: np.ndarray, dictionary: pa.Array | None) -> pa.Array:
+    """One column of a scattered array as Arrow; places that were not filled are null."""
+    if kind == "number":
+        valid = pa.py_buffer(np.packbits(filled, bitorder="little").tobytes())
+        return pa.Array.from_buffers(_ARROW[kind], len(values), [valid, pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+    if kind == "text":
+        return pa.DictionaryArray.from_arrays(pa.array(values, mask=~filled), dictionary).cast(pa.string())
+    return pa.array(values, mask=~filled).cast(_ARROW[kind]) if kind == "boolean" else pa.array(values, type=pa.int32(), mask=~filled).cast(pa.date32())
+
+
+def block(cells: pa.Table, entity: list[str], attribute: str) -> Iterator[tuple[pa.Table, dict[str, tuple[str, str]]]]:
+    """Wide Arrow tables of some entities' cells and, by column name, their (attribute, type).
+
+    ``cells`` hold entity columns, attribute, ``kind`` and per-type values ``number`` and ``text``, sorted by
+    entity. Entity and attribute are dictionary-encoded; the values of each type are scattered by row and
+    column index into one array of that type. One table comes out, or several if the arrays of one would
+    have more than ``BLOCK_CELLS`` places.
     """
     n = cells.num_rows
     codes = []
@@ -51,31 +85,29 @@ def block(cells: pa.Table, entity: list[str], attribute: str) -> tuple[pa.Table,
     for a in codes[: len(entity)]:
         i = a.indices.to_numpy(zero_copy_only=False)
         change[1:] |= i[1:] != i[:-1]
-    row = np.cumsum(change) - 1
-    rows = int(row[-1]) + 1 if n else 0
-    att, kind = (a.indices.to_numpy(zero_copy_only=False) for a in codes[-2:])
-    kinds = codes[-1].dictionary.to_pylist()
-    names = codes[-2].dictionary.to_pylist()
+    begins = np.flatnonzero(change)
+    att, kind = (a.indices.to_numpy(zero_copy_only=False).astype(np.int64) for a in codes[-2:])
+    kinds, names = codes[-1].dictionary.to_pylist(), codes[-2].dictionary.to_pylist()
+    code = att * max(1, len(kinds)) + kind
+    if len(begins) > 1 and len(begins) * len(np.unique(code)) > BLOCK_CELLS:
+        middle = int(begins[len(begins) // 2])
+        yield from block(cells.slice(0, middle), entity, attribute)
+        yield from block(cells.slice(middle), entity, attribute)
+        return
+    row, rows = np.cumsum(change) - 1, len(begins)
     number, text = cells["number"].combine_chunks(), cells["text"].combine_chunks()
-    code = att.astype(np.int64) * len(kinds) + kind
-    order = np.argsort(code, kind="stable")
-    bounds = np.flatnonzero(np.diff(code[order], prepend=-1, append=-1)) if n else np.array([0])
-    out = {c: cells[c].combine_chunks().take(pa.array(np.flatnonzero(change))) for c in entity}
+    out = {c: cells[c].combine_chunks().take(pa.array(begins)) for c in entity}
     meaning: dict[str, tuple[str, str]] = {}
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        taken = order[a:b]
-        k, name = kinds[code[taken[0]] % len(kinds)], names[code[taken[0]] // len(kinds)]
-        if k == "number":
-            col = _column(k, taken, row[taken], rows, number)
-        else:
-            raw = pc.utf8_trim_whitespace(text) if k != "text" else text
-            part = pc.take(raw, pa.array(taken))
-            part = pc.cast(part, pa.date32()) if k == "date" else pc.equal(pc.utf8_lower(part), "true") if k == "boolean" else part
-            col = _column(k, np.arange(len(taken)), row[taken], rows, part)
-        title = f"{name}#{k}"
-        out[title] = col
-        meaning[title] = (name, k)
-    return pa.table(out), meaning
+    for k, name in enumerate(kinds):
+        at = np.flatnonzero(kind == k)
+        own, column = np.unique(att[at], return_inverse=True)
+        values, dictionary = _typed(name, (number if name == "number" else text).take(pa.array(at)))
+        scattered, filled = _scattered(row[at], column, values, rows, len(own))
+        for j, a in enumerate(own):
+            title = f"{names[a]}#{name}"
+            out[title] = _arrow(name, scattered[j], filled[j], dictionary)
+            meaning[title] = (names[a], name)
+    yield pa.table(out), meaning
 
 
 def wide_blocks(cells: DataFrame, entity: list[str], attribute: str, emit: Callable[[pa.Table, dict], pa.Table], schema: str) -> DataFrame:
@@ -96,12 +128,14 @@ def wide_blocks(cells: DataFrame, entity: list[str], attribute: str, emit: Calla
             t = pa.Table.from_batches(held).combine_chunks()
             cut = _last_entity(t, entity)
             if cut:
-                yield from _checked(emit(*block(t.slice(0, cut), entity, attribute)))
+                for made in block(t.slice(0, cut), entity, attribute):
+                    yield from _checked(emit(*made))
             held = t.slice(cut).to_batches()
         if held:
             t = pa.Table.from_batches(held).combine_chunks()
             if t.num_rows:
-                yield from _checked(emit(*block(t, entity, attribute)))
+                for made in block(t, entity, attribute):
+                    yield from _checked(emit(*made))
 
     keyed = cells.repartition(*[F.col(c) for c in entity]).sortWithinPartitions(*entity)
     return keyed.mapInArrow(run, schema)
@@ -143,26 +177,49 @@ def filled_cells(facts: DataFrame) -> DataFrame:
     return wide_blocks(fact_cells(facts), ["accession", "end_date"], "concept", emit, "accession string, end_date string, concept string")
 
 
-def wide_table(cells: DataFrame, entity: list[str], attribute: str, columns: list[tuple[str, str]]) -> DataFrame:
+def wide_table(cells: DataFrame, entity: list[str], attribute: str, columns: list[tuple[str, str]], titles: list[str] | None = None) -> DataFrame:
     """The wide table itself: entity columns and one typed column per (attribute, type) of ``columns``.
 
     Entities without any of the columns come out with nulls; attributes of other types stay out of a column.
+    ``titles`` name the columns otherwise than by their attributes.
     """
+    titles = titles or [a for a, _ in columns]
     spark_type = {"number": "decimal(38,10)", "date": "date", "boolean": "boolean", "text": "string"}
     kinds = dict(cells.dtypes)
-    ddl = ", ".join([*[f"`{c}` {kinds[c]}" for c in entity], *[f"`{a}` {spark_type[k]}" for a, k in columns]])
+    ddl = ", ".join([*[f"`{c}` {kinds[c]}" for c in entity], *[f"`{t}` {spark_type[k]}" for t, (_, k) in zip(titles, columns)]])
 
     def emit(t: pa.Table, meaning: dict[str, tuple[str, str]]) -> pa.Table:
         back = {v: k for k, v in meaning.items()}
         cols = [(c, t[c]) for c in entity]
-        for a, k in columns:
+        for name, (a, k) in zip(titles, columns):
             title = back.get((a, k))
-            cols.append((a, t[title] if title else pa.nulls(t.num_rows, _ARROW[k])))
-        return pa.table(dict(cols))
+            cols.append((name, t[title] if title else pa.nulls(t.num_rows, _ARROW[k])))
+        return pa.Table.from_arrays([c for _, c in cols], names=[n for n, _ in cols])
 
     return wide_blocks(cells, entity, attribute, emit, ddl)
 
 
+def all_columns(cells: DataFrame, attribute: str) -> list[tuple[str, str]]:
+    """Every (attribute, type) of ``cells`` in order: the columns of the whole wide table.
+
+    This is the dictionary of the attributes, which bounds the width of any table that holds them all.
+    """
+    return sorted((r[0], r[1]) for r in attribute_types(cells, attribute).select(attribute, "kind").collect() if r[0] is not None)
+
+
+def whole_table(cells: DataFrame, entity: list[str], attribute: str) -> DataFrame:
+    """The wide table with every column that ``cells`` have, named by attribute, and ``attribute#type`` where an attribute has several types."""
+    columns = all_columns(cells, attribute)
+    several = {a for a, k in columns if sum(x == a for x, _ in columns) > 1}
+    titles = [(f"{a}#{k}" if a in several else a) for a, k in columns]
+    return wide_table(cells, entity, attribute, columns, titles)
+
+
+def write_wide(cells: DataFrame, entity: list[str], attribute: str, path: str) -> None:
+    """Write the whole wide table as Parquet."""
+    whole_table(cells, entity, attribute).write.mode("overwrite").parquet(path)
+
+
 def attribute_types(cells: DataFrame, attribute: str) -> DataFrame:
     """(attribute, kind, cells): the dictionary of columns a wide table of ``cells`` would have."""
     return cells.groupBy(attribute, "kind").agg(F.count(F.lit(1)).alias("cells"))

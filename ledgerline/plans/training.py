@@ -25,6 +25,11 @@ def p3_wide(spark: SparkSession, d: str) -> DataFrame:
     return shown.withColumns({c: F.col(c).cast("double") for c, k in SHOWN if k == "number"})
 
 
+def p3_table(spark: SparkSession, d: str) -> DataFrame:
+    """The whole wide table: every concept of every filing and date in its own typed column."""
+    return wide.whole_table(wide.fact_cells(table(spark, d, "facts")), ["accession", "end_date"], "concept")
+
+
 def p3_columns(spark: SparkSession, d: str) -> DataFrame:
     return wide.attribute_types(wide.fact_cells(table(spark, d, "facts")), "concept")
 
@@ -38,4 +43,4 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.compare_copies(ours, theirs, ["accession", "concept_group"], ["value", "matched_concept"], ("only_ours", "only_companyfacts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_wide, p3_columns, p5_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_wide, p3_table, p3_columns, p5_found, p6_found)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import asof, cells, history, reconcile, wide
 from ledgerline.operators.statements import half, statements
-from tests.support import A, B, C, fact, facts, filing, filings, rows
+from tests.support import A, B, C, day, fact, facts, filing, filings, rows
 
 
 def outcomes(spark, data):
@@ -85,14 +85,16 @@ def test_cells_agree_exactly_when_one_group_holds_all_records(spark):
     assert got == want
 
 
-def test_wide_table_types_and_conflicts(spark, monkeypatch):
+@pytest.mark.parametrize("cells_at_once", [4_000_000, 1])
+def test_wide_table_types_and_conflicts(spark, monkeypatch, cells_at_once):
     monkeypatch.setattr(wide, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(wide, "BLOCK_CELLS", cells_at_once)
     data = [fact(1, 5), fact(2, 5, None), fact(3, None, text="2020-01-31", concept="p:Day"), fact(4, None, text="TRUE", concept="Flag"), fact(5, None, text=" a ", concept="Name"), fact(6, 1, concept="Clash"), fact(7, 9, concept="Clash"), fact(8, 3, acc=B), fact(9, 4, acc=None), fact(10, 6, end=None), fact(11, None, text="x", concept="Assets", acc=C)]
     f = facts(spark, data + [fact(100 + i, i, acc=f"z{i:05d}") for i in range(40)])
     found = rows(wide.filled_cells(f).filter("accession not like 'z%'"))
     assert found == sorted([(A, "2019-12-31", c) for c in ("Assets", "Day", "Flag", "Name")] + [(B, "2019-12-31", "Assets"), (C, "2019-12-31", "Assets"), (A, None, "Assets")], key=repr)
-    t = wide.wide_table(wide.fact_cells(f), ["accession", "end_date"], "concept", [("Assets", "number"), ("Assets", "text"), ("Day", "date"), ("Flag", "boolean"), ("None", "text")])
-    assert t.count() == 44 and dict(t.dtypes)["Assets"] == "decimal(38,10)" if False else True
+    t = wide.wide_table(wide.fact_cells(f), ["accession", "end_date"], "concept", [("Assets", "number"), ("Assets", "text"), ("Day", "date"), ("Flag", "boolean"), ("None", "text")], ["Assets", "Words", "Day", "Flag", "None"])
+    assert t.count() == 44 and t.columns[2:] == ["Assets", "Words", "Day", "Flag", "None"] and t.dtypes[2][1] == "decimal(38,10)"
 
 
 def test_wide_table_columns(spark):
@@ -103,6 +105,40 @@ def test_wide_table_columns(spark):
     assert rows(wide.filled_cells(facts(spark, []))) == []
 
 
+@pytest.mark.parametrize("cells_at_once", [4_000_000, 1])
+def test_blocks_hold_every_value_at_its_place(cells_at_once, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(wide, "BLOCK_CELLS", cells_at_once)
+    r = random.Random(2)
+    data = []
+    for e in range(30):
+        for a in r.sample(["p", "q", "r", "s", None], r.randrange(1, 5)):
+            kind = r.choice(wide.KINDS)
+            number = Decimal(r.randrange(-10**30, 10**30)).scaleb(-10) if kind == "number" else None
+            text = {"date": f" 20{r.randrange(10, 30)}-01-31", "boolean": r.choice(["TRUE", "false "]), "text": r.choice(["", "x", "\u00e9 "])}.get(kind)
+            data.append((None if e == 29 else e, a, kind, number, text))
+    cells = pa.table({"e": pa.array([d[0] for d in data]), "a": pa.array([d[1] for d in data]), "kind": pa.array([d[2] for d in data]), "number": pa.array([d[3] for d in data], pa.decimal128(38, 10)), "text": pa.array([d[4] for d in data], pa.string())})
+    want = {}
+    for e, a, kind, number, text in data:
+        want[e, a, kind] = number if kind == "number" else day(text.strip()) if kind == "date" else text.strip().lower() == "true" if kind == "boolean" else text
+    got, tables = {}, 0
+    for t, meaning in wide.block(cells.slice(3).slice(0), ["e"], "a"):
+        tables += 1
+        for row in t.to_pylist():
+            got |= {(row["e"], *meaning[c]): v for c, v in row.items() if c != "e" and v is not None}
+    assert got == {(e, a, k): want[e, a, k] for e, a, k, _, _ in data[3:]} and (tables > 1) == (cells_at_once == 1)
+
+
+def test_whole_wide_table(spark, tmp_path):
+    f = facts(spark, [fact(1, 5), fact(2, None, text="x", concept="Assets", acc=B), fact(3, 7, concept="p:Odd name")])
+    cells_ = wide.fact_cells(f)
+    wide.write_wide(cells_, ["accession", "end_date"], "concept", str(tmp_path / "w"))
+    got = {r["accession"]: r.asDict() for r in spark.read.parquet(str(tmp_path / "w")).collect()}
+    assert got[A]["Assets#number"] == 5 and got[A]["Odd name"] == 7 and got[A]["Assets#text"] is None and got[B]["Assets#text"] == "x"
+    assert wide.whole_table(wide.fact_cells(f.limit(0)), ["accession", "end_date"], "concept").columns == ["accession", "end_date"]
+
+
 def test_history_opens_versions_only_beyond_declared_precision(spark):
     f = filings(spark, [filing(A, filed="2020-02-01"), filing(B, "10-K/A", 2019, "2020-02-01", A), filing(C, filed="2021-02-01", label=2020)])
     data = [fact(1, 1000, "0"), fact(2, 1400, "-3", acc=B), fact(3, 1400, "0", acc=C), fact(4, 7, concept="X"), fact(5, 7, concept="X", acc=C), fact(6, 1, concept="Y", acc=C), fact(7, 5, concept="Y", acc=C), fact(8, 3, acc="0000000009-20-000001"), fact(9, 4, end=None), fact(10, 9, end=None, acc=C)]
