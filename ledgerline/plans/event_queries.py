@@ -24,7 +24,10 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+walk AS (SELECT event_id, user_id, n, true AS admitted, 0 AS retry_after, NULL::double AS a, t AS b FROM e WHERE n = 1 UNION ALL
+SELECT e.event_id, e.user_id, e.n, k.ok, CASE WHEN k.ok THEN 0 ELSE greatest(1, trunc(3600 - (e.t - walk.a))::int + 1) END, CASE WHEN k.ok THEN walk.b ELSE walk.a END, CASE WHEN k.ok THEN e.t ELSE walk.b END
+FROM walk JOIN e ON e.user_id = walk.user_id AND e.n = walk.n + 1, LATERAL (SELECT walk.a IS NULL OR e.t - walk.a >= 3600 AS ok) k) SELECT event_id, user_id, admitted, retry_after FROM walk""")
 def rate_limit_sliding(spark, d):
     return limits.rate_limit(table(spark, d, "events"), "user_id", "ts", "event_id", 3600, 2)
 

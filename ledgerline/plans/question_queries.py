@@ -131,7 +131,15 @@ def token_estimate(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", textops.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query()
+def compressed_sql(text: str) -> str:
+    """DuckDB expression of ``textops.compress_rows``: cells equal to the one before are dropped segment by segment."""
+    line = r"CASE WHEN contains(x, '|') AND NOT contains(x, '---') THEN regexp_replace(array_to_string(list_filter(string_split(rtrim(x), '|'), lambda c, i: i < 3 OR c = '' OR c <> string_split(rtrim(x), '|')[i - 1]), '|'), '(\|\s*)+$', '|') ELSE x END"
+    lines = f"list_transform(string_split({text}, chr(10)), lambda x: {line})"
+    total = r"regexp_matches(ltrim(y), '(?i)^\|\s*total\b')"
+    return f"array_to_string(CASE WHEN len({lines}) > 3 THEN list_concat(list_concat({lines}[1:2], list_filter({lines}[3:], lambda y: {total})), list_filter({lines}[3:], lambda y: NOT {total})) ELSE {lines} END, chr(10))"
+
+
+@query(f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {compressed_sql('text')} END AS text FROM documents")
 def compress_rows(spark, d):
     return table(spark, d, "documents").select("doc_id", textops.compress_rows(F.col("text")).alias("text"))
 
@@ -149,19 +157,14 @@ def line_profile(spark, d):
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.trim("line") == "").alias("blank"), F.count_if(F.col("line").startswith("|")).alias("rows"), F.max(F.length("line")).alias("longest"))
 
 
-@query()
-def section_lines(spark, d):
-    """Headings found among the lines of documents."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumn("section", textops.section_of(F.col("line"))).filter("section is not null").select("doc_id", "line_no", "section")
-
-
 @query()
 def chunk_sentences(spark, d):
     return textops.chunks(table(spark, d, "documents"), "doc_id", "text", max_tokens=200, overlap=2)
 
 
-@query()
+@query("""WITH t AS (SELECT ticker, fiscal_year, doc_id, CASE WHEN text = '' THEN 0 ELSE trunc(length(text) / CASE WHEN (length(text) - length(replace(text, '|', ''))) / length(text) >= 0.02 THEN 2.0 ELSE 4.0 END)::int + 1 END AS tokens FROM documents WHERE ticker IS NOT NULL AND fiscal_year IS NOT NULL AND text IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY ticker, fiscal_year ORDER BY doc_id) AS position, sum(tokens) OVER (PARTITION BY ticker, fiscal_year ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM t)
+SELECT ticker, fiscal_year, doc_id, position, tokens, least(tokens, 1500) AS taken FROM r WHERE s <= 1500 OR position = 1""")
 def context_pack(spark, d):
     """Each ticker and year's passages packed in order into a budget of 1,500 estimated tokens."""
     docs = table(spark, d, "documents").filter("ticker is not null and fiscal_year is not null and text is not null")

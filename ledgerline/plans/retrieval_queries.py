@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval
 from ..runtime import broadcast_if_small, cut, table
+from .question_queries import compressed_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -186,7 +187,13 @@ def _reranked(spark, d, focus: bool):
     return retrieval.diversify(scored, ["ticker", "fiscal_year", "section_id"]).select("query_id", "doc_id", "section_id", "score", "rank")
 
 
-@query()
+def _pairs_sql(w: str) -> str:
+    return f"CASE WHEN len({w}) > 1 THEN list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])) ELSE []::varchar[] END"
+
+
+@query(f"""WITH {_HYBRID}, rt AS (SELECT hk.query_id, hk.doc_id, {_W.format("coalesce(g.question, '')")} AS q, {_W.format(compressed_sql("coalesce(d.text, '')"))} AS d FROM hk JOIN documents d USING (doc_id) JOIN gold_items g ON g.item_id = hk.query_id WHERE hk.rank <= 10),
+rp AS (SELECT *, {_pairs_sql('q')} AS qp, {_pairs_sql('d')} AS dp FROM rt)
+SELECT query_id, doc_id, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(list_distinct(q), list_distinct(d)))::double / len(list_distinct(q)) END + 0.5 * CASE WHEN len(qp) = 0 THEN 0 ELSE len(list_intersect(qp, dp))::double / len(qp) END, 6) AS score FROM rp""")
 def rerank_scores(spark, d):
     """The stand-in's score of every question with the ten best documents of the fused list."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -197,7 +204,7 @@ def rerank_scores(spark, d):
 @query(f"""WITH {_DIV}, {_HASHED}, hy AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM sparse UNION ALL SELECT query_id, doc_id, rank FROM dk) GROUP BY 1, 2), hk AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hy QUALIFY rank <= 5),
 al AS (SELECT 'bm25' AS arm, query_id, doc_id, rank FROM sparse WHERE rank <= 5 UNION ALL SELECT 'coordination', query_id, doc_id, rank FROM coord WHERE rank <= 5 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dk WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM hk UNION ALL SELECT 'hybrid_diverse', query_id, doc_id, rank FROM dv),
 ft AS (SELECT arm, query_id, count(*) AS n, min(rank) FILTER (WHERE d.section_id IN ('notes', 'item_8_financials')) AS first FROM al JOIN documents d USING (doc_id) GROUP BY 1, 2)
-SELECT arm, sum(n)::bigint AS results, count(*) AS queries, round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM ft GROUP BY 1""")
+SELECT arm, sum(n)::bigint AS results, count(*) AS queries, round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END), 9) AS hit_rate, round(avg(coalesce(1.0 / first, 0)), 9) AS mrr FROM ft GROUP BY 1""")
 def ablation_arms(spark, d):
     """Five arms that SQL can express, each with its hit rate and mean reciprocal rank of the financial sections among five results."""
     return _arms(spark, d, {"bm25": _sparse(spark, d), "coordination": retrieval.top(_bm25(spark, d), ["query_id"], [F.desc("matched"), F.col("doc_id")], 5), "dense": _dense_texts(spark, d), "hybrid": _hybrid(spark, d), "hybrid_diverse": diversity_quota(spark, d)})
@@ -210,7 +217,7 @@ def _arms(spark, d, lists):
         part = hits.filter("rank <= 5").select(F.lit(name).alias("arm"), "query_id", "doc_id", "rank")
         out = part if out is None else out.unionByName(part)
     first = out.join(docs, "doc_id").groupBy("arm", "query_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("right"), F.col("rank"))).alias("first"))
-    return first.groupBy("arm").agg(F.sum("n").alias("results"), F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0)), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    return first.groupBy("arm").agg(F.sum("n").alias("results"), F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0)), 9).alias("hit_rate"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 9).alias("mrr"))
 
 
 @query()
