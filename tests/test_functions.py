@@ -265,10 +265,10 @@ def test_parents_are_whole_section_texts_and_fall_back_to_the_own_text(spark):
 
 
 def test_parent_query_reads_the_passages(spark):
-    from ledgerline.plans.retrieval_queries import parent_texts
+    from ledgerline.plans.retrieval_queries import parent_lookup
 
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    got = parent_texts(spark, DATA).collect()
+    got = parent_lookup(spark, DATA).collect()
     assert got and all(texts[r.doc_id] in r.parent_text for r in got) and any(len(r.parent_text) > len(texts[r.doc_id]) for r in got)
 
 
@@ -285,15 +285,15 @@ def test_citation_flags(spark):
 
 
 def test_citation_query_flags_citations_without_filing(spark):
-    from ledgerline.plans.question_queries import citation_checks
+    from ledgerline.plans.question_queries import citation_flags
 
     cited = {r.id for r in spark.read.parquet(f"{DATA}/turns.parquet").filter("json_array_length(citations) > 0 and not contains(citations, 'accession')").collect()}
-    flagged = {r.id for r in citation_checks(spark, DATA).filter("contains(flags, 'citation_invalid')").collect()}
+    flagged = {r.id for r in citation_flags(spark, DATA).filter("contains(flags, 'citation_invalid')").collect()}
     assert cited and cited <= flagged
 
 
 def test_distractors_cover_every_concept(spark):
-    from ledgerline.plans.question_queries import distractors_all
+    from ledgerline.plans.question_queries import distractors
 
     filed = {}
     for r in spark.read.parquet(f"{DATA}/filings.parquet").collect():
@@ -314,12 +314,12 @@ def test_distractors_cover_every_concept(spark):
                 others = [v for o, v in members if o != k]
                 if others:
                     want[*k, kind] = (len(others), min(others), max(others))
-    got = {(r.cik, r.y, r.concept, r.kind): (r.n, r.least, r.greatest) for r in distractors_all(spark, DATA).collect()}
+    got = {(r.cik, r.y, r.concept, r.kind): (r.n, r.least, r.greatest) for r in distractors(spark, DATA).collect()}
     assert got == want and len({k[2] for k in got}) > 3
 
 
 def test_money_query_renders_every_size_and_unit(spark, tmp_path):
-    from ledgerline.plans.filing_queries import money_format_all
+    from ledgerline.plans.template_queries import money_format
 
     golden = [
         ("391035000000", "USD", "$391.04 billion"), ("-1500000", "usd", "-$1.50 million"), ("999999999", "USD", "$1.00 billion"), ("999499999", "USD", "$999.50 million"), ("2500000000000", "USD", "$2.50 trillion"), ("999999.4", "USD", "$999,999"), ("-1234.5", "USD", "-$1,234"),
@@ -327,7 +327,7 @@ def test_money_query_renders_every_size_and_unit(spark, tmp_path):
     ]
     df = spark.createDataFrame([(i, Decimal(v), u) for i, (v, u, _) in enumerate(golden)], "id bigint, value decimal(38,10), unit string")
     df.unionByName(df.limit(1).selectExpr("99L as id", "cast(null as decimal(38,10)) as value", "unit")).write.parquet(str(tmp_path / "facts.parquet"))
-    assert rows(money_format_all(spark, str(tmp_path))) == sorted([(i, g[2]) for i, g in enumerate(golden)], key=repr)
+    assert rows(money_format(spark, str(tmp_path))) == sorted([(i, g[2]) for i, g in enumerate(golden)], key=repr)
 
 
 def test_computation_query_keeps_questions_with_less(spark, tmp_path):
