@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ _BARE = re.compile(rf"^[\W\d]*(?:{UNITS}[\W\d]*)*$")
 _MARKS = re.compile(r"\[\d+\](?:\(\S*\))?")
 _DIGITS = re.compile(r"\d[\d.,]*\d|\d")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_UNSEEN = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD])
+_UNSEEN = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 _PLACEHOLDER = re.compile(r"^(?:null|none|nil|nan|n/?a|tbd|todo|undefined|empty|no answer|answer|response|antwort|réponse|respuesta|a|q|json|text|markdown|p|br|div|span)$")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'“”»)\]]*\s+(?=[\"'„«(\[*_-]*[^\W\d_a-zà-ÿ]|[\"'„«(]*[¿¡\d])")
 _ABBREVIATION = re.compile(r"\b(?:inc|co|corp|ltd|vs|no|mr|mrs|st|approx|ca|z\. ?b|bzw|art|abs)\.$", re.I)
@@ -73,15 +74,29 @@ def language(words: list[str]) -> dict[str, int]:
 
 def bare(text: str) -> str:
     """A response without citation marks, unseen characters and outer blanks."""
-    return _MARKS.sub("", text.translate(_UNSEEN)).strip()
+    t = text if text.isascii() else _UNSEEN.sub("", text)
+    return (_MARKS.sub("", t) if "[" in t else t).strip()
+
+
+_SAID = re.compile(r"[^\W_]+(?:/[^\W_]+)?")
+_TAGS = re.compile(r"<[^>]*>")
+_DIGIT = re.compile(r"\d")
 
 
 def says_nothing(text: str) -> bool:
     """True if nothing but marks, labels or placeholders stands there."""
-    t = bare(text)
+    return _is_nothing(bare(text))
+
+
+def _is_nothing(t: str) -> bool:
+    """``says_nothing`` of a bare response."""
     end = t.rfind(">") + 1  # no tag ends later, and a search from every later < would take quadratic time
-    t = (re.sub(r"<[^>]*>", " ", t[:end]) + t[end:]).lower()
-    return all(_PLACEHOLDER.match(w[0]) for w in re.finditer(r"[^\W_]+(?:/[^\W_]+)?", t)) and not re.search(r"\d", t)
+    if end:
+        t = _TAGS.sub(" ", t[:end]) + t[end:]
+    for w in _SAID.finditer(t):
+        if not _PLACEHOLDER.match(w[0].lower()):
+            return False
+    return not _DIGIT.search(t)
 
 
 def clauses(text: str) -> list[str]:
@@ -131,12 +146,13 @@ def _words(text: str) -> list[str]:
 class _Clause:
     """What a clause shows by itself; computed once per distinct clause with figures and names masked."""
 
-    __slots__ = ("words", "lang", "plain", "bars", "row", "item", "bare", "stop", "cut", "known", "abbreviation")
+    __slots__ = ("words", "lang", "rival", "plain", "bars", "row", "item", "bare", "stop", "cut", "known", "abbreviation")
 
     def __init__(self, part: str, endings: frozenset[str]) -> None:
         low = part.lower()
         self.words = _words(part)
         self.lang = language(self.words)
+        self.rival = {code: max(v for k, v in self.lang.items() if k != code) for code in self.lang}
         s, c, a, t, p, e = (r.search(low) is not None for r in _CUES) if _ANY_CUE.search(low) else [False] * 6
         self.row, self.item, self.bare = part[0] == "|", part.startswith(("- ", "* ")), _BARE.match(low) is not None
         self.bars = part.count("|")
@@ -149,17 +165,19 @@ class _Clause:
         self.plain = [F_[name] for name, on in shown if on]
 
 
+@lru_cache(maxsize=50_000)
+def _asked(question: str) -> tuple[frozenset[str], frozenset[str], str | None]:
+    """(names and figures, words, language) of a question."""
+    words = _words(question)
+    found = language(words)
+    top = max(found, key=found.get)
+    return frozenset(w.rstrip(".,?;:!") for w in question.split() if w[0].isupper() or w[0].isdigit()), frozenset((*words, "n")), top if found[top] else None
+
+
 def features(question: str, text: str, parts: list[str], endings: frozenset[str], seen: dict[str, _Clause] | None = None) -> list[list[int]]:
     """Feature numbers of each clause of a bare response ``text``; ``seen`` keeps analysed clauses."""
     seen = {} if seen is None else seen
-    asked = question.split()
-    names = {w.rstrip(".,?;:!") for w in asked if w[0].isupper() or w[0].isdigit()}
-    asked_words = _words(question)
-    asked_set = set(asked_words)
-    asked_lang = language(asked_words)
-    top = max(asked_lang, key=asked_lang.get)
-    if not asked_lang[top]:
-        top = None
+    names, asked_set, top = _asked(question)
     told = []
     for part in parts:
         key = _DIGITS.sub("9", " ".join(["N" if w.rstrip(".,;") in names else w for w in part.split(" ")[:-1]] + [part.rsplit(" ", 1)[-1]]))
@@ -179,11 +197,11 @@ def features(question: str, text: str, parts: list[str], endings: frozenset[str]
             if n == 1:
                 f.append(F_["only"])
         if c.words:
-            shared = sum([w in asked_set or w == "n" for w in c.words]) / len(c.words)
+            shared = sum(map(asked_set.__contains__, c.words)) / len(c.words)
             f.append(F_["echo all"] if shared >= 0.99 and len(c.words) >= 3 else F_["echo most"] if shared >= 0.75 else F_["echo little"])
             if top:
                 mine = c.lang[top]
-                other = max([v for k, v in c.lang.items() if k != top])
+                other = c.rival[top]
                 f.append(F_["foreign clear"] if other >= mine + 2 and other >= 2 * mine + 1 else F_["foreign likely"] if other > mine else F_["language same"])
         if i == n - 1:
             f.append(F_["last"])
@@ -247,10 +265,10 @@ class Tagger:
         where, feats, lengths, chars = [], [], [], []
         seen: dict[str, _Clause] = self.__dict__.setdefault("_seen", {})
         for i, (q, r) in enumerate(zip(questions, responses)):
-            if r is None or says_nothing(r):
+            text = "" if r is None else bare(r)
+            if _is_nothing(text):
                 out[i] = "empty"
                 continue
-            text = bare(r)
             question = q or ""
             if _same_words(question, text):
                 out[i] = "copy"
@@ -291,6 +309,8 @@ def _same_words(question: str, text: str) -> bool:
 
 def _verdict(tags: np.ndarray, size: np.ndarray) -> str | None:
     """Defect by coverage: a refusal without any answer, a cut-off end, an echo alone, mostly foreign words."""
+    if not tags.any():  # nothing but answers
+        return None
     said = size > 0
     if not said.any():
         return "truncated" if (tags == UNFINISHED).any() else None
