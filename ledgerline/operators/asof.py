@@ -27,7 +27,8 @@ def as_known(
 ) -> DataFrame:
     """Inner-join every event with the attributes of its entity in force on the event's day.
 
-    Of several changes of one entity and day the greatest by ``prefer`` counts. The result has the
+    Of several changes of one entity and day the greatest by ``prefer`` counts, of equal ones that of the
+    greatest 64-bit row hash, by which rows of an entity are told apart. The result has the
     columns of ``events`` and a struct ``known`` holding the whole change row, so clashing names are
     harmless. Events or changes with a null entity column or day never match; events before the first
     change are left out; repeated events stay repeated; empty inputs give an empty result.
@@ -40,13 +41,13 @@ def as_known(
     usable = F.lit(True)
     for c in entity:
         usable = usable & F.col(c).isNotNull()
-    rows = F.struct(*[F.col(c) for c in changes.columns])
-    best = (
-        changes.filter(usable & F.col(change_day).isNotNull())
-        .select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(e)], F.col(change_day).cast("date").alias(day), F.struct(*[p.alias(f"p{i}") for i, p in enumerate(prefer)], rows.alias("row")).alias("__best"))
-    )
     keys = [f"__k{i}" for i in range(len(e))]
-    best = best.groupBy(*keys, day).agg(F.max("__best").alias("__best"))
+    keyed = changes.filter(usable & F.col(change_day).isNotNull()).select(
+        *[F.col(c).alias(k) for c, k in zip(e, keys)], F.col(change_day).cast("date").alias(day), F.xxhash64(*changes.columns).alias("__id"),
+        F.struct(*[p.alias(f"p{i}") for i, p in enumerate(prefer)]).alias("__p"), F.struct(*[F.col(c) for c in changes.columns]).alias("known"),
+    )
+    # the winner of a day is picked by its preference and row hash; the row itself is joined to the answers at the end
+    best = keyed.groupBy(*keys, day).agg(F.max(F.struct("__p", "__id")).alias("__best")).select(*keys, day, F.col("__best.__id").alias("__id"))
     asked = events.filter(usable & F.col(event_day).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(e, keys)], F.col(event_day).cast("date").alias(day)).distinct()
     marks = best.select(*keys, day, F.lit(1).alias("__c"), F.lit(0).alias("__e")).unionByName(asked.select(*keys, day, F.lit(0).alias("__c"), F.lit(1).alias("__e")))
     narrow = marks.groupBy(*keys, day).agg(F.max("__c").alias("__c"), F.max("__e").alias("__e"))
@@ -59,8 +60,10 @@ def as_known(
         inside = F.sum("__c").over(Window.partitionBy(*keys, "__p").orderBy(day))
         numbered = narrow.withColumn("__i", inside).join(before, [*keys, "__p"]).withColumn("__v", F.col("__i") + F.col("__b"))
     numbered = numbered.select(*keys, day, "__c", "__e", "__v")
-    versions = numbered.filter("__c = 1").join(best, [*keys, day]).select(*keys, "__v", F.col("__best.row").alias("known"))
-    answered = numbered.filter("__e = 1 and __v > 0").select(*keys, day, "__v").join(versions, [*keys, "__v"]).select(*keys, day, "known")
+    versions = numbered.filter("__c = 1").join(best, [*keys, day]).select(*keys, "__v", "__id")
+    named = numbered.filter("__e = 1 and __v > 0").select(*keys, day, "__v").join(versions, [*keys, "__v"]).select(*keys, day, "__id")
+    wide = keyed.select(*keys, "__id", "known").dropDuplicates([*keys, "__id"])
+    answered = named.join(wide, [*keys, "__id"]).select(*keys, day, "known")
     left = events.withColumn(day, F.col(event_day).cast("date"))
     for c, k in zip(e, keys):
         left = left.withColumn(k, F.col(c))
