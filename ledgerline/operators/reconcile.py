@@ -1,12 +1,13 @@
 """Differences between two copies of data (problem 6).
 
-EXCEPT ALL in both directions over normalised rows leaves only what differs; the two residues are
-full-joined by key to tell one-sided rows from rows whose fields differ.
+EXCEPT ALL in both directions over normalised rows leaves only what differs. The residues name the keys
+whose statements are then joined with all of the other side's, to tell one-sided rows from rows whose
+fields differ.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import accession_key, amount, concept_key
@@ -17,36 +18,31 @@ def compare_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: l
 
     Both sides need the columns ``keys + fields`` in comparable types; other columns are ignored.
     Repeated rows of a side count once. Null equals null in keys and fields, null differs from any
-    value. A key that a side states in several ways is compared by its rows that the other side does
-    not state as well; if one side states them all, the other's least row stands for the key.
+    value. A key may be stated in several ways: each statement of one side is compared with each of
+    the other, with a row for every field in which a pair differs; statements of a key that the other
+    side lacks give a row each.
     """
     cols = [*keys, *fields]
     a, b = (x.select(*cols).distinct() for x in (left, right))
     only_a, only_b = a.exceptAll(b), b.exceptAll(a)
-    side = lambda df, n: df.groupBy(*keys).agg(F.min(F.struct(*fields)).alias(f"__{n}"))
-    ra, rb = side(only_a, "a").alias("a"), side(only_b, "b").alias("b")
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    joined = ra.join(rb, on, "full_outer").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], "__a", "__b")
-    # a key with a residue on one side only is missing on the other unless its rows there were all matched
-    matched = a.join(b, _same(a, b, cols), "left_semi").select(*[F.col(k).alias(f"__m{i}") for i, k in enumerate(keys)], F.struct(*fields).alias("__m")).groupBy(*[f"__m{i}" for i in range(len(keys))]).agg(F.min("__m").alias("__m"))
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__m{i}"))
-    one_sided = F.col("__a").isNull() | F.col("__b").isNull()
-    # only keys in the residue can meet a matched row, so the residue drives the join
-    full = joined.join(matched, on, "left").withColumn("__fa", F.coalesce("__a", F.when(one_sided, F.col("__m")))).withColumn("__fb", F.coalesce("__b", F.when(one_sided, F.col("__m"))))
-    diffs = [F.when(F.col("__fb").isNull(), F.lit(names[0])), F.when(F.col("__fa").isNull(), F.lit(names[1]))]
-    both = F.col("__fa").isNotNull() & F.col("__fb").isNotNull()
-    diffs += [F.when(both & ~F.col(f"__fa.{f}").eqNullSafe(F.col(f"__fb.{f}")), F.lit(f)) for f in fields]
-    return full.select(*keys, F.explode(F.array_compact(F.array(*diffs))).alias("difference"))
+    # several statements differ from one another even if both sides hold them all and leave no residue
+    several = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
+    differing = only_a.select(*keys).union(only_b.select(*keys)).union(several.select(*keys)).distinct()
+    pairs = a.join(_keyed(differing, keys), _meets(keys), "left_semi").join(_keyed(b, keys, F.struct(*fields).alias("__b")), _meets(keys), "left")
+    one_sided = F.col("__b").isNull()
+    diffs = [F.when(one_sided, F.lit(names[0])), *[F.when(~one_sided & ~F.col(f).eqNullSafe(F.col(f"__b.{f}")), F.lit(f)) for f in fields]]
+    found = pairs.select(*keys, F.explode(F.array_compact(F.array(*diffs))).alias("difference"))
+    return found.union(only_b.join(_keyed(a, keys), _meets(keys), "left_anti").select(*keys, F.lit(names[1])))
 
 
-def _same(a: DataFrame, b: DataFrame, cols: list[str]):
+def _keyed(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *more)
+
+
+def _meets(keys: list[str]) -> Column:
     on = F.lit(True)
-    for c in cols:
-        on = on & a[c].eqNullSafe(b[c])
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return on
 
 

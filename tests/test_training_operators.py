@@ -3,11 +3,13 @@
 import random
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import asof, cells, history, reconcile, wide
 from ledgerline.operators.statements import half, statements
+from ledgerline.plans import training, training_sql
 from tests.support import A, B, C, day, fact, facts, filing, filings, rows
 
 
@@ -178,6 +180,28 @@ def test_a_key_stated_in_several_ways(spark):
     assert rows(reconcile.compare_copies(left, right, ["a"], ["value"], ("l", "r"))) == [("1", "value")]
 
 
+def test_every_statement_of_a_key_is_compared(spark):
+    cols = "a string, value int, matched string"
+    left = spark.createDataFrame([("1", 1, "m"), ("1", 2, "n"), ("2", 1, "m"), ("2", 2, None), ("3", 1, "m"), ("3", 2, "m"), ("4", 1, "m")], cols)
+    right = spark.createDataFrame([("1", 1, "n"), ("2", 1, "m"), ("2", 2, None), ("4", 1, "m"), ("5", 1, "m"), ("5", 1, None), ("5", 1, None)], cols)
+    got = reconcile.compare_copies(left, right, ["a"], ["value", "matched"], ("l", "r"))
+    assert rows(got) == sorted([("1", "matched"), ("1", "value")] + [("2", "matched"), ("2", "value")] * 2 + [("3", "l")] * 2 + [("5", "r")] * 2)
+
+
+def test_crosscheck_of_keys_stated_in_several_ways_equals_its_statement(spark, tmp_path):
+    r = random.Random(6)
+    data = []
+    for k in range(40):
+        for side in ("ours", "companyfacts"):
+            for _ in range(r.randrange(5)):
+                v, ours = r.choice([1, 2, 3, None]), side == "ours"
+                data.append((side, f"0000000001-20-{k:06d}", "g", r.choice(["Assets", "us-gaap:Assets", "us-gaap_Liabilities", None]), float(v) if ours and v else None, f"+{v}.0" if v and not ours else None))
+    spark.createDataFrame(data, "side string, accession string, concept_group string, matched_concept string, our_value_usd double, companyfacts_value string").coalesce(1).write.parquet(f"{tmp_path}/ixbrl_crosscheck.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW ixbrl_crosscheck AS SELECT * FROM '{tmp_path}/ixbrl_crosscheck.parquet/*.parquet'")
+    assert rows(training.p6_found(spark, str(tmp_path))) == sorted(con.sql(training_sql.SQL["p6_found"]).fetchall(), key=repr)
+
+
 def test_crosscheck_spellings(spark):
     cols = "side string, ticker string, fiscal_year int, accession string, concept_group string, matched_concept string, our_value_usd double, companyfacts_value string"
     def pair(i, ours, theirs, ca="Assets", cb="us-gaap_Assets"):
