@@ -2,7 +2,7 @@
 
 Every filing is resolved once for every metric, whoever asks: its facts meet the candidate concepts where
 they are read, the first tier with facts decides. Requests are reduced to distinct (period key, day) pairs
-and meet the filings as events meet versions, so neither a ticker with many filings nor a day asked for
+and meet the states of their key in one sorted pass, so neither a ticker with many filings nor a day asked for
 often is ever paired row by row.
 """
 
@@ -16,13 +16,15 @@ from pyspark.sql.window import Window
 
 from ..functions import fmt
 from ..functions.text import local_name
+from ..runtime import broadcast_if_small, cut
 from . import registry
-from .asof import as_known
 
 #: Day that stands for "no bound".
 ALWAYS = "9999-12-31"
 #: Numerals that a text must hold to count as a statement.
 LEAST_NUMERALS = 20
+#: Metrics by their position in the figures of a filing.
+METRICS = tuple(registry.METRICS)
 
 
 def _forced(metric: Column, ticker: Column, label: Column) -> Column:
@@ -62,13 +64,102 @@ def resolve_filings(filings: DataFrame, store: DataFrame) -> DataFrame:
     return first.select("accession", "metric", F.when(~F.col("t.one"), "ambiguous_concept").alias("reason"), F.when(F.col("t.one"), hit).alias("hit"))
 
 
-def _period_keys(filings: DataFrame) -> DataFrame:
-    """Filings once for every key by which a period may be asked for."""
+def settled_filings(filings: DataFrame, store: DataFrame, statements: DataFrame | None = None) -> DataFrame:
+    """One row per listed accession: ticker, f_end, fiscal_label, filing_date, form_type, amended, covered, bits and figures.
+
+    ``figures`` hold for every metric of ``METRICS`` a struct of ``reason`` and ``hit`` (null where the filing states
+    no candidate), ``bits`` the positions that have a hit; ``hit`` has ``validation_status`` if ``statements`` are given
+    (see ``validate``). The rows are written once, so what follows doesn't plan the facts again.
+    """
+    listed = filings.groupBy("accession").agg(
+        F.max(F.upper("ticker")).alias("ticker"), F.max("period_end").alias("f_end"), F.max("fiscal_label").alias("fiscal_label"), F.max("filing_date").alias("filing_date"), F.max("form_type").alias("form_type"), F.max(F.upper("form_type")).like("%/A").alias("amended")
+    )
+    outcomes = resolve_filings(listed, store)
+    if statements is not None:
+        outcomes = cut(outcomes)
+        own = outcomes.filter("hit is not null").select("accession", "metric", F.lit("resolved").alias("status"), "hit.value", "hit.scale_raw").join(listed.select("accession", "ticker", "fiscal_label"), "accession")
+        judged = validate(own, statements).select("accession", "metric", "validation_status")
+        outcomes = outcomes.join(judged, ["accession", "metric"], "left").withColumn("hit", F.when(F.col("hit").isNotNull(), F.col("hit").withField("validation_status", F.col("validation_status"))))
+    slots = outcomes.groupBy("accession").agg(*[F.first(F.when(F.col("metric") == m, F.struct("reason", "hit")), ignorenulls=True).alias(f"__{i}") for i, m in enumerate(METRICS)])
+    held = [F.when(F.col(f"__{i}.hit").isNotNull(), F.lit(1 << i)).otherwise(0) for i in range(len(METRICS))]
+    figures = slots.select("accession", reduce(lambda x, y: x + y, held).alias("bits"), F.array(*[f"__{i}" for i in range(len(METRICS))]).alias("figures"))
+    stored = store.filter("value is not null").select("accession").distinct().withColumn("covered", F.lit(True))
+    return cut(listed.join(stored, "accession", "left").join(figures, "accession", "left"))
+
+
+def _timeline(settled: DataFrame) -> DataFrame:
+    """(key, day, accession, state) of every key by which a period may be asked for: what holds from the day on.
+
+    A state tells of the newest period filed so far its ``reason`` (if no figure can be had), ``amendment`` (the newest one)
+    and ``parts``: the filings that settle its metrics with the positions they settle as bits. A metric is settled by the
+    newest filing with a figure, else by the oldest. Every key has a state of its own for the time before its first filing.
+    """
     keys = F.array(
         F.concat_ws("|", "ticker", F.lit("fiscal_label"), F.col("fiscal_label").cast("string")), F.concat_ws("|", "ticker", F.lit("calendar_year"), F.year("f_end").cast("string")),
         F.concat_ws("|", "ticker", F.lit("period_end"), F.col("f_end").cast("string")), F.concat_ws("|", "ticker", F.lit("latest"), F.lit("")),
     )
-    return filings.filter("ticker is not null and f_end is not null and filing_date is not null").withColumn("key", F.explode(keys))
+    keyed = settled.filter("ticker is not null and f_end is not null and filing_date is not null").select(F.explode(keys).alias("key"), "accession", "f_end", "filing_date", "amended", "covered", F.coalesce("bits", F.lit(0)).alias("bits"))
+    # a filing of an older period than the newest one changes nothing from then on
+    newest = keyed.withColumn("__newest", F.max("f_end").over(Window.partitionBy("key").orderBy("filing_date"))).filter("f_end = __newest")
+    so_far = Window.partitionBy("key", "f_end").orderBy("filing_date", "accession").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c: F.last(F.when(c, F.col("accession")), ignorenulls=True).over(so_far)
+    seen = newest.select("key", "filing_date", "accession", F.max("covered").over(so_far).alias("covered"), F.first("accession").over(so_far).alias("oldest"), last(F.col("amended")).alias("amendment"), *[last(F.getbit("bits", F.lit(i)) == 1).alias(f"__{i}") for i in range(len(METRICS))])
+    by = [F.coalesce(f"__{i}", "oldest") for i in range(len(METRICS))]
+    part = lambda x: F.struct(x.alias("accession"), reduce(lambda p, q: p + q, [F.when(c == x, F.lit(1 << i)).otherwise(0) for i, c in enumerate(by)]).alias("bits"))
+    kind = "struct<reason:string,amendment:string,parts:array<struct<accession:string,bits:int>>>"
+    state = F.when(F.col("covered"), F.struct(F.lit(None).cast("string").alias("reason"), F.col("amendment"), F.transform(F.array_distinct(F.array(*by)), part).alias("parts")).cast(kind))
+    none = lambda why: F.struct(F.lit(why).alias("reason"), F.lit(None).alias("amendment"), F.lit(None).alias("parts")).cast(kind)
+    before = keyed.select("key").distinct().select("key", F.date_add(F.lit("0001-01-01").cast("date"), -1).alias("day"), F.lit("").alias("accession"), none("period_not_filed_as_of").alias("state"))
+    return seen.select("key", F.col("filing_date").alias("day"), "accession", F.coalesce(state, none("period_not_covered")).alias("state")).unionByName(before)
+
+
+def settle(requests: DataFrame, settled: DataFrame, current_year: int, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """Every request with its figures: its columns and metric, status, reason, the fields of the hit, accession, fiscal_label, restated, amendment_accession, end_date, filing_date, form_type.
+
+    ``requests`` hold ticker, kind, label, period_end and as_of; those with a column ``metric`` ask for that one, others
+    for all ``metrics``, a row each. They are met before they are multiplied by metrics, and carry nothing but
+    accessions until the last join.
+    """
+    own = "metric" in requests.columns
+    asked_for = F.when(F.col("kind").isin("fiscal_label", "calendar_year"), F.col("label").cast("string")).when(F.col("kind") == "period_end", F.col("period_end").cast("string")).otherwise("")
+    known_kind = F.when(F.col("kind").isin("fiscal_label", "calendar_year", "period_end"), F.col("kind")).otherwise("latest")
+    r = requests.withColumn("ticker", F.upper("ticker")).withColumn("__day", F.coalesce(F.col("as_of").cast("date"), F.lit(ALWAYS).cast("date")))
+    r = r.withColumn("__key", F.concat(F.col("ticker"), F.lit("|"), known_kind, F.lit("|"), asked_for))
+
+    asks = r.filter("__key is not null").select(F.col("__key").alias("key"), F.col("__day").alias("day")).distinct()
+    timeline = _timeline(settled)
+    marks = timeline.withColumn("ask", F.lit(0)).unionByName(asks.select("key", "day", F.lit("").alias("accession"), F.lit(None).cast(timeline.schema["state"].dataType).alias("state"), F.lit(1).alias("ask")))
+    so_far = Window.partitionBy("key").orderBy("day", "ask", "accession").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    states = marks.withColumn("state", F.last("state", ignorenulls=True).over(so_far)).filter("ask = 1").select(F.col("key").alias("__key"), F.col("day").alias("__day"), F.col("state").alias("__state"))
+    tickers = settled.select("ticker").distinct().withColumn("__known", F.lit(True))
+    met = r.join(states, ["__key", "__day"], "left").join(broadcast_if_small(tickers, tickers.count(), 64), "ticker", "left")
+
+    at = F.element_at(F.create_map(*[F.lit(x) for i, m in enumerate(METRICS) for x in (m, i)]), F.col("metric")) if own else F.lit(None).cast("int")
+    wanted = F.coalesce(F.call_function("shiftleft", F.lit(1), at), F.lit(0)) if own else F.lit(sum(1 << METRICS.index(m) for m in metrics))
+    parts = F.filter("__state.parts", lambda p: p.getField("bits").bitwiseAND(wanted) != 0)
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("accession"), wanted.alias("bits")))
+    met = met.withColumn("__part", F.explode(F.when(F.size(parts) > 0, parts).otherwise(nothing)))
+    met = met.select(*[c for c in r.columns if c not in ("__key", "__day")], F.col("__known"), F.col("__state").isNotNull().alias("__filed"), F.col("__state.reason").alias("__reason"), F.col("__state.amendment").alias("__amendment"), F.col("__part.accession").alias("__accession"), F.col("__part.bits").alias("__bits"))
+    filing = settled.select(F.col("accession").alias("__accession"), "figures", F.col("fiscal_label").alias("__label"), "amended", "f_end", F.col("filing_date").alias("__filed_on"), F.col("form_type").alias("__form"))
+    full = met.join(filing, "__accession", "left")
+    if own:
+        full = full.withColumn("__at", at)
+    else:
+        full = full.withColumn("__at", F.explode(F.filter(F.array(*[F.lit(METRICS.index(m)) for m in metrics]), lambda i: F.getbit("__bits", i) == 1))).withColumn("metric", F.get(F.array(*[F.lit(m) for m in METRICS]), F.col("__at")))
+    full = full.withColumn("__figure", F.get("figures", F.col("__at")))
+    late = F.col("kind").isin("fiscal_label", "calendar_year") & (F.col("label") > current_year)
+    reason = (
+        F.when(F.col("__at").isNull(), "metric_not_supported").when(F.col("__known").isNull(), "company_not_found").when(~F.col("__filed") & late, "future_period").when(~F.col("__filed"), "period_not_covered")
+        .when(F.col("__reason").isNotNull(), F.col("__reason")).when(F.col("__figure.hit").isNull(), F.coalesce("__figure.reason", F.lit("metric_not_found_in_filing")))
+    )
+    full = full.withColumn("reason", reason)
+    good = lambda c: F.when(F.col("reason").isNull(), c)
+    hit = settled.schema["figures"].dataType.elementType["hit"].dataType.names
+    return full.select(
+        *requests.columns, *[] if own else ["metric"], F.when(F.col("reason").isNull(), "resolved").otherwise("abstained").alias("status"), "reason", *[good(F.col(f"__figure.hit.{c}")).alias(c) for c in hit],
+        good(F.col("__accession")).alias("accession"), good(F.col("__label")).alias("fiscal_label"), good(F.col("amended")).alias("restated"), good(F.when(~F.col("__amendment").eqNullSafe(F.col("__accession")), F.col("__amendment"))).alias("amendment_accession"),
+        good(F.col("f_end")).alias("end_date"), good(F.col("__filed_on")).alias("filing_date"), good(F.col("__form")).alias("form_type"),
+    )
 
 
 def resolve(requests: DataFrame, filings: DataFrame, store: DataFrame, current_year: int) -> DataFrame:
@@ -81,42 +172,8 @@ def resolve(requests: DataFrame, filings: DataFrame, store: DataFrame, current_y
     of the period if it isn't the filing that won. Repeated listings count once; requests without a
     ticker know no company.
     """
-    asked_for = F.when(F.col("kind").isin("fiscal_label", "calendar_year"), F.col("label").cast("string")).when(F.col("kind") == "period_end", F.col("period_end").cast("string")).otherwise("")
-    known_kind = F.when(F.col("kind").isin("fiscal_label", "calendar_year", "period_end"), F.col("kind")).otherwise("latest")
-    r = requests.select("request_id", F.upper("ticker").alias("ticker"), "metric", "kind", "label", F.coalesce(F.col("as_of").cast("date"), F.lit(ALWAYS).cast("date")).alias("day"), F.concat(F.upper("ticker"), F.lit("|"), known_kind, F.lit("|"), asked_for).alias("key"))
-    listed = filings.groupBy("accession").agg(F.max(F.upper("ticker")).alias("ticker"), F.max("period_end").alias("f_end"), F.max("fiscal_label").alias("fiscal_label"), F.max("filing_date").alias("filing_date"), F.max(F.upper("form_type")).like("%/A").alias("amended"))
-    outcomes = resolve_filings(listed, store)
-    stored = store.filter("value is not null").select("accession").distinct().withColumn("covered", F.lit(True))
-    keyed = _period_keys(listed.join(stored, "accession", "left")).select("key", "accession", "f_end", "fiscal_label", "filing_date", "amended", "covered")
-
-    asks = r.filter("key is not null").select("key", "day").distinct()
-    first = keyed.groupBy("key").agg(F.min("filing_date").alias("first_filed"))
-    days = keyed.groupBy("key", "filing_date").agg(F.max("f_end").alias("f_end")).withColumn("f_end", F.max("f_end").over(Window.partitionBy("key").orderBy("filing_date")))
-    newest = as_known(asks, days, ["key"], "day", "filing_date", [F.col("f_end")]).select("key", "day", F.col("known.f_end").alias("f_end"))
-    order = F.struct("filing_date", "accession")
-    period = keyed.groupBy("key", "f_end").agg(F.min(F.when(F.col("covered"), F.col("filing_date"))).alias("covered_from"), F.min(order).alias("__oldest")).select("key", "f_end", "covered_from", F.col("__oldest.accession").alias("oldest"))
-    amendments = as_known(newest, keyed.filter("amended").select("key", "f_end", "filing_date", "accession"), ["key", "f_end"], "day", "filing_date", [F.col("accession")]).select("key", "day", F.col("known.accession").alias("amendment"))
-    by_metric = r.select("key", "day", "metric").distinct().join(newest, ["key", "day"])
-    hits = keyed.join(outcomes.filter("hit is not null"), "accession").select("key", "f_end", "metric", "filing_date", "accession", "fiscal_label", "amended", "hit")
-    won = as_known(by_metric, hits, ["key", "f_end", "metric"], "day", "filing_date", [F.col("accession")]).select("key", "day", "metric", F.col("known").alias("won"))
-
-    periods = newest.join(period, ["key", "f_end"]).join(amendments, ["key", "day"], "left")
-    supported = F.broadcast(registry.candidates(requests.sparkSession).select("metric", F.lit(True).alias("supported")).distinct())
-    known = listed.select("ticker").distinct().withColumn("known", F.lit(True))
-    full = r.join(supported, "metric", "left").join(known, "ticker", "left").join(first, "key", "left").join(periods, ["key", "day"], "left").join(won, ["key", "day", "metric"], "left")
-    full = full.join(outcomes.select(F.col("accession").alias("oldest"), "metric", F.col("reason").alias("old_reason")), ["oldest", "metric"], "left")
-    late = F.col("kind").isin("fiscal_label", "calendar_year") & (F.col("label") > current_year)
-    reason = (
-        F.when(F.col("supported").isNull(), "metric_not_supported").when(F.col("known").isNull(), "company_not_found").when(F.col("first_filed").isNull() & late, "future_period").when(F.col("first_filed").isNull(), "period_not_covered")
-        .when(F.col("first_filed") > F.col("day"), "period_not_filed_as_of").when(F.col("covered_from").isNull() | (F.col("covered_from") > F.col("day")), "period_not_covered").when(F.col("won").isNull(), F.coalesce("old_reason", F.lit("metric_not_found_in_filing")))
-    )
-    full = full.withColumn("reason", reason)
-    good = lambda c: F.when(F.col("reason").isNull(), c)
-    other = F.when(~F.col("amendment").eqNullSafe(F.col("won.accession")), F.col("amendment"))
-    return full.select(
-        "request_id", "metric", "ticker", F.when(F.col("reason").isNull(), "resolved").otherwise("abstained").alias("status"), "reason", *[good(F.col(f"won.hit.{c}")).alias(c) for c in ("value", "unit", "concept", "rule", "scale_raw")],
-        good(F.col("won.accession")).alias("accession"), good(F.col("won.fiscal_label")).alias("fiscal_label"), good(F.col("won.amended")).alias("restated"), good(other).alias("amendment_accession"),
-    )
+    full = settle(requests.select("request_id", "ticker", "metric", "kind", "label", "period_end", "as_of"), settled_filings(filings, store), current_year)
+    return full.select("request_id", "metric", "ticker", "status", "reason", "value", "unit", "concept", "rule", "scale_raw", "accession", "fiscal_label", "restated", "amendment_accession")
 
 
 def validate(resolved: DataFrame, statements: DataFrame) -> DataFrame:
@@ -135,10 +192,9 @@ def validate(resolved: DataFrame, statements: DataFrame) -> DataFrame:
     step = F.concat(F.lit("1E"), (-power).cast("string")).try_cast("decimal(38,10)")
     shown = F.abs("value").cast("decimal(28,10)") * step.cast("decimal(20,10)")
     forms = F.array(fmt.grouped(shown.cast("decimal(38,10)")), fmt.plain(shown.cast("decimal(38,10)")))
-    flat = F.regexp_replace("text", "[\\s\u00a0]+", " ")
-    judged = figures.join(statements, ["ticker", "fiscal_label", "statement"]).select(
-        "ticker", "fiscal_label", "statement", "value", "scale_raw", F.exists(forms, lambda x: F.contains(flat, x)).alias("__printed"), F.size(F.regexp_extract_all(flat, F.lit(r"(\d{1,3}(?:,\d{3})+|\d{4,})"), F.lit(1))).alias("__numerals"),
-    )
+    flat = statements.select("ticker", "fiscal_label", "statement", F.regexp_replace("text", "[\\s\u00a0]+", " ").alias("__flat"))
+    read = flat.withColumn("__numerals", F.size(F.regexp_extract_all("__flat", F.lit(r"(\d{1,3}(?:,\d{3})+|\d{4,})"), F.lit(1))))
+    judged = figures.join(read, ["ticker", "fiscal_label", "statement"]).select("ticker", "fiscal_label", "statement", "value", "scale_raw", F.exists(forms, lambda x: F.contains(F.col("__flat"), x)).alias("__printed"), "__numerals")
     keys = ["ticker", "fiscal_label", "statement", "value", "scale_raw"]
     on = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"j.{k}")) for k in keys])
     full = asked.alias("a").join(judged.alias("j"), on, "left")

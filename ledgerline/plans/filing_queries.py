@@ -222,19 +222,24 @@ def label_check(spark, d):
 
 
 def _requests(spark, d):
-    """Every metric of the registry and every kind of period for each outcome; its period's end is that of the filer's year."""
-    rows = table(spark, d, "outcomes").select("outcome_id", F.upper("ticker").alias("ticker"), "fiscal_label", iso_day(F.col("as_of")).alias("as_of")).distinct()
-    ends = table(spark, d, "filings").groupBy(F.upper("ticker").alias("ticker"), "fiscal_label").agg(F.max("period_end").alias("__end"))
-    asked = rows.join(ends, ["ticker", "fiscal_label"], "left")
-    asked = asked.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in registry.METRICS]))).withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("fiscal_label", "calendar_year", "period_end", "latest")])))
-    label = F.when(F.col("kind").isin("fiscal_label", "calendar_year"), F.col("fiscal_label"))
-    ident = F.concat_ws("/", F.col("outcome_id").cast("string"), "metric", "kind", F.coalesce(F.col("as_of").cast("string"), F.lit("")), F.coalesce(F.col("fiscal_label").cast("string"), F.lit("")), F.coalesce("ticker", F.lit("")))
-    return asked.select(ident.alias("request_id"), "ticker", "metric", "kind", label.alias("label"), F.when(F.col("kind") == "period_end", F.col("__end")).alias("period_end"), "as_of")
+    """Every kind of period for each outcome; its period's end is that of the filer's year. Each stands for all metrics of the registry."""
+    rows = table(spark, d, "outcomes").select("outcome_id", F.upper("ticker").alias("ticker"), F.col("fiscal_label").alias("asked"), iso_day(F.col("as_of")).alias("as_of")).distinct()
+    ends = table(spark, d, "filings").groupBy(F.upper("ticker").alias("ticker"), F.col("fiscal_label").alias("asked")).agg(F.max("period_end").alias("__end"))
+    asked = rows.join(ends, ["ticker", "asked"], "left")
+    asked = asked.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("fiscal_label", "calendar_year", "period_end", "latest")])))
+    label = F.when(F.col("kind").isin("fiscal_label", "calendar_year"), F.col("asked"))
+    return asked.select("outcome_id", "ticker", "asked", "kind", label.alias("label"), F.when(F.col("kind") == "period_end", F.col("__end")).alias("period_end"), "as_of")
 
 
-def _resolved(spark, d):
+def _settled(spark, d, statements=None):
     filings = table(spark, d, "filings")
-    return resolve.resolve(_requests(spark, d), filings, facts.annual(_facts(spark, d), filings), THIS_YEAR)
+    return resolve.settled_filings(filings, facts.annual(_facts(spark, d), filings), statements)
+
+
+def _resolved(spark, d, statements=None, metrics=resolve.METRICS):
+    """A row for every request and metric; ``request_id`` names both, so no two resolved rows share one."""
+    ident = F.concat_ws("/", F.col("outcome_id").cast("string"), "metric", "kind", F.coalesce(F.col("as_of").cast("string"), F.lit("")), F.coalesce(F.col("asked").cast("string"), F.lit("")), F.coalesce("ticker", F.lit("")))
+    return resolve.settle(_requests(spark, d), _settled(spark, d, statements), THIS_YEAR, metrics).withColumn("request_id", ident)
 
 
 _CANDS = ", ".join(f"('{m}', '{p}', '{s}', {i}, '{c}')" for m, (p, _, ss, _) in registry.METRICS.items() for s, ts in ss.items() for i, t in enumerate(ts, 1) for c in t)
@@ -280,7 +285,7 @@ def resolve_validation(spark, d):
     docs = table(spark, d, "documents").filter("section_id = 'item_8_financials' and ticker is not null and fiscal_year is not null and text is not null")
     text = docs.groupBy(F.upper("ticker").alias("ticker"), F.col("fiscal_year").alias("fiscal_label")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x.getField("text")), "\n").alias("text"))
     kinds = text.withColumn("statement", F.explode(F.array(*[F.lit(k) for k in registry.STATEMENTS])))
-    return resolve.validate(_resolved(spark, d), kinds).select("request_id", "validation_status")
+    return _resolved(spark, d, kinds).select("request_id", "validation_status")
 
 
 @query(f"{_RESOLVED} SELECT status, coalesce(reason, '') AS reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM resolved GROUP BY 1, 2")

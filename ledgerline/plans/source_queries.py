@@ -139,7 +139,7 @@ _OPS = "split_part(request_id, '/', 1) AS o, split_part(request_id, '/', 3) AS k
 def operand_pairs(spark, d):
     """Net income of every request with total assets of the same ticker, day and fiscal label."""
     part = lambda i: F.split_part("request_id", F.lit("/"), F.lit(i))
-    r = _resolved(spark, d).filter("status = 'resolved'").select("request_id", "metric", "ticker", "fiscal_label", F.col("value").cast("string").alias("value"), part(3).alias("kind"), part(4).alias("day"), part(5).alias("asked"))
+    r = _resolved(spark, d, metrics=("net_income", "total_assets")).filter("status = 'resolved'").select("request_id", "metric", "ticker", "fiscal_label", F.col("value").cast("string").alias("value"), part(3).alias("kind"), part(4).alias("day"), part(5).alias("asked"))
     a = r.filter("metric = 'net_income'").select("request_id", "ticker", "fiscal_label", "day", F.col("value").alias("numerator"))
     b = r.filter("metric = 'total_assets' and kind = 'fiscal_label' and asked = cast(fiscal_label as string)").select("ticker", "fiscal_label", "day", F.col("value").alias("denominator")).distinct()
     return a.join(b, ["ticker", "fiscal_label", "day"]).select("request_id", "numerator", "denominator").distinct()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fmt
-from ..operators import answers, registry
+from ..functions.text import iso_day
+from ..operators import answers, registry, resolve
 from ..runtime import table
 from . import money_sql
 from .book import book
-from .filing_queries import _RESOLVED, _facts, _filings, _resolved
+from .filing_queries import THIS_YEAR, _RESOLVED, _facts, _resolved, _settled
 
 QUERIES, SQL, query = book()
 _LABEL = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{t.lower().replace(chr(39), chr(39) * 2)}'" for m, t in registry.LABELS.items()) + " END"
@@ -29,11 +30,6 @@ def exact_format(spark, d):
 _FIG = f"""{_RESOLVED}, fg AS (SELECT r.*, f.period_end AS end_date, f.filing_date, f.form_type, value::decimal(38,10) AS v FROM resolved r JOIN f USING (accession) WHERE status = 'resolved')"""
 
 
-def _figures(spark, d):
-    f = _filings(spark, d).select("accession", F.col("period_end").alias("end_date"), "filing_date", "form_type")
-    return _resolved(spark, d).filter("status = 'resolved'").join(f, "accession")
-
-
 def _columns(prefix=""):
     return {c: F.col(prefix + c) for c in answers.FIGURE}
 
@@ -45,16 +41,17 @@ def _columns(prefix=""):
 def numeric_answers(spark, d):
     """The answer to every request that resolves."""
     day = F.split_part("request_id", F.lit("/"), F.lit(4))
-    return _figures(spark, d).select("request_id", answers.numeric_text(_columns(), day).alias("text")).distinct()
+    return _resolved(spark, d).filter("status = 'resolved'").select("request_id", answers.numeric_text(_columns(), day).alias("text"))
 
 
 _YEARS = f"{_FIG}, yr AS (SELECT DISTINCT ticker, metric, fiscal_label, end_date, v, unit, accession, filing_date, form_type, restated, amendment_accession FROM fg WHERE split_part(request_id, '/', 3) = 'fiscal_label' AND split_part(request_id, '/', 4) = '')"
 
 
 def _years(spark, d):
-    """One resolved figure for every ticker, metric and year, without a bound of time."""
-    f = _figures(spark, d).filter((F.split_part("request_id", F.lit("/"), F.lit(3)) == "fiscal_label") & (F.split_part("request_id", F.lit("/"), F.lit(4)) == ""))
-    return f.select(*answers.FIGURE).distinct()
+    """One resolved figure for every ticker, metric and year, without a bound of time: only requests of that form are resolved, each once."""
+    rows = table(spark, d, "outcomes").filter("outcome_id is not null").select(F.upper("ticker").alias("ticker"), F.col("fiscal_label").alias("label"), iso_day(F.col("as_of")).alias("as_of"))
+    asked = rows.filter("as_of is null").distinct().withColumn("kind", F.lit("fiscal_label")).withColumn("period_end", F.lit(None).cast("date"))
+    return resolve.settle(asked, _settled(spark, d), THIS_YEAR).filter("status = 'resolved'").select(*answers.FIGURE).distinct()
 
 
 _ONE = "('fiscal ' || {p}.fiscal_label::varchar || ' (year ended ' || {p}.end_date::varchar || ') ' || {l} || ' ' || {m})"
