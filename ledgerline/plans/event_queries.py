@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import transforms
 from ..operators import headings, sections
-from ..runtime import cut, table
+from ..runtime import table
 from ..sources import inline
 from ..streaming import limits
 
@@ -64,8 +64,7 @@ def inline_roundtrip(spark, d):
         F.lit('<xbrli:context id="c"><xbrli:period><xbrli:instant>'), F.col("end_date").cast("string"), F.lit('</xbrli:instant></xbrli:period></xbrli:context><xbrli:unit id="u"><xbrli:measure>x:'), F.col("unit"), F.lit('</xbrli:measure></xbrli:unit><p><ix:nonFraction name="a" contextRef="c" unitRef="u" format="ixt:num-dot-decimal"'),
         F.when(F.col("value") < 0, ' sign="-"').otherwise(""), F.lit(">"), F.abs("value").cast("string"), F.lit("</ix:nonFraction></p>"),
     )
-    scanned = cut(inline.scan(f.select("id", tag.alias("html")), "id", "html"))  # read three times below
-    read = inline.facts(scanned)
+    read = inline.scan_facts(f.select("id", tag.alias("html")), "id", "html")
     return read.select(F.col("doc").cast("bigint").alias("id"), F.col("value").cast("string").alias("value"), "unit", "end_date")
 
 

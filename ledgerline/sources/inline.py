@@ -6,11 +6,11 @@ joins and filters are column expressions on its rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,19 +116,43 @@ def scan_text(text: str) -> list[dict]:
 
 def scan(documents: DataFrame, doc: str, content: str) -> DataFrame:
     """Rows of ``SCHEMA`` for every document (text or binary); null contents give none."""
+    return _scanned(documents, doc, content, lambda rows: [{"seq": i} | r for i, r in enumerate(rows)])
+
+
+def _scanned(documents: DataFrame, doc: str, content: str, told: Callable[[list[dict]], list[dict]]) -> DataFrame:
     binary = dict(documents.dtypes)[content] == "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for d, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows += [{"doc": d, "seq": i} | r for i, r in enumerate(scan_text(decoded(c) if binary else c))]
+                rows += [{"doc": d} | r for r in told(scan_text(decoded(c) if binary else c))]
             cols = [pa.array([r.get(f.name) for r in rows], f.type) for f in _ARROW]
             yield pa.RecordBatch.from_arrays(cols, schema=_ARROW)
 
     return documents.select(F.col(doc).cast("string").alias("doc"), F.col(content).alias("c")).filter("c is not null").mapInArrow(run, SCHEMA)
 
 
+def _resolved(rows: list[dict]) -> list[dict]:
+    """The tagged facts of one document, each with its context and unit; the first definition of an id wins."""
+    contexts: dict[str, dict] = {}
+    units: dict[str, dict] = {}
+    for r in rows:
+        if r["kind"] in ("context", "unit"):
+            (contexts if r["kind"] == "context" else units).setdefault(r["name"], r)
+    out = []
+    for i, r in enumerate(rows):
+        if r["kind"] in ("number", "text"):
+            of, unit = contexts.get(r["context_id"], {}), units.get(r["unit_ref"], {})
+            out.append({"seq": i} | r | {k: of.get(k) for k in ("entity", "instant", "start", "end", "dimensions")} | {k: unit.get(k) for k in ("measures", "denominators")})
+    return out
+
+
+def scan_facts(documents: DataFrame, doc: str, content: str) -> DataFrame:
+    """Facts of every document that is a filing of its own, as of ``facts``: joined in the task that reads it, so nothing is shuffled or kept."""
+    return _values(_scanned(documents, doc, content, _resolved).withColumn("unit", _label()), "doc")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Scan of every file under a path; ``doc`` is the file's name."""
     files = spark.read.format("binaryFile").load(path)
@@ -142,11 +166,20 @@ def facts(scanned: DataFrame, filing: str = "doc") -> DataFrame:
     """
     first = Window.partitionBy(filing, "kind", "name").orderBy("doc", "seq")
     defs = scanned.filter("kind in ('context', 'unit')").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-    contexts = defs.filter("kind = 'context'").select(filing, F.col("name").alias("context_id"), "entity", F.to_date("instant").alias("instant"), F.to_date("start").alias("start_date"), F.to_date("end").alias("end"), "dimensions")
-    label = F.when(F.size("measures") == 0, "?").otherwise(F.concat(F.array_join("measures", "*"), F.when(F.size("denominators") > 0, F.concat(F.lit("/"), F.array_join("denominators", "*"))).otherwise("")))
-    units = defs.filter("kind = 'unit'").select(filing, F.col("name").alias("unit_ref"), label.alias("unit"))
+    contexts = defs.filter("kind = 'context'").select(filing, F.col("name").alias("context_id"), "entity", "instant", "start", "end", "dimensions")
+    units = defs.filter("kind = 'unit'").select(filing, F.col("name").alias("unit_ref"), _label().alias("unit"))
     f = scanned.filter("kind in ('number', 'text')").drop("entity", "instant", "start", "end", "dimensions")
-    joined = f.join(contexts, [filing, "context_id"], "left").join(units, [filing, "unit_ref"], "left")
+    return _values(f.join(contexts, [filing, "context_id"], "left").join(units, [filing, "unit_ref"], "left"), filing)
+
+
+def _label() -> Column:
+    """Name of a unit; null where there is none."""
+    below = F.when(F.size("denominators") > 0, F.concat(F.lit("/"), F.array_join("denominators", "*"))).otherwise("")
+    return F.when(F.size("measures") == 0, "?").otherwise(F.concat(F.array_join("measures", "*"), below))
+
+
+def _values(joined: DataFrame, filing: str) -> DataFrame:
+    joined = joined.withColumns({"instant": F.to_date("instant"), "start_date": F.to_date("start"), "end": F.to_date("end")})
     number = (F.col("kind") == "number") & (F.col("nil") == "false")
     return joined.select(
         filing, "doc", "seq", F.col("name").alias("concept"), "context_id", F.coalesce("unit", "unit_ref").alias("unit"), "decimals", F.col("scale").alias("scale_raw"), F.col("sign").alias("sign_raw"), "hidden", "element_id",
