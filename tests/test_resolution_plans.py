@@ -11,7 +11,7 @@ from tests.support import DATA
 MOST = 40
 
 
-@pytest.mark.parametrize("name", ["resolve_requests", "built_gold", "compare_answers", "computed_answers", "numeric_answers", "resolve_coverage", "resolve_validation", "trend_answers"])
+@pytest.mark.parametrize("name", ["resolve_requests", "built_gold", "compare_answers", "computed_answers", "numeric_answers", "resolve_coverage", "resolve_validation", "trend_answers", "operand_pairs"])
 def test_plan_is_small(spark, name):
     plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert 0 < len(re.findall(r"\bExchange\b", plan)) <= MOST
